@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from holdfast.config import DEFAULT, Rules
 from holdfast.functions.exact import ratio
 
-SCORE_BUCKETS = 4096
+SCORE_BUCKETS = 65_536
 
 
 def _score_counts(scored: DataFrame) -> DataFrame:
