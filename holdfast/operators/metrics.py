@@ -8,15 +8,20 @@ from pyspark.sql import Window
 
 from holdfast.config import DEFAULT, Rules
 from holdfast.functions.exact import ratio
+from holdfast.operators.joins import join_own_aggregate
 
 SCORE_BUCKETS = 65_536
 
 
 def _score_counts(scored: DataFrame) -> DataFrame:
-    """(model_name, score, pos, neg), with an ordered coarse bucket of the score."""
+    """(model_name, score, pos, neg), with an ordered coarse bucket of the score.
+
+    Rows without a score are left out.
+    """
     actual = F.col("churned_actual")
     return (
-        scored.groupBy("model_name", F.col("churn_probability").alias("score"))
+        scored.filter("churn_probability IS NOT NULL")
+        .groupBy("model_name", F.col("churn_probability").alias("score"))
         .agg(F.count_if(actual == 1).alias("pos"), F.count_if(actual == 0).alias("neg"))
         .withColumn("bucket", F.floor(F.col("score") * SCORE_BUCKETS).cast("int"))
     )
@@ -49,7 +54,7 @@ def _positioned(scored: DataFrame) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        counts.join(totals, ["model_name", "bucket"])
+        join_own_aggregate(counts, totals, ["model_name", "bucket"])
         .withColumn("pos_above", F.col("b_pos_above") + F.sum("pos").over(inside) - F.col("pos"))
         .withColumn("neg_above", F.col("b_neg_above") + F.sum("neg").over(inside) - F.col("neg"))
     )
@@ -95,13 +100,20 @@ def ranking_metrics(scored: DataFrame) -> DataFrame:
 
 def threshold_metrics(scored: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """Confusion counts, f1, precision and recall at the decision threshold; 0 if undefined."""
-    hit = F.col("churn_probability") >= rules.threshold
-    actual = F.col("churned_actual") == 1
-    counts = scored.groupBy("model_name").agg(
-        F.count_if(hit & actual).alias("tp"),
-        F.count_if(hit & ~actual).alias("fp"),
-        F.count_if(~hit & actual).alias("fn"),
-        F.count_if(~hit & ~actual).alias("tn"),
+    hit = F.col("score") >= rules.threshold
+
+    def total(n: str, where: Column) -> Column:
+        return F.sum(F.when(where, F.col(n)).otherwise(0))
+
+    counts = (
+        _score_counts(scored)
+        .groupBy("model_name")
+        .agg(
+            total("pos", hit).alias("tp"),
+            total("neg", hit).alias("fp"),
+            total("pos", ~hit).alias("fn"),
+            total("neg", ~hit).alias("tn"),
+        )
     )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
 
@@ -121,9 +133,11 @@ def compare_models(scored: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
 
     ``scored`` has model_name, churn_probability and churned_actual.
     """
+    # Both halves start from the same counts per score, so the scored rows are read once.
     return (
-        ranking_metrics(scored)
-        .join(threshold_metrics(scored, rules), "model_name")
+        join_own_aggregate(
+            ranking_metrics(scored), threshold_metrics(scored, rules), ["model_name"]
+        )
         .select(
             F.col("model_name").alias("model"),
             "roc_auc", "pr_auc", "f1", "precision", "recall",

@@ -12,6 +12,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdfast.operators.joins import join_own_aggregate
+
 
 def value_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Columns: the groups, ``value``, ``n``. Nulls are left out."""
@@ -35,9 +37,12 @@ def with_positions(counts: DataFrame, groups: list[str], bucket: Column) -> Data
     Windows run over bucket totals, and over the distinct values of one bucket.
     """
     keyed = counts.withColumn("bucket", bucket)
-    return keyed.join(_bucket_totals(keyed, groups), [*groups, "bucket"]).withColumn(
-        "start", F.col("before") + _running(groups, "value")
-    ).drop("before", "in_bucket")
+    totals = _bucket_totals(keyed, groups)
+    return (
+        join_own_aggregate(keyed, totals, [*groups, "bucket"])
+        .withColumn("start", F.col("before") + _running(groups, "value"))
+        .drop("before", "in_bucket")
+    )
 
 
 def _running(groups: list[str], order: str) -> Column:
@@ -77,7 +82,7 @@ def values_at_ranks(
         .select(*groups, "bucket", "before", "total", "ranks")
     )
     return (
-        keyed.join(wanted, [*groups, "bucket"])
+        join_own_aggregate(keyed, wanted, [*groups, "bucket"])
         .withColumn("start", F.col("before") + _running(groups, "value"))
         .withColumn(
             "rank",
@@ -122,6 +127,7 @@ def exact_quantiles(
             F.max("total").alias("total"),
             F.map_from_entries(F.collect_list(F.struct("rank", "at_rank"))).alias("at"),
         )
+        .filter("total IS NOT NULL")
     )
 
     def quantile(p: str) -> Column:

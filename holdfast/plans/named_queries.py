@@ -199,7 +199,9 @@ def industry_churn_arr(w: Warehouse) -> DataFrame:
 
 def engagement_quartiles(w: Warehouse) -> DataFrame:
     """Score range of the four equal slices of each plan."""
-    scored = w.fact.filter("engagement_score IS NOT NULL").select("plan_id", "engagement_score")
+    scored = w.fact.filter("engagement_score IS NOT NULL AND plan_id IS NOT NULL").select(
+        "plan_id", "engagement_score"
+    )
     return (
         tile_summary(scored, ["plan_id"], "engagement_score", 4)
         .join(w.dims.plans, "plan_id")
