@@ -317,17 +317,27 @@ PROFILED = (
 )
 
 
-def _profile() -> str:
+def _profile_rows() -> str:
     parts = [
         f"""SELECT '{name}' AS column_name, count(*) AS n_total, count(*) - count({c}) AS n_null,
         {rounded(f'100 * (count(*) - count({c}))', 'count(*)', 2)} AS pct_null,
         count(DISTINCT {c}) AS n_unique FROM raw"""
         for name, c, *_ in PROFILED
     ]
-    return f"WITH {RAW_ALL} " + " UNION ALL ".join(parts)
+    return " UNION ALL ".join(parts)
 
 
-def _violations() -> str:
+# Rule name -> (order in the report, text).
+RULE_TEXT = {
+    "nulls_found": (1, "nulls"),
+    "not_allowed": (2, "values not allowed"),
+    "below_minimum": (3, "values below minimum"),
+    "above_maximum": (4, "values above maximum"),
+    "duplicates": (5, "duplicate values"),
+}
+
+
+def _violation_rows() -> str:
     parts = []
 
     def add(name: str, rule: str, n: str) -> None:
@@ -346,7 +356,33 @@ def _violations() -> str:
             add(name, "above_maximum", f"count(*) FILTER (WHERE {c} > {high})")
         if unique:
             add(name, "duplicates", f"count({c}) - count(DISTINCT {c})")
-    return f"WITH {RAW_ALL}, v AS (" + " UNION ALL ".join(parts) + ") SELECT * FROM v WHERE n_violations > 0"
+    return (
+        "v AS (SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE n_violations > 0)"
+    )
+
+
+def _report_lines() -> str:
+    order = " ".join(f"WHEN '{r}' THEN {i}" for r, (i, _) in RULE_TEXT.items())
+    text = " ".join(f"WHEN '{r}' THEN '{t}'" for r, (_, t) in RULE_TEXT.items())
+    return f"""WITH {RAW_ALL}, {_violation_rows()},
+    h AS (SELECT count(*) AS n_rows, count(*) - count(DISTINCT subscriber_id) AS n_dup,
+        {rounded('100 * (count(*) - count(DISTINCT subscriber_id))', 'count(*)', 2)} AS pct,
+        count(*) FILTER (WHERE churn_date < start_dt) AS n_bad FROM raw),
+    profile AS ({_profile_rows()}),
+    lines AS (
+        SELECT 0 AS part, '' AS col, 0 AS pos, 'Rows: ' || n_rows || ' | Duplicates: ' || n_dup || ' ('
+            || CAST(pct AS VARCHAR) || '%) | Total issues: '
+            || ((SELECT count(*) FROM v) + CAST(n_dup > 0 AS INTEGER) + CAST(n_bad > 0 AS INTEGER)) AS value FROM h
+        UNION ALL SELECT 1, '', 0, '--- Global issues ---'
+        UNION ALL SELECT 2, '', 0, '  - ' || n_dup || ' duplicate subscriber_id values' FROM h WHERE n_dup > 0
+        UNION ALL SELECT 3, '', 0, '  - ' || n_bad || ' rows where churn_date precedes subscription_start_date'
+        FROM h WHERE n_bad > 0
+        UNION ALL SELECT 4, '', 0, '--- Column issues ---'
+        UNION ALL SELECT DISTINCT 5, column_name, 0,
+            '  ' || column_name || ' (null: ' || CAST(pct_null AS VARCHAR) || '%):' FROM v JOIN profile USING (column_name)
+        UNION ALL SELECT 5, column_name, CASE rule {order} END,
+            '      - ' || n_violations || ' ' || CASE rule {text} END FROM v)
+    SELECT row_number() OVER (ORDER BY part, col, pos) - 1 AS line_no, value FROM lines"""
 
 
 def _constraints() -> str:
@@ -613,8 +649,10 @@ FINGERPRINT_ROW = " || '|' || ".join(
 PAGE_FILTER = """risk_tier IN ('high', 'medium') AND plan_tier IN ('starter', 'growth')
     AND regexp_matches(subscriber_id, 'SUB-0.*[02468]$')"""
 
-# Tenure periods that occur at this scale; the report reads them from the data.
-PERIODS = "(SELECT DISTINCT period_bucket FROM retention)"
+# The oldest account of the test tables is in its 27th tenure period at every scale.
+HEATMAP_CELLS = ", ".join(
+    f"round(avg(CASE WHEN period_bucket = {p} THEN retention_pct END), 6) AS period_{p}" for p in range(27)
+)
 
 ORACLE: dict[str, str] = {
     "q01_attrition_trend": f"""WITH {FACT}, q AS (SELECT {YEAR} AS cohort_year, {QUARTER} AS cohort_q,
@@ -765,8 +803,9 @@ ORACLE: dict[str, str] = {
         {rounded('100 * (count(*) - count(DISTINCT subscriber_id))', 'count(*)', 2)} AS pct_duplicates FROM raw""",
     "l2_date_order": f"""WITH {RAW_ALL} SELECT count(*) AS n_rows,
         count(*) FILTER (WHERE churn_date < start_dt) AS n_bad_dates FROM raw""",
-    "l3_profile": _profile(),
-    "l4_7_rule_violations": _violations(),
+    "l3_profile": f"WITH {RAW_ALL} {_profile_rows()}",
+    "l4_7_rule_violations": f"WITH {RAW_ALL}, {_violation_rows()} SELECT * FROM v",
+    "l10_report_lines": _report_lines(),
     "l9_constraints": _constraints(),
     "l9_orphans": _orphans(),
     "l11_reconcile": f"""WITH {FACT} SELECT 'fact' AS layer, count(*) AS n, {big('sum(churned)')} AS n_churned,
@@ -835,6 +874,8 @@ ORACLE: dict[str, str] = {
         t AS (SELECT sum(n) AS all_n, sum(CASE WHEN label = 0 THEN n END) AS neg FROM c)
         SELECT {big('label')} AS label, n, {rounded('all_n', '(2 * n)', 6)} AS balanced_weight,
             CASE WHEN label = 1 THEN {rounded('neg', 'n', 6)} ELSE 1.0 END AS imbalance_weight FROM c CROSS JOIN t""",
+    "d01_heatmap": f"""WITH {FACT}{COHORTS} SELECT cohort_year || '-' || cohort_quarter AS cohort_label,
+            {HEATMAP_CELLS} FROM retention GROUP BY 1""",
     "d02_watchlist_summary": f"""WITH {WATCHLIST}, s AS (SELECT
             count(*) FILTER (WHERE risk_tier = 'high') AS high_risk_accounts,
             count(*) FILTER (WHERE risk_tier = 'medium') AS medium_risk_accounts,

@@ -9,9 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.config import DEFAULT
 from holdfast.functions.business import compact_number
-from holdfast.functions.exact import ratio
 from holdfast.operators import cleaning, constraints, features, keyed, metrics, quality, splits
 from holdfast.operators.features import LABEL
 from holdfast.operators.fingerprint import fingerprint
@@ -23,11 +21,10 @@ from holdfast.operators.warehouse import (
     prediction_rows,
 )
 from holdfast.plans import documents, full_run, kpis, models, named_queries, reports
-from holdfast.schemas import CLEAN, RAW
 from holdfast.session import scratch_dir
 from holdfast.sources import files
 from holdfast.sources.accounts import MARKET_SEGMENTS
-from holdfast.workspace import HEURISTIC, PREDICTED_AT, SIMPLE, Workspace, open_workspace
+from holdfast.workspace import HEURISTIC, SIMPLE, Workspace, open_workspace
 
 QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {}
 
@@ -195,13 +192,11 @@ def _(w):
     files.export_watchlist(
         reports.filter_watchlist(kpis.watchlist(w.warehouse), plans=["growth", "starter"]), path
     )
-    ddl = """subscriber_id string, plan_tier string, region_code string, industry_name string,
-        tenure_months int, engagement_score double, arr_usd double, churn_probability double,
-        risk_tier string, model_name string"""
-    names = [part.split()[0] for part in ddl.split(",")]
-    return w.spark.read.csv(path, header=True).select(
-        *[F.col(f.split()[0]).try_cast(f.split()[1]) .alias(f.split()[0]) for f in ddl.split(",")]
-    ).select(*names)
+    numbers = {"tenure_months": "int", "engagement_score": "double", "arr_usd": "double",
+               "churn_probability": "double"}
+    texts = ("subscriber_id", "plan_tier", "region_code", "industry_name", "risk_tier", "model_name")
+    exported = w.spark.read.csv(path, header=True)
+    return exported.select(*texts, *[F.col(c).try_cast(t).alias(c) for c, t in numbers.items()])
 
 
 @register("s16_dim_seed")
@@ -600,7 +595,8 @@ def _(w):
 # Reports.
 @register("d01_heatmap")
 def _(w):
-    return reports.cohort_heatmap(kpis.cohort_retention(w.warehouse))
+    retention = kpis.cohort_retention(w.warehouse)
+    return reports.cohort_heatmap(retention, reports.periods_without_gaps(retention))
 
 
 @register("d02_watchlist_summary")

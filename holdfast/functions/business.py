@@ -88,8 +88,8 @@ def risk_tier(prob: Column, rules: Rules = DEFAULT) -> Column:
 
 
 def logistic(x: Column) -> Column:
-    """Sigmoid that does not overflow for large negative or positive input."""
-    return F.when(x >= 0, 1.0 / (1.0 + F.exp(-x))).otherwise(F.exp(x) / (1.0 + F.exp(x)))
+    """Sigmoid of a double. exp may reach infinity, which gives 0, not an error."""
+    return 1.0 / (1.0 + F.exp(-x))
 
 
 def heuristic_churn_score() -> Column:

@@ -88,7 +88,7 @@ def train_logistic(train: DataFrame, rules: Rules = DEFAULT) -> PipelineModel:
     n = train.count()
     estimator = LogisticRegression(
         labelCol=LABEL, weightCol="weight", regParam=1.0 / n, elasticNetParam=0.0,
-        standardization=False, maxIter=1000,
+        standardization=False, maxIter=1000, tol=1e-4,
     )
     return _fit(prep, estimator, with_class_weight(train))
 

@@ -22,7 +22,7 @@ DISPLAY_COLUMNS = (
 def cohort_heatmap(retention: DataFrame, periods: list[int] | None = None) -> DataFrame:
     """One row per cohort, one column per tenure period.
 
-    Without ``periods`` they are read from the (aggregated) retention table.
+    Without ``periods`` there is a column for each that occurs in the (aggregated) table.
     """
     if periods is None:
         rows = retention.select("period_bucket").distinct().orderBy("period_bucket").collect()
@@ -39,6 +39,12 @@ def cohort_heatmap(retention: DataFrame, periods: list[int] | None = None) -> Da
     ).orderBy("cohort_label")
 
 
+def periods_without_gaps(retention: DataFrame) -> list[int]:
+    """All periods up to the last one that occurs."""
+    last = retention.agg(F.max("period_bucket").alias("last")).first()["last"]
+    return [] if last is None else list(range(last + 1))
+
+
 def watchlist_summary(watchlist: DataFrame) -> DataFrame:
     high = F.col("risk_tier") == "high"
     high_arr = F.coalesce(F.sum(F.when(high, F.col("arr_usd"))), F.lit(0.0))
