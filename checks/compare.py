@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -20,6 +21,8 @@ def open_duckdb(sf_dir: str):
 
     con = duckdb.connect()
     for t in TABLES:
+        if not os.path.exists(f"{sf_dir}/{t}.parquet"):
+            continue
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return con
 

@@ -158,7 +158,7 @@ def impute_engagement(df: DataFrame, fitted: CleaningFit) -> DataFrame:
 
 
 def impute_logins(df: DataFrame, fitted: CleaningFit) -> DataFrame:
-    median = F.lit(fitted.login_median).cast("decimal(11,4)")
+    median = F.lit(fitted.login_median).cast("decimal(18,4)")
     return df.withColumn(
         "monthly_logins_per_user", F.coalesce("monthly_logins_per_user", median)
     )
@@ -239,7 +239,7 @@ def audit_log(
     def outside(name: str) -> Column:
         value = F.col(name)
         if name == "monthly_logins_per_user":
-            value = F.coalesce(value, F.lit(fitted.login_median).cast("decimal(11,4)"))
+            value = F.coalesce(value, F.lit(fitted.login_median).cast("decimal(18,4)"))
         f = fitted.fences.get(name)
         if f is None:
             return F.lit(0)

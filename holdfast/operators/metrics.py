@@ -10,7 +10,13 @@ from holdfast.config import DEFAULT, Rules
 from holdfast.functions.exact import ratio
 from holdfast.operators.joins import join_own_aggregate
 
-SCORE_BUCKETS = 65_536
+
+def _score_bucket(score: Column) -> Column:
+    """Order-keeping bucket; 4096 per halving of the score, down to a millionth.
+
+    Scores that crowd near zero, as those of a rare class do, still spread.
+    """
+    return F.floor(F.log2(1.0 + F.greatest(score, F.lit(0.0)) * 1_048_576) * 4096).cast("int")
 
 
 def _score_counts(scored: DataFrame) -> DataFrame:
@@ -23,7 +29,7 @@ def _score_counts(scored: DataFrame) -> DataFrame:
         scored.filter("churn_probability IS NOT NULL")
         .groupBy("model_name", F.col("churn_probability").alias("score"))
         .agg(F.count_if(actual == 1).alias("pos"), F.count_if(actual == 0).alias("neg"))
-        .withColumn("bucket", F.floor(F.col("score") * SCORE_BUCKETS).cast("int"))
+        .withColumn("bucket", _score_bucket(F.col("score")))
     )
 
 

@@ -178,3 +178,8 @@ def apply_filters(
         if choice != ALL and column in df.columns:
             df = df.filter(F.col(column) == choice)
     return df
+
+
+def preview(df: DataFrame, rows: int = 20) -> DataFrame:
+    """The first rows, shown where a chart cannot be drawn."""
+    return df.limit(rows)

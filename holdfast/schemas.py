@@ -8,7 +8,7 @@ _ACCOUNT_BODY = """
     monthly_fee_per_seat decimal(13,3), seat_count int, total_contract_value decimal(20,4),
     contract_months int, tenure_months int, engagement_score decimal(6,2),
     support_tickets_90d int, payment_failures_12m int, n_integrations int,
-    monthly_logins_per_user decimal(11,4), feature_adoption_rate decimal(4,3),
+    monthly_logins_per_user decimal(18,4), feature_adoption_rate decimal(4,3),
     churned int, churn_date date, churn_reason string, churn_probability_true double
 """
 
@@ -30,7 +30,7 @@ FACT_SUBSCRIBERS = """
     subscription_start_date date, billing_cycle string, contract_months int, tenure_months int,
     monthly_fee_per_seat decimal(13,3), seat_count int, total_contract_value decimal(20,4),
     monthly_arr_usd decimal(18,2), engagement_score decimal(6,2), support_tickets_90d int,
-    payment_failures_12m int, n_integrations int, monthly_logins_per_user decimal(11,4),
+    payment_failures_12m int, n_integrations int, monthly_logins_per_user decimal(18,4),
     feature_adoption_rate decimal(4,3), churned int, churn_date date, churn_reason string
 """
 FACT_PREDICTIONS = """

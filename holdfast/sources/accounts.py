@@ -147,7 +147,7 @@ def derive_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "n_integrations": (F.coalesce("n_supp", F.lit(0)) % 12).cast("int"),
                 "monthly_logins_per_user": F.when(
                     k % 67 != 0, F.col("qty").cast("decimal(18,0)") / 10
-                ).cast("decimal(11,4)"),
+                ).cast("decimal(18,4)"),
                 "churn_date": F.when(
                     churned,
                     F.when(k % 7 == 0, F.date_sub("first_dt", 10)).otherwise(

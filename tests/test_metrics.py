@@ -41,6 +41,15 @@ def test_ranking_against_brute_force(spark, seed, digits):
     assert row["pr_auc"] == pytest.approx(ap, abs=6e-5)
 
 
+def test_scores_crowded_near_zero(spark):
+    rng = random.Random(9)
+    rows = [(rng.random() * 1e-7, int(rng.random() < 0.4)) for _ in range(150)] + [(0.0, 0), (1.0, 1)]
+    row = ranking_metrics(scored(spark, rows)).first()
+    auc, ap = brute_force(rows)
+    assert row["roc_auc"] == pytest.approx(auc, abs=6e-5)
+    assert row["pr_auc"] == pytest.approx(ap, abs=6e-5)
+
+
 def test_undefined_measures(spark):
     only_negative = [(0.1, 0), (0.2, 0)]
     row = compare_models(scored(spark, only_negative)).first()
