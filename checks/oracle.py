@@ -647,7 +647,7 @@ FINGERPRINT_ROW = " || '|' || ".join(
 )
 
 PAGE_FILTER = """risk_tier IN ('high', 'medium') AND plan_tier IN ('starter', 'growth')
-    AND regexp_matches(subscriber_id, 'SUB-0.*[02468]$')"""
+    AND regexp_matches(subscriber_id, 'SUB-')"""
 
 # The oldest account of the test tables is in its 27th tenure period at every scale.
 HEATMAP_CELLS = ", ".join(

@@ -145,6 +145,8 @@ class Preparation:
     scales: dict[str, tuple[float, float]]
     categories: dict[str, list[str]]
     binary: tuple[str, ...]
+    n_rows: int
+    n_positive: int
 
     def scaled_names(self) -> list[str]:
         return [f"{c}_scaled" for c in self.scales]
@@ -164,10 +166,19 @@ def one_hot_names(column: str, values: list[str]) -> list[str]:
 
 
 def fit_preparation(df: DataFrame, max_categories: int = 1000) -> Preparation:
-    """Mean and population deviation per numeric column, sorted values per text column."""
+    """Mean and population deviation per numeric column, sorted values per text column.
+
+    The sizes of the classes come from the same pass over the rows.
+    """
     numeric = available(df, NUMERIC_FEATURES)
-    filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric])
+    label = F.col(LABEL) if LABEL in df.columns else F.lit(0)
+    filled = df.select(
+        label.alias("label"),
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric],
+    )
     row = filled.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(F.col("label") == 1).alias("n_positive"),
         *[F.avg(c).alias(f"{c}_mean") for c in numeric],
         *[F.stddev_pop(c).alias(f"{c}_std") for c in numeric],
     ).first()
@@ -182,7 +193,9 @@ def fit_preparation(df: DataFrame, max_categories: int = 1000) -> Preparation:
     if len(rows) > limit:
         raise ValueError(f"more than {limit} category values; encode such columns differently")
     categories = {c: sorted(r["value"] for r in rows if r["name"] == c) for c in cats}
-    return Preparation(scales, categories, tuple(available(df, BINARY_FEATURES)))
+    return Preparation(
+        scales, categories, tuple(available(df, BINARY_FEATURES)), row["n_rows"], row["n_positive"]
+    )
 
 
 def scaled_columns(prep: Preparation) -> dict[str, Column]:

@@ -27,6 +27,7 @@ from holdfast.operators.features import (
 )
 from holdfast.operators.metrics import compare_models, ranking_metrics
 from holdfast.operators.splits import BUCKETS, fold_of, salted
+from holdfast.session import ensure_checkpoint_dir
 
 KEY = "subscriber_id"
 
@@ -63,16 +64,15 @@ def n_inputs(prep: Preparation) -> int:
     return len(prep.scales) + len(prep.encoded_names()) + len(prep.binary)
 
 
-def with_class_weight(train: DataFrame) -> DataFrame:
+def with_class_weight(train: DataFrame, prep: Preparation) -> DataFrame:
     """Balanced weights: all rows / (2 x rows of the class)."""
-    counts = train.agg(
-        F.struct(F.count("*").alias("n"), F.sum(LABEL).alias("pos")).alias("c")
-    )
-    size = F.when(F.col(LABEL) == 1, F.col("c.pos")).otherwise(F.col("c.n") - F.col("c.pos"))
-    return (
-        train.withColumn("c", counts.scalar())
-        .withColumn("weight", F.col("c.n") / (2 * size))
-        .drop("c")
+    negatives = prep.n_rows - prep.n_positive
+
+    def weight(n: int) -> Column:
+        return F.lit(prep.n_rows / (2 * n) if n else 0.0)
+
+    return train.withColumn(
+        "weight", F.when(F.col(LABEL) == 1, weight(prep.n_positive)).otherwise(weight(negatives))
     )
 
 
@@ -85,12 +85,11 @@ def _fit(prep: Preparation, estimator, train: DataFrame) -> PipelineModel:
 def train_logistic(train: DataFrame, rules: Rules = DEFAULT) -> PipelineModel:
     """L2 penalty of strength 1 on the summed loss, balanced classes."""
     prep = fit_preparation(train)
-    n = train.count()
     estimator = LogisticRegression(
-        labelCol=LABEL, weightCol="weight", regParam=1.0 / n, elasticNetParam=0.0,
+        labelCol=LABEL, weightCol="weight", regParam=1.0 / prep.n_rows, elasticNetParam=0.0,
         standardization=False, maxIter=1000, tol=1e-4,
     )
-    return _fit(prep, estimator, with_class_weight(train))
+    return _fit(prep, estimator, with_class_weight(train, prep))
 
 
 def train_forest(train: DataFrame, rules: Rules = DEFAULT, trees: int = 300) -> PipelineModel:
@@ -98,7 +97,8 @@ def train_forest(train: DataFrame, rules: Rules = DEFAULT, trees: int = 300) ->
         labelCol=LABEL, weightCol="weight", numTrees=trees, maxDepth=10,
         minInstancesPerNode=4, seed=rules.seed,
     )
-    return _fit(fit_preparation(train), estimator, with_class_weight(train))
+    prep = fit_preparation(train)
+    return _fit(prep, estimator, with_class_weight(train, prep))
 
 
 def train_boosting(train: DataFrame, rules: Rules = DEFAULT, rounds: int = 400) -> PipelineModel:
@@ -107,32 +107,28 @@ def train_boosting(train: DataFrame, rules: Rules = DEFAULT, rounds: int = 400)
     MLlib stops at the first round that makes the held-out loss worse, without a grace
     of further rounds, and has no L2 term on the leaves.
     """
+    # Each round builds on the errors of the last one; checkpoints keep that lineage short.
+    ensure_checkpoint_dir(train.sparkSession)
     held_out = hash_bucket(salted(F.col(KEY), rules.seed, "early_stop"), 10) == 0
     estimator = GBTClassifier(
         labelCol=LABEL, weightCol="weight", maxIter=rounds, maxDepth=6, stepSize=0.05,
         validationIndicatorCol="held_out", validationTol=0.0, seed=rules.seed,
     )
-    rows = with_class_weight(train).withColumn("held_out", held_out)
-    return _fit(fit_preparation(train), estimator, rows)
+    prep = fit_preparation(train)
+    rows = with_class_weight(train, prep).withColumn("held_out", held_out)
+    return _fit(prep, estimator, rows)
 
 
-def balance_by_copies(train: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+def balance_by_copies(
+    train: DataFrame, prep: Preparation, rules: Rules = DEFAULT
+) -> DataFrame:
     """Positives repeated until both classes weigh the same, for learners without weights."""
-    counts = train.agg(
-        F.struct(F.count("*").alias("n"), F.sum(LABEL).alias("pos")).alias("c")
-    )
-    wanted = F.when(
-        F.col(LABEL) == 1, F.try_divide(F.col("c.n") - F.col("c.pos"), F.col("c.pos"))
-    ).otherwise(1.0)
+    negatives = prep.n_rows - prep.n_positive
+    wanted = max(1.0, negatives / prep.n_positive) if prep.n_positive else 1.0
+    whole = int(wanted)
     draw = hash_bucket(salted(F.col(KEY), rules.seed, "copies"), BUCKETS) / BUCKETS
-    copies = F.greatest(
-        F.lit(1), (F.floor(wanted) + (draw < wanted - F.floor(wanted)).cast("int")).cast("int")
-    )
-    return (
-        train.withColumn("c", counts.scalar())
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-        .drop("c", "copy")
-    )
+    copies = F.when(F.col(LABEL) == 1, whole + (draw < wanted - whole).cast("int")).otherwise(1)
+    return train.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("copy")
 
 
 def train_perceptron(train: DataFrame, rules: Rules = DEFAULT, epochs: int = 80) -> PipelineModel:
@@ -140,7 +136,7 @@ def train_perceptron(train: DataFrame, rules: Rules = DEFAULT, epochs: int = 80)
     estimator = MultilayerPerceptronClassifier(
         labelCol=LABEL, layers=[n_inputs(prep), 128, 64, 32, 2], maxIter=epochs, seed=rules.seed
     )
-    return _fit(prep, estimator, balance_by_copies(train, rules))
+    return _fit(prep, estimator, balance_by_copies(train, prep, rules))
 
 
 TRAINERS: dict[str, Callable[..., PipelineModel]] = {

@@ -40,6 +40,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """For learners that cut their lineage by checkpoints; a configured folder stays."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch_dir(spark))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 

@@ -73,13 +73,13 @@ def test_quoted_category_values(frame):
 def test_class_weights_balance(frame):
     sums = {
         r["churned"]: r["w"]
-        for r in models.with_class_weight(frame).groupBy("churned").agg(F.sum("weight").alias("w")).collect()
+        for r in models.with_class_weight(frame, fit_preparation(frame)).groupBy("churned").agg(F.sum("weight").alias("w")).collect()
     }
     assert sums[0] == pytest.approx(sums[1])
 
 
 def test_copies_balance_the_classes_and_keep_all_rows(frame):
-    out = models.balance_by_copies(frame)
+    out = models.balance_by_copies(frame, fit_preparation(frame))
     n = {r["churned"]: r["count"] for r in out.groupBy("churned").count().collect()}
     assert out.select("subscriber_id").distinct().count() == frame.count()
     assert 0.7 < n[1] / n[0] < 1.4
