@@ -265,7 +265,7 @@ def _(w):
 def _(w):
     result = full_run.run(
         w.raw, fresh_path(w, "full_run"), industries=MARKET_SEGMENTS,
-        trainers={"logistic_regression": models.train_logistic},
+        trainers={"logistic_regression": models.train_logistic}, cross_validation=False,
     )
     return result.comparison
 

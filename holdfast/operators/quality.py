@@ -182,38 +182,45 @@ def column_reports(df: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     )
 
 
+def _issue(n: str, text: str) -> Column:
+    return F.when(F.col(n) > 0, F.concat(F.col(n).cast("string"), F.lit(f" {text}")))
+
+
 def report(df: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """One nested row: header, global issues, and a record per checked column."""
-    # Fifteen records at most, one per declared rule.
-    columns = column_reports(df, rules).agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct("column_name", "dtype", "n_total", "n_null", "pct_null", "n_unique", "issues")
-            )
-        ).alias("columns")
-    )
+    """One nested row: header, global issues, and a record per checked column.
+
+    The header follows from the profile of the key column, so the keys are counted once.
+    """
+    is_key = F.col("column_name") == "subscriber_id"
+    repeats = F.col("n_total") - F.col("n_unique") - F.least(F.col("n_null"), F.lit(1))
+    record = F.struct("column_name", "dtype", "n_total", "n_null", "pct_null", "n_unique", "issues")
     missing = [F.lit(f"Expected column '{c}' is missing") for c in missing_columns(df, rules)]
-    issues = F.array_compact(
-        F.array(
-            F.when(
-                F.col("n_duplicates") > 0,
-                F.concat(F.col("n_duplicates").cast("string"), F.lit(" duplicate subscriber_id values")),
-            ),
-            F.when(
-                F.col("n_bad_dates") > 0,
-                F.concat(
-                    F.col("n_bad_dates").cast("string"),
-                    F.lit(" rows where churn_date precedes subscription_start_date"),
-                ),
-            ),
-            *missing,
-        )
-    )
+    issues = [
+        _issue("n_duplicates", "duplicate subscriber_id values"),
+        _issue("n_bad_dates", "rows where churn_date precedes subscription_start_date"),
+        *missing,
+    ]
+    if {"churn_date", "subscription_start_date"} <= set(df.columns):
+        bad_dates = df.agg(F.count_if(bad_date())).scalar()
+    else:
+        bad_dates = F.lit(0).cast("bigint")
     return (
-        header(df)
-        .withColumn("global_issues", issues)
-        .withColumn("columns", columns.scalar())
-        .drop("n_bad_dates")
+        column_reports(df, rules)
+        .agg(
+            F.coalesce(F.max("n_total"), F.lit(0)).alias("n_rows"),
+            F.coalesce(F.max(F.when(is_key, repeats)), F.lit(0)).alias("n_duplicates"),
+            # Fifteen records at most, one per declared rule.
+            F.sort_array(F.collect_list(record)).alias("columns"),
+        )
+        .withColumn("n_bad_dates", bad_dates)
+        .select(
+            "n_rows",
+            F.lit(len(df.columns)).alias("n_cols"),
+            "n_duplicates",
+            rate_pct(F.col("n_duplicates"), F.col("n_rows")).cast("double").alias("pct_duplicates"),
+            F.array_compact(F.array(*issues)).alias("global_issues"),
+            "columns",
+        )
     )
 
 

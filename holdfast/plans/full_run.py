@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,35 +74,52 @@ def step_features(cleaned: DataFrame, out: str, rules: Rules = DEFAULT) -> DataF
     return files.read_features(cleaned.sparkSession, path)
 
 
+def _baseline(rows: DataFrame, train: DataFrame, rules: Rules) -> DataFrame:
+    return baseline_probability(rows, train, models.KEY, LABEL, rules).select(
+        models.KEY, "churn_probability", F.col(LABEL).alias("churned_actual")
+    )
+
+
 def step_train(
     features: DataFrame,
     out: str,
     rules: Rules = DEFAULT,
     trainers: dict[str, Callable[..., PipelineModel]] | None = None,
+    cross_validation: bool = True,
 ) -> tuple[DataFrame, dict[str, PipelineModel]]:
-    """Fits on train, evaluates once on test. Returns the comparison and the models."""
+    """Fits on train, checks on val and by folds, evaluates once on test.
+
+    Returns the test comparison and the models.
+    """
     trainers = models.TRAINERS if trainers is None else trainers
-    train = features.filter("split = 'train'").drop("split")
-    test = features.filter("split = 'test'").drop("split")
-    fitted, scored = {}, {
-        "baseline": baseline_probability(test, train, models.KEY, LABEL, rules).select(
-            models.KEY, "churn_probability", F.col(LABEL).alias("churned_actual")
-        )
-    }
-    for name, trainer in trainers.items():
-        fitted[name] = trainer(train, rules)
-        models.save_model(fitted[name], f"{out}/models/{name}")
-        scored[name] = models.score(fitted[name], test)
-    rows = [df.withColumn("model_name", F.lit(n)) for n, df in scored.items()]
-    predictions = rows[0]
-    for r in rows[1:]:
-        predictions = predictions.unionByName(r)
-    path = f"{out}/processed/predictions"
-    files.write_predictions(predictions, path)
-    stored = features.sparkSession.read.parquet(path)
-    comparison_path = f"{out}/processed/model_comparison"
-    files.write_comparison(models.compare_models(stored, rules), comparison_path)
-    return files.read_comparison(features.sparkSession, comparison_path), fitted
+    train, val, test = (
+        features.filter(F.col("split") == part).drop("split") for part in ("train", "val", "test")
+    )
+    fitted = {name: trainer(train, rules) for name, trainer in trainers.items()}
+    for name, model in fitted.items():
+        models.save_model(model, f"{out}/models/{name}")
+
+    def score_all(rows: DataFrame) -> DataFrame:
+        scored = {"baseline": _baseline(rows, train, rules)}
+        scored |= {name: models.score(model, rows) for name, model in fitted.items()}
+        return models.stack(scored)
+
+    validation = models.compare_models(score_all(val), rules)
+    if cross_validation and trainers:
+        folds = [
+            models.cross_validate(train, trainer, rules).withColumn("model", F.lit(name))
+            for name, trainer in trainers.items()
+        ]
+        validation = validation.join(reduce(DataFrame.unionByName, folds), "model", "left")
+    files.write_comparison(validation, f"{out}/processed/model_validation")
+
+    predictions = f"{out}/processed/predictions"
+    files.write_predictions(score_all(test), predictions)
+    comparison = f"{out}/processed/model_comparison"
+    files.write_comparison(
+        models.compare_models(features.sparkSession.read.parquet(predictions), rules), comparison
+    )
+    return files.read_comparison(features.sparkSession, comparison), fitted
 
 
 def step_predict(
@@ -131,6 +149,7 @@ def run(
     industries: tuple[str, ...] = INDUSTRY_NAMES,
     trainers: dict[str, Callable[..., PipelineModel]] | None = None,
     at: Column | None = None,
+    cross_validation: bool = True,
 ) -> RunResult:
     spark: SparkSession = raw.sparkSession
     if at is None:
@@ -141,7 +160,7 @@ def run(
     warehouse = step_warehouse(cleaned, out, industries)
     features = step_features(cleaned, out, rules)
     data_hash = fingerprint(cleaned).first()["data_hash"]
-    comparison, fitted = step_train(features, out, rules, trainers)
+    comparison, fitted = step_train(features, out, rules, trainers, cross_validation)
     sizes = features.groupBy("split").count().collect()
     n = {r["split"]: r["count"] for r in sizes}
     files.append_run(

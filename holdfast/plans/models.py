@@ -101,22 +101,51 @@ def train_forest(train: DataFrame, rules: Rules = DEFAULT, trees: int = 300) ->
     return _fit(prep, estimator, with_class_weight(train, prep))
 
 
-def train_boosting(train: DataFrame, rules: Rules = DEFAULT, rounds: int = 400) -> PipelineModel:
-    """Boosted trees; a tenth of the rows decides when to stop.
-
-    MLlib stops at the first round that makes the held-out loss worse, without a grace
-    of further rounds, and has no L2 term on the leaves.
+def stopping_round(losses: list[float], patience: int) -> int | None:
+    """Round after ``patience`` rounds without a new lowest loss; None if it never comes."""
+    best, best_round = float("inf"), 0
+    for i, loss in enumerate(losses, 1):
+        if loss < best:
+            best, best_round = loss, i
+        elif i - best_round >= patience:
+            return i
+    return None
+
+
+def train_boosting(
+    train: DataFrame, rules: Rules = DEFAULT, rounds: int = 400, patience: int = 20
+) -> PipelineModel:
+    """Boosted trees; a tenth of the rows decides how many.
+
+    MLlib's own early stop knows no patience, so the number of rounds is doubled until the
+    held-out loss has stopped falling, and the model is fitted for the rounds up to there.
+    The same seed grows the same first trees. MLlib has no L2 term on the leaves.
     """
     # Each round builds on the errors of the last one; checkpoints keep that lineage short.
     ensure_checkpoint_dir(train.sparkSession)
-    held_out = hash_bucket(salted(F.col(KEY), rules.seed, "early_stop"), 10) == 0
-    estimator = GBTClassifier(
-        labelCol=LABEL, weightCol="weight", maxIter=rounds, maxDepth=6, stepSize=0.05,
-        validationIndicatorCol="held_out", validationTol=0.0, seed=rules.seed,
-    )
     prep = fit_preparation(train)
-    rows = with_class_weight(train, prep).withColumn("held_out", held_out)
-    return _fit(prep, estimator, rows)
+    prepared = PipelineModel(preparation_stages(prep))
+    rows = prepared.transform(with_class_weight(train, prep))
+    is_held_out = hash_bucket(salted(F.col(KEY), rules.seed, "early_stop"), 10) == 0
+    held_out, fit_rows = rows.filter(is_held_out), rows.filter(~is_held_out)
+
+    def fit(n: int):
+        return GBTClassifier(
+            labelCol=LABEL, weightCol="weight", maxIter=n, maxDepth=6, stepSize=0.05,
+            minInstancesPerNode=20, maxBins=255, seed=rules.seed,
+        ).fit(fit_rows)
+
+    n = min(patience + 1, rounds)  # it cannot stop earlier
+    fitted = fit(n)
+    while not held_out.isEmpty():
+        stop = stopping_round(fitted.evaluateEachIteration(held_out), patience)
+        if stop is not None and stop < n:
+            fitted = fit(stop)
+        if stop is not None or n == rounds:
+            break
+        n = min(2 * n, rounds)
+        fitted = fit(n)
+    return PipelineModel([*prepared.stages, fitted])
 
 
 def balance_by_copies(
@@ -161,12 +190,11 @@ def cross_validate(
 ) -> DataFrame:
     """Mean and population deviation of both ranking metrics over the folds."""
     folds = train.withColumn("fold", fold_of(F.col(KEY), rules))
-    parts = []
+    held_out = {}
     for k in range(rules.folds):
         model = trainer(folds.filter(F.col("fold") != k).drop("fold"), rules)
-        held = score(model, folds.filter(F.col("fold") == k))
-        parts.append(held.withColumn("model_name", F.lit(f"fold_{k}")))
-    per_fold = ranking_metrics(reduce(DataFrame.unionByName, parts))
+        held_out[f"fold_{k}"] = score(model, folds.filter(F.col("fold") == k))
+    per_fold = ranking_metrics(stack(held_out))
     return per_fold.agg(
         *[
             F.round(f(m), 4).alias(f"cv_{m}_{name}")
@@ -176,10 +204,17 @@ def cross_validate(
     )
 
 
+def stack(scored: dict[str, DataFrame]) -> DataFrame:
+    """Scored frames under each other, with their names in model_name."""
+    return reduce(
+        DataFrame.unionByName,
+        [df.withColumn("model_name", F.lit(name)) for name, df in scored.items()],
+    )
+
+
 def evaluate(scored: dict[str, DataFrame], rules: Rules = DEFAULT) -> DataFrame:
     """Comparison table of several scored frames."""
-    rows = [df.withColumn("model_name", F.lit(name)) for name, df in scored.items()]
-    return compare_models(reduce(DataFrame.unionByName, rows), rules)
+    return compare_models(stack(scored), rules)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -85,6 +85,20 @@ def test_copies_balance_the_classes_and_keep_all_rows(frame):
     assert 0.7 < n[1] / n[0] < 1.4
 
 
+@pytest.mark.parametrize(
+    "losses, patience, want",
+    [([3, 2, 1], 2, None), ([3, 1, 2, 2, 0], 2, 4), ([1, 1, 1], 2, 3), ([2, 3, 1, 2, 2], 2, 5), ([], 1, None)],
+)
+def test_stopping_round(losses, patience, want):
+    assert models.stopping_round(losses, patience) == want
+
+
+def test_boosting_stops_when_the_held_out_loss_stops_falling(frame):
+    noise = frame.withColumn("churned", (F.crc32("subscriber_id") % 2).cast("int"))
+    model = models.train_boosting(noise, rounds=30, patience=3)
+    assert model.stages[-1].getNumTrees < 30
+
+
 def test_cross_validation_reports_mean_and_deviation(frame):
     row = models.cross_validate(frame, quick_forest).first()
     assert 0.5 < row["cv_roc_auc_mean"] <= 1 and row["cv_roc_auc_std"] >= 0
@@ -99,6 +113,9 @@ def test_whole_run(spark, tmp_path):
     assert {r["model"] for r in result.comparison.collect()} == {"baseline", "gradient_boost"}
     n = result.warehouse.fact.count()
     assert n == w.clean.count() == result.warehouse.predictions.count()
+    checked = spark.read.csv(f"{out}/processed/model_validation", header=True).collect()
+    folds = {r["model"]: r["cv_roc_auc_mean"] for r in checked}
+    assert folds["baseline"] is None and 0 <= float(folds["gradient_boost"]) <= 1
     runs = spark.read.parquet(f"{out}/warehouse/fact_model_runs")
     assert runs.filter(F.col("data_hash") == result.data_hash).count() == 2
     assert build_features(w.clean, []).count() == n
