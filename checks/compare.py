@@ -36,7 +36,11 @@ def _plain(value):
 def _rows(columns: list[str], rows) -> list[tuple]:
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     out = [tuple(_plain(r[i]) for i in order) for r in rows]
-    return sorted(out, key=lambda r: tuple((v is not None, str(type(v)), v) if v is not None else (False, "", 0) for v in r))
+
+    def nulls_first(row: tuple):
+        return tuple((v is not None, str(type(v)), 0 if v is None else v) for v in row)
+
+    return sorted(out, key=nulls_first)
 
 
 def differences(spark_df, con, sql: str) -> str | None:

@@ -913,3 +913,14 @@ ORACLE: dict[str, str] = {
         FROM fact WHERE region_code = 'EMEA' GROUP BY region_code, region_name""",
 }
 ORACLE["s21_view_by_sql"] = ORACLE["v03_by_region"]
+ORACLE["s08_audit_log_text"] = f"SELECT message AS value FROM ({_audit()})"
+ORACLE["s09_features_roundtrip"] = ORACLE["m2_11_features"]
+ORACLE["s12_comparison_csv"] = ORACLE["n12_comparison"]
+ORACLE["s13_quality_report_json"] = ORACLE["l1_header"]
+ORACLE["s14_run_records"] = f"""WITH {SCORED}, n AS (SELECT
+        count(*) FILTER (WHERE {SPLIT} = 'train') AS n_train,
+        count(*) FILTER (WHERE {SPLIT} = 'test') AS n_test FROM clean)
+    SELECT model || '_20241231T000000' AS run_id, model AS model_name,
+        '2024-12-31 00:00:00' AS trained_at, n_train, n_test, roc_auc, pr_auc, f1 AS f1_score,
+        "precision" AS precision_score, recall AS recall_score, threshold AS threshold_used
+    FROM comparison CROSS JOIN n"""

@@ -21,10 +21,11 @@ from holdfast.operators.warehouse import (
     prediction_rows,
 )
 from holdfast.plans import documents, full_run, kpis, models, named_queries, reports
+from holdfast.schemas import FACT_MODEL_RUNS
 from holdfast.session import scratch_dir
 from holdfast.sources import files
 from holdfast.sources.accounts import MARKET_SEGMENTS
-from holdfast.workspace import HEURISTIC, SIMPLE, Workspace, open_workspace
+from holdfast.workspace import HEURISTIC, PREDICTED_AT, SIMPLE, Workspace, open_workspace
 
 QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {}
 
@@ -186,6 +187,54 @@ def _(w):
     )
 
 
+@register("s08_audit_log_text")
+def _(w):
+    path = fresh_path(w, "clean")
+    files.write_clean(w.clean, cleaning.audit_log(w.raw, w.deduped, w.fit), path, path + "_log")
+    return w.spark.read.text(path + "_log")
+
+
+@register("s09_features_roundtrip")
+def _(w):
+    path = fresh_path(w, "features")
+    files.write_features(features.with_comments(w.features), path)
+    return _rounded_logs(files.read_features(w.spark, path))
+
+
+@register("s12_comparison_csv")
+def _(w):
+    path = fresh_path(w, "comparison")
+    files.write_comparison(metrics.compare_models(with_baseline(w)), path)
+    return files.read_comparison(w.spark, path)
+
+
+@register("s13_quality_report_json")
+def _(w):
+    path = fresh_path(w, "quality")
+    report = quality.report(w.raw)
+    files.write_quality_report(report, path, path + "_text")
+    stored = w.spark.read.schema(report.schema).json(path)
+    return stored.select("n_rows", "n_cols", "n_duplicates", "pct_duplicates")
+
+
+@register("s14_run_records")
+def _(w):
+    path = fresh_path(w, "runs")
+    sizes = splits.split_shares(
+        w.clean.withColumn("split", splits.split_of(F.col("subscriber_id"))), LABEL
+    ).collect()
+    n = {r["split"]: r["n"] for r in sizes}
+    records = models.run_record(
+        metrics.compare_models(with_baseline(w)),
+        F.lit(PREDICTED_AT).cast("timestamp"),
+        fingerprint(w.clean).first()["data_hash"],
+        n["train"], n["test"], path,
+    )
+    files.append_run(records, path)
+    stored = files.read_or_empty(w.spark, path, FACT_MODEL_RUNS, "parquet")
+    return stored.drop("data_hash", "artifact_path")
+
+
 @register("s15_watchlist_export")
 def _(w):
     path = fresh_path(w, "watchlist")
@@ -467,14 +516,17 @@ def _(w):
 
 
 # Features.
-@register("m2_11_features")
-def _(w):
-    f = features.build_features(w.clean, w.edges)
-    return f.withColumns(
+def _rounded_logs(df: DataFrame) -> DataFrame:
+    return df.withColumns(
         {c: F.round(c, 9) for c in ("fee_per_seat_log", "seat_count_log", "tenure_log")}
     )
 
 
+@register("m2_11_features")
+def _(w):
+    return _rounded_logs(features.build_features(w.clean, w.edges))
+
+
 @register("m6_engagement_decile")
 def _(w):
     edges = features.fit_decile_edges(w.clean)

@@ -16,7 +16,12 @@ from pyspark.sql import functions as F
 
 from holdfast.config import DEFAULT, Rules
 from holdfast.operators import cleaning, quality
-from holdfast.operators.features import LABEL, build_features, fit_decile_edges
+from holdfast.operators.features import (
+    LABEL,
+    build_features,
+    fit_decile_edges,
+    with_comments,
+)
 from holdfast.operators.fingerprint import fingerprint
 from holdfast.operators.splits import baseline_probability, split_of
 from holdfast.operators.warehouse import (
@@ -70,7 +75,7 @@ def step_features(cleaned: DataFrame, out: str, rules: Rules = DEFAULT) -> DataF
     parts = cleaned.withColumn("split", split_of(F.col("subscriber_id"), rules))
     edges = fit_decile_edges(parts.filter("split = 'train'"))
     path = f"{out}/processed/features"
-    files.write_splits(build_features(parts, edges), path)
+    files.write_splits(with_comments(build_features(parts, edges)), path)
     return files.read_features(cleaned.sparkSession, path)
 
 

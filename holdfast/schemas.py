@@ -16,9 +16,6 @@ _ACCOUNT_BODY = """
 CLEAN = _ACCOUNT_BODY
 RAW = _ACCOUNT_BODY + ", ingest_seq bigint"
 
-# Raw text files: dates and numbers arrive as text and are parsed safely.
-RAW_TEXT_DATES = ("subscription_start_date", "churn_date")
-
 DIM_PLAN = """plan_id int, plan_tier string, tier_rank int, base_price_floor decimal(12,2),
     base_price_ceil decimal(12,2), description string"""
 DIM_REGION = "region_id int, region_code string, region_name string"

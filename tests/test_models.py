@@ -73,7 +73,10 @@ def test_quoted_category_values(frame):
 def test_class_weights_balance(frame):
     sums = {
         r["churned"]: r["w"]
-        for r in models.with_class_weight(frame, fit_preparation(frame)).groupBy("churned").agg(F.sum("weight").alias("w")).collect()
+        for r in models.with_class_weight(frame, fit_preparation(frame))
+        .groupBy("churned")
+        .agg(F.sum("weight").alias("w"))
+        .collect()
     }
     assert sums[0] == pytest.approx(sums[1])
 

@@ -84,3 +84,7 @@ def test_best_and_worst(spark):
     )
     got = {r["metric"]: (r["best_model"], r["worst_model"]) for r in reports.best_and_worst(df).collect()}
     assert got == {"roc_auc": ("a", "b"), "pr_auc": ("b", "a"), "f1": ("a", "b")}
+
+
+def test_preview(watchlist):
+    assert reports.preview(watchlist).count() == 20
