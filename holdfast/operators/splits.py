@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from holdfast.config import DEFAULT, Rules
 from holdfast.functions.exact import hash_bucket, hash_key, rate_pct
+from holdfast.operators.joins import join_own_aggregate
 from holdfast.operators.quantiles import value_counts, values_at_ranks
+from holdfast.session import stage
 
 BUCKETS = 10_000
 
@@ -57,8 +59,9 @@ def exact_split(df: DataFrame, key: str, label: str, rules: Rules = DEFAULT) ->
         .when(F.col("split_hash") < F.col("val_cut"), "val")
         .otherwise("train")
     )
+    # Staged, the cuts are known to be small and the rows need no shuffle to meet them.
     return (
-        hashed.join(cuts, label)
+        join_own_aggregate(hashed, stage(cuts, "cuts"), [label])
         .withColumn("split", part)
         .drop("split_hash", "test_cut", "val_cut")
         .select(*df.columns, "split")
