@@ -15,11 +15,13 @@ def _one_per_key(df: DataFrame, keys: list[str], pick, order: Column) -> DataFra
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    return _one_per_key(df, keys, F.min_by, order)
+    """Row with the lowest order per key; rows without an order come last."""
+    return _one_per_key(df, keys, F.min_by, F.struct(order.isNull(), order))
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    return _one_per_key(df, keys, F.max_by, order)
+    """Row with the highest order per key; rows without an order come first."""
+    return _one_per_key(df, keys, F.max_by, F.struct(order.isNotNull(), order))
 
 
 def upsert(existing: DataFrame | None, batch: DataFrame, keys: list[str], order: str) -> DataFrame:

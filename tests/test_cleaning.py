@@ -25,6 +25,16 @@ def test_first_arrival_is_kept(accounts):
     assert steps(log)["dedup"]["n_affected"] == 1
 
 
+def test_rows_without_arrival_number_come_last_but_are_not_lost(accounts):
+    raw = accounts(
+        {"subscriber_id": "A", "seat_count": 9, "ingest_seq": None},
+        {"subscriber_id": "A", "seat_count": 4, "ingest_seq": 7},
+        {"subscriber_id": "B", "seat_count": 5, "ingest_seq": None},
+    )
+    got = rows(cleaning.remove_duplicates(raw))
+    assert {k: r["seat_count"] for k, r in got.items()} == {"A": 4, "B": 5}
+
+
 def test_churn_before_start_is_reset_but_reason_stays(accounts):
     raw = accounts(
         {"churned": 1, "churn_date": date(2022, 12, 15), "churn_reason": "Feature gaps"},

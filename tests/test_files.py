@@ -30,6 +30,22 @@ def test_cells_that_do_not_parse_become_null(spark, tmp_path):
     assert got["seat_count"] is None and got["subscription_start_date"] is None
 
 
+def test_files_without_arrival_numbers_keep_their_first_lines(spark, accounts, tmp_path):
+    rows = [{"subscriber_id": f"S{i % 500}", "seat_count": i + 1} for i in range(3000)]
+    target = tmp_path / "raw.csv"
+    accounts(*rows).drop("ingest_seq").toPandas().to_csv(target, index=False)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+        raw = files.read_raw_in_file_order(spark, str(target))
+        assert raw.rdd.getNumPartitions() > 3
+        out, _ = cleaning.clean(raw)
+        got = {r["subscriber_id"]: r["seat_count"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {f"S{i}": i + 1 for i in range(500)}
+
+
 def test_missing_files_read_as_empty(spark, tmp_path):
     assert files.read_comparison(spark, str(tmp_path / "none")).columns[:2] == ["model", "roc_auc"]
     assert files.read_predictions(spark, str(tmp_path / "none"), "m").count() == 0
