@@ -148,21 +148,37 @@ class Words:
     bounds: np.ndarray
 
 
+def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of true values, never across rows."""
+    if len(member) == 0:
+        none = np.zeros(0, np.int64)
+        return none, none
+    edge = np.zeros(len(member) + 1, bool)
+    edge[offsets] = True
+    opens, shuts = member.copy(), member.copy()
+    opens[1:] &= ~member[:-1] | edge[1:-1]
+    shuts[:-1] &= ~member[1:] | edge[1:-1]
+    return np.flatnonzero(opens), np.flatnonzero(shuts) + 1
+
+
 def words(piece: Piece) -> Words:
     """Words ``[^\\x20\\x09-\\x0D]+``, never across rows."""
-    n = len(piece.data)
-    if n == 0:
-        none = np.zeros(0, np.int64)
-        return Words(none, none, np.zeros(piece.rows + 1, np.int64))
-    solid = ~_SPACE[piece.data]
-    edge = np.zeros(n + 1, bool)
-    edge[piece.offsets] = True
-    opens, closes = solid.copy(), solid
-    opens[1:] &= ~solid[:-1] | edge[1:-1]
-    shut = solid.copy()
-    shut[:-1] &= ~closes[1:] | edge[1:-1]
-    starts = np.flatnonzero(opens)
-    return Words(starts, np.flatnonzero(shut) + 1, np.searchsorted(starts, piece.offsets))
+    starts, ends = runs(~_SPACE[piece.data], piece.offsets)
+    return Words(starts, ends, np.searchsorted(starts, piece.offsets))
+
+
+def code_points_before(piece: Piece) -> np.ndarray:
+    """Number of code points that begin before each byte of a piece, and before its end."""
+    out = np.zeros(len(piece.data) + 1, np.int64)
+    np.cumsum((piece.data & 0xC0) != 0x80, out=out[1:])
+    return out
+
+
+def byte_set(members: str) -> np.ndarray:
+    """Membership of each byte value in a set of ASCII characters."""
+    out = np.zeros(256, bool)
+    out[list(members.encode("ascii"))] = True
+    return out
 
 
 # --- streams -------------------------------------------------------------------------------------

@@ -5,14 +5,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import mixing, search, warc
+from holdfast.llm import bpe, mixing, search, secrets, warc
 from holdfast.llm.common import stage, table
 from holdfast.session import scratch_dir
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as archives, read back and assembled."""
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}/warc"
@@ -47,6 +51,16 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of all documents."""
+    return secrets.scan(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, and decoded again."""
+    return bpe.token_digests(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty best vectors for each vector whose id is divisible by 20."""
     found = search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64.0)
@@ -57,5 +71,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_warc": op2_warc,
         "op3_mix_sources": op3_mix_sources,
+        "op4_secrets": op4_secrets,
+        "op8_bpe": op8_bpe,
         "op10_topk_search": op10_topk_search,
     }
