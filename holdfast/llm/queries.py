@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, mixing, search, secrets, warc
+from holdfast.llm import bpe, mixing, pii, search, secrets, warc
 from holdfast.llm.common import stage, table
 from holdfast.session import scratch_dir
 
@@ -56,6 +56,14 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", pii.all_spans().alias("spans")
+    )
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, and decoded again."""
     return bpe.token_digests(table(spark, sf_dir, "documents"), VOCABULARY)
@@ -72,6 +80,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op3_mix_sources": op3_mix_sources,
         "op4_secrets": op4_secrets,
+        "op6_personal_data": op6_personal_data,
         "op8_bpe": op8_bpe,
         "op10_topk_search": op10_topk_search,
     }
