@@ -64,4 +64,31 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLE = {"op2_warc": OP2, "op3_mix_sources": OP3, "op10_topk_search": OP10}
+OP9 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) = 1 THEN w
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d
+), e AS (
+  SELECT doc_id, unnest(g) AS g FROM s
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id
+  GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+  WHERE 100 * n >= 80 * (len(x.g) + len(y.g) - n)
+), u AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT doc_id AS node, doc_id AS reach FROM s UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach
+), c AS (
+  SELECT node, min(reach) AS component_id FROM r GROUP BY node
+)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM s JOIN c ON node = doc_id
+"""
+
+ORACLE = {"op2_warc": OP2, "op3_mix_sources": OP3, "op9_near_duplicates": OP9, "op10_topk_search": OP10}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, mixing, pii, search, secrets, warc
+from holdfast.llm import bpe, minhash, mixing, pii, search, secrets, warc
 from holdfast.llm.common import stage, table
 from holdfast.session import scratch_dir
 
@@ -69,6 +69,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share four fifths of their two-word shingles."""
+    rows = minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty best vectors for each vector whose id is divisible by 20."""
     found = search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64.0)
@@ -82,5 +88,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secrets": op4_secrets,
         "op6_personal_data": op6_personal_data,
         "op8_bpe": op8_bpe,
+        "op9_near_duplicates": op9_near_duplicates,
         "op10_topk_search": op10_topk_search,
     }

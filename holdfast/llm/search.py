@@ -201,7 +201,7 @@ def top_k(
     ``is_query`` is a condition on the column ``id``.
     """
     rows = stage(integer_vectors(vectors, id_col, vector_col, scale), "integer_vectors")
-    asked, _ = blocks(rows.filter(is_query), query_rows)
+    asked, n_asked = blocks(rows.filter(is_query), query_rows)
     asked = stage(
         asked.select(
             F.col("block").alias("q_block"), F.col("width").alias("q_width"),
@@ -214,7 +214,8 @@ def top_k(
     # A sample of at most SEED_ROWS rows sets the first score to beat.
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SEED_ROWS)
     seed, _ = blocks(stage(sample, "sample"), 2 * SEED_ROWS)
-    seeded = asked.withColumn("block", F.lit(0)).join(seed, "block")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))
+    seeded = asked.join(seed.withColumn("q_block", every), "q_block")
     to_beat = stage(seeded.mapInArrow(_visit(k, True), "q_block int, to_beat binary"), "to_beat")
     visits = (
         asked.join(to_beat, "q_block", "left")
