@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import Piece, RangeHash, column, pieces
+from holdfast.llm.common import Piece, RangeHash, column, pieces, ragged
 
 CACHE_SLICES = 800_000
 BLOCK = 96
@@ -174,14 +174,6 @@ def pretokens(piece: Piece) -> np.ndarray:
     return at[match_starts(symbols(points, first))]
 
 
-def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Concatenated ranges ``starts[i] .. starts[i] + counts[i]``."""
-    ends = np.cumsum(counts)
-    if len(ends) == 0 or ends[-1] == 0:
-        return np.zeros(0, np.int64)
-    return np.arange(ends[-1]) + np.repeat(starts - (ends - counts), counts)
-
-
 class Vocabulary:
     """Ranks of a tiktoken file with pair merging, a cache of merged slices, and decoding tables."""
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, minhash, mixing, pii, search, secrets, warc
+from holdfast.llm import bpe, minhash, mixing, pii, search, secrets, simhash, warc
 from holdfast.llm.common import stage, table
 from holdfast.session import scratch_dir
 
@@ -17,6 +17,11 @@ from holdfast.session import scratch_dir
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts."""
+    return simhash.fingerprinted(table(spark, sf_dir, "documents"), radius=3)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as archives, read back and assembled."""
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}/warc"
@@ -83,6 +88,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": op1_simhash,
         "op2_warc": op2_warc,
         "op3_mix_sources": op3_mix_sources,
         "op4_secrets": op4_secrets,
