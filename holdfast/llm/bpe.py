@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import Piece, RangeHash, column, pieces, ragged
+from holdfast.llm.common import Piece, RangeHash, column, pieces, plus, ragged
 
 CACHE_SLICES = 800_000
 BLOCK = 96
@@ -342,7 +342,7 @@ def _encoder(path: str, text_col: str):
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with token_ids and token_offsets (the byte where each token begins)."""
     kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("token_ids", "token_offsets")])
-    schema = kept.schema.add("token_ids", "array<int>").add("token_offsets", "array<int>")
+    schema = plus(kept.schema, ("token_ids", "array<int>"), ("token_offsets", "array<int>"))
     return kept.mapInArrow(_encoder(path, text_col), schema)
 
 
@@ -367,7 +367,7 @@ def _decoder(path: str, ids_col: str):
 def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
     """``tokens`` with the text of each row's ids as ``decoded``; null ids give empty text."""
     kept = tokens.select(*[f"`{c}`" for c in tokens.columns if c != "decoded"])
-    return kept.mapInArrow(_decoder(path, ids_col), kept.schema.add("decoded", "string"))
+    return kept.mapInArrow(_decoder(path, ids_col), plus(kept.schema, ("decoded", "string")))
 
 
 _DIGESTS = pa.schema(

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from holdfast.session import stage as stage  # staged tables go to the shared folder
 
@@ -230,6 +231,14 @@ def clustered(df: DataFrame, keys: list[str], order: list[str] | None = None) ->
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *(order or []))
 
 
+def plus(schema: StructType, *fields: tuple[str, str]) -> StructType:
+    """A schema with further fields; ``schema`` itself stays as it is."""
+    out = StructType(list(schema.fields))
+    for name, kind in fields:
+        out = out.add(name, kind)
+    return out
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns an operator reads, whatever else the table carries."""
     return df.select(*[F.col(f"`{n}`") for n in names])

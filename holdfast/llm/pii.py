@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import Piece, byte_set, code_points_before, column, pieces, runs, stage, words
+from holdfast.llm.common import Piece, byte_set, code_points_before, column, pieces, plus, stage, words
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "context"
@@ -328,7 +328,7 @@ def redact(docs: DataFrame, **options) -> DataFrame:
         .distinct(),
         "spans",
     )
-    named = docs.mapInArrow(_name_rows, docs.schema.add("_row_id", "string"))
+    named = docs.mapInArrow(_name_rows, plus(docs.schema, ("_row_id", "string")))
     joined = named.join(spans, "_row_id", "left").drop("_row_id")
     fields = [f for f in joined.schema if f.name not in ("text", "_spans")] + [docs.schema["text"]]
     out = joined.mapInArrow(_redactor, type(docs.schema)(fields))

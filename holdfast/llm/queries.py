@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, minhash, mixing, pii, search, secrets, simhash, warc
+from holdfast.llm import bpe, minhash, mixing, pii, search, secrets, simhash, toxicity, warc
 from holdfast.llm.common import stage, table
 from holdfast.session import scratch_dir
 
@@ -69,6 +69,19 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; labels of held-out rows are not read."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        (~toxicity.may_learn(F.col("doc_id"))).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, and decoded again."""
     return bpe.token_digests(table(spark, sf_dir, "documents"), VOCABULARY)
@@ -93,6 +106,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix_sources": op3_mix_sources,
         "op4_secrets": op4_secrets,
         "op6_personal_data": op6_personal_data,
+        "op7_toxicity": op7_toxicity,
         "op8_bpe": op8_bpe,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_topk_search": op10_topk_search,
