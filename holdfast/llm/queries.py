@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import bpe, minhash, mixing, pii, search, secrets, simhash, toxicity, warc
+from holdfast.llm import bpe, minhash, mixing, pii, search, secrets, simhash, suffixes, toxicity, warc
 from holdfast.llm.common import stage, table
 from holdfast.session import scratch_dir
 
@@ -61,6 +61,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the strings of 200 bytes that start more than once."""
+    rows = suffixes.without_repeats(table(spark, sf_dir, "documents"), length=200)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     found = pii.personal_data(table(spark, sf_dir, "documents"))
@@ -105,6 +111,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op3_mix_sources": op3_mix_sources,
         "op4_secrets": op4_secrets,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_personal_data": op6_personal_data,
         "op7_toxicity": op7_toxicity,
         "op8_bpe": op8_bpe,
