@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from holdfast.llm import bpe, minhash, mixing, pii, search, secrets, simhash, suffixes, toxicity, warc
 from holdfast.llm.common import stage, table
 from holdfast.session import scratch_dir
@@ -107,6 +108,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_simhash": op1_simhash,
         "op2_warc": op2_warc,
         "op3_mix_sources": op3_mix_sources,
