@@ -233,10 +233,7 @@ def clustered(df: DataFrame, keys: list[str], order: list[str] | None = None) ->
 
 def plus(schema: StructType, *fields: tuple[str, str]) -> StructType:
     """A schema with further fields; ``schema`` itself stays as it is."""
-    out = StructType(list(schema.fields))
-    for name, kind in fields:
-        out = out.add(name, kind)
-    return out
+    return StructType(list(schema.fields) + [StructType.fromDDL(f"`{name}` {kind}")[0] for name, kind in fields])
 
 
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
