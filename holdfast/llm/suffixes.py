@@ -13,8 +13,8 @@ suffix array is made by two-stage sorting: suffixes smaller than their successor
 directly, the others are induced by one scan over the buckets of first bytes. Common
 prefixes of neighbours in the array then tell which windows occur again.
 
-An anchor with very many different contexts is not put in one task: its windows are counted by
-digest, which gives the same answer without bringing them together.
+An anchor with very many different contexts is not put in one task: blocks of its windows, then single
+windows, are counted by digest, which gives the same answer without bringing them together.
 
 Null text counts as empty. Rows of one doc_id are documents of their own. Rows shorter than ``length``
 lose nothing. An empty table gives no rows; other columns are ignored.
@@ -38,6 +38,7 @@ from holdfast.llm.common import (
     column,
     grouped,
     pieces,
+    ragged,
     stage,
 )
 
@@ -62,16 +63,17 @@ def _types(s: np.ndarray) -> np.ndarray:
 
 
 def _sort_direct(s: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes ``at`` in order of their first ``depth`` symbols, by refining groups eight bytes at a time."""
+    """Suffixes ``at`` in order of their first ``depth`` symbols, by refining groups seven symbols at a time."""
     padded = np.concatenate([s.astype(np.uint16), np.zeros(depth + 8, np.uint16)])
     rank = np.zeros(len(at), np.int64)
     order = np.arange(len(at))
     offset = 0
     while offset < depth and len(order):
-        # Four symbols of 16 bits make one key.
+        # Seven symbols of nine bits make one key.
         key = np.zeros(len(order), U64)
-        for k in range(4):
-            key = (key << U64(16)) | padded[at[order] + offset + k].astype(U64)
+        where = at[order] + offset
+        for k in range(min(7, depth - offset)):
+            key = (key << U64(9)) | padded[where + k].astype(U64)
         sort = np.lexsort((key, rank[order]))
         order, key = order[sort], key[sort]
         group = rank[order]
@@ -87,14 +89,15 @@ def _sort_direct(s: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
         # Only groups with several members go on.
         size = np.bincount(np.cumsum(first) - 1)
         order = order[size[np.cumsum(first) - 1] > 1]
-        offset += 4
+        offset += 7
     return at[np.argsort(rank, kind="stable")]
 
 
-def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(s: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Suffixes of ``s`` ordered by their first ``depth`` symbols, by two-stage sorting.
 
-    ``s`` holds small integers. Suffixes that rise (smaller than their successor) are sorted directly.
+    ``s`` holds integers from 0 to 511. If only the positions ``wanted`` are, just the rising suffixes at or
+    next after them are sorted, and what these induce; the result holds the wanted ones among others. Suffixes that rise (smaller than their successor) are sorted directly.
     The buckets of first symbols are then scanned upwards: the predecessor of every suffix met that
     falls (exceeds its successor) takes the next place at the front of its own bucket.
     """
@@ -102,10 +105,17 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     if n == 0:
         return np.zeros(0, np.int64)
     rising = _types(s)
-    direct = _sort_direct(s, np.flatnonzero(rising), depth + 8)
+    rises = np.flatnonzero(rising)
+    last_falls = True
+    if wanted is not None and len(rises):
+        next_ = np.unique(np.searchsorted(rises, wanted))
+        last_falls = bool(next_[-1] == len(rises)) if len(next_) else False
+        rises = rises[next_[next_ < len(rises)]]
+    direct = _sort_direct(s, rises, depth + 8)
     direct_cut = np.searchsorted(s[direct], np.arange(int(s.max()) + 2))
     fronts: list[list[np.ndarray]] = [[] for _ in range(int(s.max()) + 1)]
-    fronts[s[n - 1]].append(np.array([n - 1]))  # the last suffix falls: its successor is empty
+    if last_falls:
+        fronts[s[n - 1]].append(np.array([n - 1]))  # the last suffix falls: its successor is empty
     out = []
 
     def induce(found: np.ndarray) -> dict[int, np.ndarray]:
@@ -135,7 +145,7 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
             out.append(back)
             for symbol, found in induce(back).items():
                 fronts[symbol].append(found)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def common_prefixes(s: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
@@ -165,18 +175,17 @@ def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     ends = np.cumsum(sizes)
     raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int16) + 1
     raw[ends - 1] = 0  # separators are smaller than any byte
-    order = suffix_array(raw, length)
-    prefix = common_prefixes(raw, order, length)
-    # Windows that hold a separator are no windows.
-    owner = np.searchsorted(ends, order, side="right")
-    whole = order + length < ends[owner]
-    # A run of suffixes joined by full prefixes is one string; separators within it cannot be, as
-    # every member is compared on bytes only where it is whole.
-    joined = prefix >= length
-    run = np.cumsum(~joined)
-    members = np.bincount(run, whole)
-    again = whole & (members[run] > 1)
-    found = np.sort(order[again])
+    windows = np.maximum(sizes - length, 0)
+    wanted = ragged(ends - sizes, windows)
+    if len(wanted) == 0:
+        return [wanted] * len(texts)
+    is_window = np.zeros(len(raw), bool)
+    is_window[wanted] = True
+    order = suffix_array(raw, length, wanted)
+    order = order[is_window[order]]
+    # Neighbours with a full common prefix are one string.
+    run = np.cumsum(common_prefixes(raw, order, length) < length)
+    found = np.sort(order[np.bincount(run)[run] > 1])
     cuts = np.searchsorted(found, np.concatenate([[0], ends]))
     base = np.concatenate([[0], ends[:-1]])
     return [found[cuts[i] : cuts[i + 1]] - base[i] for i in range(len(texts))]
@@ -333,26 +342,103 @@ def _sort_contexts(length: int):
     return run
 
 
-def _digest_windows(length: int):
-    """A row per window: its offset from the anchor and a digest of its bytes."""
+WINDOW_BLOCK = 16
+
+
+def _digest(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def _blocks(length: int):
+    """Contexts -> blocks of windows at the same offsets from the anchor, with two digests.
+
+    ``core`` covers the bytes that all windows of a block share, whichever of them a context owns;
+    ``full`` covers the bytes and offsets of the windows it owns.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for row in batch.to_pylist():
-                raw, n = row["bytes"], row["last"] - row["first"] + 1
-                digests = b"".join(hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in range(n))
-                pair = np.frombuffer(digests, np.int64).reshape(n, 2)
+                raw, zero = row["bytes"], row["first"] - row["at"]
+                n = row["last"] - row["first"] + 1
+                for block in range(zero // WINDOW_BLOCK, (zero + n - 1) // WINDOW_BLOCK + 1):
+                    low = max(block * WINDOW_BLOCK, zero)
+                    high = min((block + 1) * WINDOW_BLOCK, zero + n)
+                    a, b = (block + 1) * WINDOW_BLOCK - 1 - zero, block * WINDOW_BLOCK + length - zero
+                    bytes_ = raw[low - zero : high - 1 - zero + length]
+                    out.append(
+                        (row["hash"], row["context"], low - zero, block, _digest(raw[a:b]),
+                         _digest(b"%d %d " % (low, high) + bytes_), bytes_)
+                    )
+            if out:
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, row["hash"])), pa.array(np.full(n, row["context"])),
-                        pa.array(np.arange(n, dtype=np.int32)), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()),
-                    ],
-                    names=["hash", "context", "start", "d1", "d2"],
-                )
+                    [pa.array(c, t) for c, t in zip(zip(*out), _BLOCK_TYPES)], names=_names(_BLOCK_FIELDS)
+                )
 
     return run
 
 
+def _names(fields: str) -> list[str]:
+    return [f.split()[0] for f in fields.split(", ")]
+
+
+_BLOCK_FIELDS = "hash bigint, context bigint, start int, block int, core binary, full binary, bytes binary"
+_BLOCK_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _windows(length: int):
+    """Blocks -> a row per window: its place in the block and a digest of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [
+                (full, i, _digest(raw[i : i + length]))
+                for full, raw in zip(column(batch, "full").to_pylist(), column(batch, "bytes").to_pylist())
+                for i in range(len(raw) - length + 1)
+            ]
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int32(), pa.binary()))],
+                    names=["full", "i", "digest"],
+                )
+
+    return run
+
+
+def _repeats_by_digest(contexts: DataFrame, length: int) -> DataFrame:
+    """hash, context, lows, highs of contexts whose anchor has too many of them for one task.
+
+    Blocks that occur twice are repeated as a whole. Of the others only those are taken apart whose
+    core also occurs in a different block, and their windows are counted.
+    """
+    blocks = stage(contexts.mapInArrow(_blocks(length), _BLOCK_FIELDS), "blocks")
+    different = stage(
+        blocks.groupBy("hash", "block", "core", "full").agg(F.count("*").alias("n"), F.first("bytes").alias("bytes")),
+        "different_blocks",
+    )
+    alike = different.filter("n > 1").select("full")
+    mixed = stage(
+        different.groupBy("hash", "block", "core").agg(F.count("*").alias("k")).filter("k > 1").drop("k"), "mixed_cores"
+    )
+    windows = different.join(mixed, ["hash", "block", "core"]).select("full", "bytes").mapInArrow(
+        _windows(length), "full binary, i int, digest binary"
+    )
+    windows = stage(windows, "windows")
+    shared = stage(windows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "shared")
+    parts = windows.join(shared, "digest").groupBy("full").agg(F.collect_set("i").alias("windows"))
+    verdict = stage(
+        parts.join(alike.withColumn("all", F.lit(True)), "full", "full"), "block_verdicts"
+    )
+    last = F.octet_length("bytes") - length
+    at = F.when(F.col("all"), F.sequence(F.lit(0), last)).otherwise(F.col("windows"))
+    starts = blocks.join(verdict, "full").select(
+        "hash", "context", F.transform(at, lambda i: i + F.col("start")).alias("lows")
+    )
+    found = starts.groupBy("hash", "context").agg(F.flatten(F.collect_list("lows")).alias("lows"))
+    return found.select("hash", "context", "lows", F.col("lows").alias("highs"))
+
+
 # --- removal -------------------------------------------------------------------------------------
 
 
@@ -424,15 +510,8 @@ def repeated_windows(rows: DataFrame, length: int, gram: int) -> DataFrame:
     usual = clustered(bytes_.filter(F.col("contexts") <= MANY_CONTEXTS).drop("contexts"), ["hash"])
     by_array = usual.mapInArrow(_sort_contexts(length), _RANGES)
 
-    windows = bytes_.filter(F.col("contexts") > MANY_CONTEXTS).drop("contexts").mapInArrow(
-        _digest_windows(length), "hash bigint, context bigint, start int, d1 bigint, d2 bigint"
-    )
-    windows = stage(windows, "windows")
-    shared = stage(
-        windows.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").select("d1", "d2"), "shared_windows"
-    )
-    by_count = windows.join(shared, ["d1", "d2"]).groupBy("hash", "context").agg(F.collect_list("start").alias("lows"))
-    by_count = by_count.select("hash", "context", "lows", F.col("lows").alias("highs"))
+    crowded = bytes_.filter(F.col("contexts") > MANY_CONTEXTS).drop("contexts")
+    by_count = _repeats_by_digest(crowded, length)
     partly = stage(by_array.union(by_count), "ranges")
 
     again = whole.filter("n > 1").select("hash", "context", F.lit(True).alias("all"))
