@@ -4,9 +4,11 @@ Each bucket of a sketch is the smallest of one hash over a document's shingles,
 leading zeros and ten mantissa bits. Sketches are cut into bands; documents that agree in a band are
 candidates. Inside a band group the compressed registers (a byte each) estimate Jaccard, corrected for
 registers that collide by chance; only a maximum spanning forest of the pairs above the threshold less
-a margin is confirmed, so a group of m copies costs m pairs, not m squared. If a tree edge fails, all
-remaining pairs of that group that still join different components are confirmed too. Confirmation
-compares the full sets of 64-bit shingle hashes, made from whole texts.
+a margin is confirmed, so a group of m copies costs m pairs, not m squared. Confirmation compares the
+full sets of 64-bit shingle hashes, made from whole texts. Where a tree edge fails, documents that the
+trees had joined may still be linked by pairs outside the trees: such a cluster gets its full sets
+once, cut into chunks, and every pair of different components whose estimate fits is compared there;
+only a forest of the links found leaves a task.
 
 Documents with equal sets are one node. Band groups that repeat in other bands are compared once.
 Large groups are cut into chunks, and every pair of chunks is a task of its own.
@@ -45,7 +47,7 @@ from holdfast.llm.components import components
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-CHUNK = 512
+CHUNK = 1024
 MARGIN = 0.12
 
 _random = np.random.default_rng(20240501)
@@ -197,29 +199,34 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def _pairs(threshold: float, margin: float, every: bool):
-    """Pairs of each part of a band group whose estimate reaches the threshold less the margin.
+def _estimates(sketches: np.ndarray, size: np.ndarray, i: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated Jaccard of row i and the rows after it, and whether their sizes allow the threshold."""
+    same = (sketches[i + 1 :] == sketches[i]).mean(axis=1)
+    c = chance(size[i + 1 :], size[i])
+    fits = np.minimum(size[i + 1 :], size[i]) >= threshold * np.maximum(size[i + 1 :], size[i])
+    return (same - c) / (1 - c), fits
 
-    ``every``: all that join different components; else a maximum spanning forest.
-    """
+
+def _rows_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Distinct nodes of a part: where they are, ids, sizes, chunks, registers, and whether it joins two chunks."""
+    node = column(group, "node").to_numpy()
+    _, first = np.unique(node, return_index=True)
+    data = column(group, "registers").to_pylist()
+    sketches = np.frombuffer(b"".join(data[i] for i in first), np.uint8).reshape(-1, REGISTERS)
+    across = column(group, "low")[0].as_py() != column(group, "high")[0].as_py()
+    return first, node[first], column(group, "n_shingles").to_numpy()[first], column(group, "chunk").to_numpy()[first], sketches, across
+
+
+def _trees(threshold: float, margin: float):
+    """For each part of a band group a maximum spanning forest of the pairs whose estimate fits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["key", "low", "high"]):
-            node = column(group, "node").to_numpy()
-            _, first = np.unique(node, return_index=True)
-            take = lambda name: column(group, name).to_numpy()[first]  # noqa: E731, B023
-            node, size, chunk = node[first], take("n_shingles"), take("chunk")
-            label = take("component") if every else np.arange(len(node))
-            data = column(group, "registers").to_pylist()
-            sketches = np.frombuffer(b"".join(data[i] for i in first), np.uint8).reshape(-1, REGISTERS)
-            across = column(group, "low")[0].as_py() != column(group, "high")[0].as_py()
+            _, node, size, chunk, sketches, across = _rows_of(group)
             found = []
             for i in range(len(node) - 1):
-                same = (sketches[i + 1 :] == sketches[i]).mean(axis=1)
-                c = chance(size[i + 1 :], size[i])
-                estimate = (same - c) / (1 - c)
-                fits = np.minimum(size[i + 1 :], size[i]) >= threshold * np.maximum(size[i + 1 :], size[i])
-                fits &= (estimate >= threshold - margin) & (label[i + 1 :] != label[i])
+                estimate, fits = _estimates(sketches, size, i, threshold)
+                fits &= estimate >= threshold - margin
                 if across:
                     fits &= chunk[i + 1 :] != chunk[i]
                 j = np.flatnonzero(fits)
@@ -228,24 +235,60 @@ def _pairs(threshold: float, margin: float, every: bool):
             if not found:
                 continue
             a, b, estimate = (np.concatenate(x) for x in zip(*found))
-            if not every:
-                order = np.argsort(-estimate, kind="stable")
-                a, b = a[order], b[order]
-                kept = _forest(a, b, len(node))
-                a, b = a[kept], b[kept]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[pa.array([column(group, k)[0].as_py()] * len(a), t) for k, t in
-                      (("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()))],
-                    pa.array(node[a]), pa.array(node[b]),
-                ],
-                names=["key", "low", "high", "a", "b"],
-            )
+            order = np.argsort(-estimate, kind="stable")
+            a, b = a[order], b[order]
+            kept = _forest(a, b, len(node))
+            yield pa.RecordBatch.from_arrays([pa.array(node[a[kept]]), pa.array(node[b[kept]])], names=["a", "b"])
+
+    return run
+
+
+def _links(threshold: float, margin: float, percent: int):
+    """For each part of a cluster a forest of the links between different components, by full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, ["key", "low", "high"]):
+            first, node, size, chunk, sketches, across = _rows_of(group)
+            raw = column(group, "shingles")
+            sets = [np.frombuffer(raw[int(i)].as_py(), U64) for i in first]
+            _, label = np.unique(column(group, "component").to_numpy()[first], return_inverse=True)
+            a, b = [], []
+            for i in range(len(node) - 1):
+                estimate, fits = _estimates(sketches, size, i, threshold)
+                fits &= estimate >= threshold - margin
+                if across:
+                    fits &= chunk[i + 1 :] != chunk[i]
+                for j in (np.flatnonzero(fits) + i + 1).tolist():
+                    if label[j] != label[i]:
+                        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                            a.append(node[i])
+                            b.append(node[j])
+                            label[label == label[j]] = label[i]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-_PAIRS = "key bigint, low int, high int, a bigint, b bigint"
+def _in_chunks(rows: DataFrame, n: str, salt: str) -> DataFrame:
+    """Rows with a chunk of their group and, for each pair of chunks they belong to, low and high."""
+    chunks = F.ceil(F.col(n) / CHUNK).cast("int")
+    chunk = F.pmod(F.xxhash64(F.lit(salt), "node"), chunks).cast("int")
+    placed = rows.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    return placed.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+
+
+def _hash_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s.tobytes() for piece in pieces(column(batch, "text")) for s in shingle_sets(piece, width)]
+            yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+_PAIRS = "a bigint, b bigint"
 
 
 # --- confirmation --------------------------------------------------------------------------------
@@ -324,39 +367,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     members = stage(bands.join(distinct_groups, "key"), "members")
     folded = stage(node_sketches.mapInArrow(_fold, "node bigint, n_shingles bigint, registers binary"), "folded")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    chunk = F.pmod(F.xxhash64(F.lit("chunk"), "node"), chunks).cast("int")
-    placed = members.withColumn("chunks", chunks).withColumn("chunk", chunk)
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    placed = placed.withColumn("other", other).select(
-        "key", "node", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")
-    )
     part = ["key", "low", "high"]
-
-    trees = clustered(placed.join(folded, "node"), part).mapInArrow(_pairs(threshold, MARGIN, False), _PAIRS)
-    trees = stage(trees, "trees")
-    texts = _texts_of(
-        docs, nodes, trees.select(F.col("a").alias("node")).union(trees.select("b")), "trees"
-    )
+    placed = _in_chunks(members, "n", "group").select("node", "chunk", *part)
+    trees = clustered(placed.join(folded, "node"), part).mapInArrow(_trees(threshold, MARGIN), _PAIRS)
+    trees = stage(trees.distinct(), "trees")
+    texts = _texts_of(docs, nodes, trees.select(F.col("a").alias("node")).union(trees.select("b")), "trees")
     tested = _confirmed(trees, texts, width, percent, "trees")
     links = tested.filter("linked").select("a", "b")
 
-    # Parts with a failed tree edge: the pairs that the tree had made unnecessary.
-    failed = stage(
-        trees.join(tested.filter("not linked"), ["a", "b"]).select(*part).distinct(), "failed"
-    )
-    if not failed.isEmpty():
+    # Clusters of the trees that the confirmed links leave in several components.
+    if not tested.filter("not linked").isEmpty():
+        cluster = components(trees).withColumnRenamed("component", "key")
         so_far = stage(components(links), "components_so_far")
-        again = placed.join(failed, part, "left_semi").join(folded, "node").join(so_far, "node", "left")
-        again = again.withColumn("component", F.coalesce("component", "node"))
-        rest = clustered(again, part).mapInArrow(_pairs(threshold, MARGIN, True), _PAIRS)
-        rest = stage(rest.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "rest")
-        known = texts.select("node").distinct()
-        new_nodes = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct()
-        new_nodes = stage(new_nodes.join(known, "node", "left_anti"), "new_nodes")
-        if not new_nodes.isEmpty():
-            texts = texts.union(_texts_of(docs, nodes, new_nodes, "rest"))
-        links = links.union(_confirmed(rest, texts, width, percent, "rest").filter("linked").select("a", "b"))
+        split = cluster.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        split = stage(split, "clusters")
+        open_ = split.groupBy("key").agg(
+            F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")
+        )
+        open_ = stage(open_.filter("least <> most").select("key", "n"), "open_clusters")
+        some = stage(split.join(open_, "key"), "open_nodes")
+        sets = some.select("node").join(texts, "node").select("node", "text").mapInArrow(
+            _hash_sets(width), "node bigint, shingles binary"
+        )
+        full_rows = some.join(folded, "node").join(stage(sets.dropDuplicates(["node"]), "open_sets"), "node")
+        more = clustered(_in_chunks(full_rows, "n", "cluster").drop("other", "n"), part).mapInArrow(
+            _links(threshold, MARGIN, percent), _PAIRS
+        )
+        links = links.union(stage(more, "more_links"))
 
     label = stage(components(links), "labels")
     named = nodes.join(label, "node", "left").select(
