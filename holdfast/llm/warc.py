@@ -38,16 +38,15 @@ CAPTURED_AT = "2024-01-01T00:00:00Z"
 RECORDS_PER_FILE = 30_000
 
 
-def base32_sha1(data: Column) -> Column:
-    """Bare upper-case base32 SHA-1: five hex digits are four base32 digits."""
-    digest = F.sha1(data)
+def base32(hex_digits: Column) -> Column:
+    """Upper-case base32 of 40 hex digits: five hex digits are four base32 digits."""
 
-    def digit(i: Column) -> Column:
-        part = F.conv(F.substring(digest, 1 + 5 * F.floor(i / 4).cast("int"), F.lit(5)), 16, 10).cast("int")
-        value = F.floor(part / F.pow(F.lit(32), 3 - i % 4)).cast("int") % 32
-        return F.substring(F.lit(BASE32), value + 1, F.lit(1))
+    def four(i: Column) -> Column:
+        part = F.conv(F.substring(hex_digits, 1 + 5 * i, F.lit(5)), 16, 10).cast("int")
+        digits = [F.shiftright(part, k).bitwiseAND(F.lit(31)) + 1 for k in (15, 10, 5, 0)]
+        return F.concat(*[F.substring(F.lit(BASE32), d, F.lit(1)) for d in digits])
 
-    return F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(31)), digit))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), four), "")
 
 
 def _uuid(*parts: Column) -> Column:
@@ -67,7 +66,7 @@ def plan_captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
     row = F.to_json(F.struct(F.col("page_id").cast("string").alias("p"), "url"), {"ignoreNullFields": "false"})
     prepared = own_columns(pages, "page_id", "url", "html").select(
-        "page_id", "url", payload.alias("payload"), base32_sha1(payload).alias("digest"),
+        "page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"),
         F.octet_length(payload).cast("bigint").alias("payload_bytes"),
     ).withColumn("row_key", F.sha1(F.concat(row, F.col("digest"))))
     light = stage(prepared.select("row_key", "page_id", "digest", "payload_bytes"), "payload_digests")
@@ -99,7 +98,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, captured_at:
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.col("payload_bytes").cast("string"), F.lit(GAP),
     )
-    digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
+    digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest"))))
     answer = ("Content-Type", F.lit("application/http; msgtype=response"))
     response = _record(
         [("WARC-Type", F.lit("response")), ("WARC-Record-ID", own), *first, digest, answer],
