@@ -6,8 +6,8 @@ A page whose payload equals that of another page becomes a revisit that refers t
 
 Archives are gzip files that Spark's text source writes and reads with the record boundary as
 line separator, so records of any size stream and nothing but Spark touches the store. A payload that
-holds the boundary itself is split by the reader and put together again by its Content-Length:
-a gzip file is never split over tasks, so the parts follow each other in one stream. Text
+holds the boundary itself is split by the reader and put together again by its Content-Length, and
+parts that hold several records are taken apart by it: a gzip file is never split over tasks, so the parts follow each other in one stream. Text
 columns carry the bytes as they are; payloads need not be valid UTF-8.
 
 Null html is an empty payload, a null url an empty target, a null page_id an empty field, read
@@ -159,14 +159,14 @@ def _headers(lines: bytes) -> dict[str, list[str]]:
     return out
 
 
-def _parse(raw: bytes, with_payload: bool) -> dict | None:
-    """One record, or None while its block is shorter than its Content-Length."""
+def _parse(raw: bytes, with_payload: bool) -> tuple[dict, bytes] | None:
+    """The first record and what follows it, or None while its block is shorter than its Content-Length."""
     head, gap, block = raw.partition(GAP.encode())
     fields = _headers(head)
     length = int(fields.get("content-length", ["0"])[0])
     if not gap or len(block) < length:
         return None
-    block = block[:length]
+    block, rest = block[:length], block[length:]
     one = lambda name: fields.get(name, [None])[0]
     kind = one("warc-type")
     payload, size, digest, text = None, None, (one("warc-payload-digest") or "").removeprefix("sha1:") or None, None
@@ -180,12 +180,13 @@ def _parse(raw: bytes, with_payload: bool) -> dict | None:
             payload = None
     elif kind == "metadata":
         text = block.decode("utf-8", "replace")
-    return {
+    record = {
         "record_id": one("warc-record-id"), "kind": kind, "concurrent_to": fields.get("warc-concurrent-to", []),
         "target_uri": one("warc-target-uri"), "date": one("warc-date"), "payload_digest": digest,
         "refers_to": one("warc-refers-to"), "fields": text, "payload_bytes": size,
         "payload": payload if with_payload else None,
     }
+    return record, rest
 
 
 def _parser(with_payload: bool):
@@ -202,11 +203,12 @@ def _parser(with_payload: bool):
                         raise ValueError(f"archive ends within a record: {held_file}")
                     part = part.removeprefix(VERSION.encode())
                     held_file = file
-                raw = part if held is None else held + boundary + part
-                record = _parse(raw, with_payload)
-                held = raw if record is None else None
-                if record is not None:
+                held = part if held is None else held + boundary + part
+                # The reader may miss a boundary after bytes that resemble it; the lengths decide.
+                while held is not None and (parsed := _parse(held, with_payload)):
+                    record, rest = parsed
                     out.append(record)
+                    held = rest.removeprefix(boundary) if rest.startswith(boundary) else None
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_RECORD_SCHEMA)
         if held is not None:
