@@ -636,7 +636,9 @@ def _decimal_text(col: str, scale: int) -> str:
 
 
 FINGERPRINT_ROW = " || '|' || ".join(
-    [
+    f"CASE WHEN CAST({x} AS VARCHAR) = '~' THEN '~' "
+    f"ELSE length(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) END"
+    for x in [
         "subscriber_id", _date_text("start_dt"), "plan_tier", "billing_cycle", "region",
         "acquisition_channel", "industry_vertical", _decimal_text("fee_m", 3), "seat_count",
         _decimal_text("tcv_u", 4), "contract_months", "tenure_months", _decimal_text("eng_h", 2),
@@ -647,7 +649,7 @@ FINGERPRINT_ROW = " || '|' || ".join(
 )
 
 PAGE_FILTER = """risk_tier IN ('high', 'medium') AND plan_tier IN ('starter', 'growth')
-    AND regexp_matches(subscriber_id, 'SUB-')"""
+    AND regexp_matches(subscriber_id, '[13579]$')"""
 
 # The oldest account of the test tables is in its 27th tenure period at every scale.
 HEATMAP_CELLS = ", ".join(
@@ -747,7 +749,7 @@ ORACLE: dict[str, str] = {
         FROM fact WHERE region_code IN ('NAM', 'EMEA') AND churn_date IS NOT NULL GROUP BY channel_type""",
     "s15_watchlist_export": f"""WITH {WATCHLIST} SELECT subscriber_id, plan_tier, region_code, industry_name,
             tenure_months, engagement_score, arr_usd, churn_probability, risk_tier, model_name
-        FROM watchlist WHERE plan_tier IN ('growth', 'starter')""",
+        FROM flagged WHERE plan_tier IN ('growth', 'starter')""",
     "s16_dim_seed": f"""WITH {FACT}
         SELECT 'plan_id' AS dimension, {big('d.plan_id')} AS id, d.plan_tier AS code, count(f.plan_id) AS n_accounts
         FROM dim_plan d LEFT JOIN fact f ON d.plan_id = f.plan_id GROUP BY ALL
@@ -774,7 +776,7 @@ ORACLE: dict[str, str] = {
         SELECT 'headline' AS frame, 1 AS n_rows UNION ALL SELECT 'by_plan', count(DISTINCT plan_id) FROM fact
         UNION ALL SELECT 'by_region', count(DISTINCT region_id) FROM fact
         UNION ALL SELECT 'by_channel', count(DISTINCT channel_id) FROM fact
-        UNION ALL SELECT 'risk_watchlist', count(*) FROM watchlist
+        UNION ALL SELECT 'risk_watchlist', count(*) FROM flagged
         UNION ALL SELECT 'engagement_segments', count(DISTINCT {SEGMENT}) FROM fact
         UNION ALL SELECT 'cohort', count(*) FROM retention""",
     "k1_dedup": f"WITH {DEDUP} SELECT {ACCOUNT}, ingest_seq FROM k1",
@@ -879,14 +881,14 @@ ORACLE: dict[str, str] = {
     "d02_watchlist_summary": f"""WITH {WATCHLIST}, s AS (SELECT
             count(*) FILTER (WHERE risk_tier = 'high') AS high_risk_accounts,
             count(*) FILTER (WHERE risk_tier = 'medium') AS medium_risk_accounts,
-            coalesce(sum(CASE WHEN risk_tier = 'high' THEN arr_usd END), 0.0) AS arr_at_high_risk FROM watchlist)
+            coalesce(sum(CASE WHEN risk_tier = 'high' THEN arr_usd END), 0.0) AS arr_at_high_risk FROM flagged)
         SELECT *, {compact('(CAST(arr_at_high_risk AS BIGINT) * 100)')} AS arr_at_high_risk_text FROM s""",
     "d03_watchlist_page": f"""WITH {WATCHLIST} SELECT subscriber_id, plan_tier, region_code, industry_name,
             tenure_months, engagement_score, payment_failures_12m, support_tickets_90d, arr_usd,
-            churn_probability, risk_tier FROM watchlist WHERE {PAGE_FILTER}
+            churn_probability, risk_tier FROM flagged WHERE {PAGE_FILTER}
         ORDER BY churn_probability DESC, subscriber_id, model_name LIMIT 25 OFFSET 25""",
     "d03_page_count": f"""WITH {WATCHLIST} SELECT count(*) AS n_accounts,
-        greatest(1, (count(*) - 1) // 25 + 1) AS total_pages FROM watchlist WHERE {PAGE_FILTER}""",
+        greatest(1, (count(*) - 1) // 25 + 1) AS total_pages FROM flagged WHERE {PAGE_FILTER}""",
     "d04_histogram": f"""WITH {PRED} SELECT CAST(greatest(0, least(39, floor(churn_probability * 40.0::DOUBLE))) AS BIGINT) AS bin,
         {big('churned')} AS churned_actual, count(*) AS n FROM predictions JOIN fact USING (subscriber_id)
         WHERE model_name = 'heuristic' GROUP BY 1, 2""",

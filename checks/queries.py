@@ -239,7 +239,7 @@ def _(w):
 def _(w):
     path = fresh_path(w, "watchlist")
     files.export_watchlist(
-        reports.filter_watchlist(kpis.watchlist(w.warehouse), plans=["growth", "starter"]), path
+        reports.filter_watchlist(kpis.flagged_accounts(w.warehouse), plans=["growth", "starter"]), path
     )
     numbers = {"tenure_months": "int", "engagement_score": "double", "arr_usd": "double",
                "churn_probability": "double"}
@@ -653,15 +653,15 @@ def _(w):
 
 @register("d02_watchlist_summary")
 def _(w):
-    return reports.watchlist_summary(kpis.watchlist(w.warehouse))
+    return reports.watchlist_summary(kpis.flagged_accounts(w.warehouse))
 
 
 def _searched(w: Workspace) -> DataFrame:
     return reports.filter_watchlist(
-        kpis.watchlist(w.warehouse),
+        kpis.flagged_accounts(w.warehouse),
         tiers=["high", "medium"],
         plans=["starter", "growth"],
-        search="SUB-",
+        search="[13579]$",
     )
 
 

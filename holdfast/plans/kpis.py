@@ -231,14 +231,14 @@ def register_views(w: Warehouse) -> None:
         view(w).createOrReplaceTempView(name)
 
 
-def load_all(w: Warehouse, rules: Rules = DEFAULT) -> dict[str, DataFrame]:
+def load_all(w: Warehouse) -> dict[str, DataFrame]:
     """The frames of the overview pages, lazily."""
     return {
         "headline": headline(w),
         "by_plan": by_plan(w),
         "by_region": by_region(w),
         "by_channel": by_channel(w),
-        "risk_watchlist": watchlist(w, rules),
+        "risk_watchlist": flagged_accounts(w),
         "engagement_segments": engagement_segments(w),
         "cohort": cohort_retention(w),
     }

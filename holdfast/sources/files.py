@@ -132,8 +132,8 @@ def append_run(run: DataFrame, path: str) -> None:
 
 
 def export_watchlist(df: DataFrame, path: str) -> None:
-    """The filtered list, at most the list's size limit, as one CSV file."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """The filtered list as CSV files, one per task."""
+    df.write.mode("overwrite").csv(path, header=True)
 
 
 def run_id(model_name: str, at: Column) -> Column:

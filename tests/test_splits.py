@@ -58,3 +58,9 @@ def test_fingerprint_ignores_order_but_not_content(spark):
     nulls = spark.createDataFrame([(None, "a")], "x string, y string")
     swapped = spark.createDataFrame([("a", None)], "x string, y string")
     assert fingerprint(nulls).first() != fingerprint(swapped).first()
+
+
+def test_fingerprint_keeps_cells_apart(spark):
+    one = lambda *row: fingerprint(spark.createDataFrame([row], "a string, b string")).first()["data_hash"]
+    assert one("a|b", "c") != one("a", "b|c")
+    assert one(None, "c") != one("~", "c")
