@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.common import Piece, RangeHash, column, pieces, plus, ragged
 
-CACHE_SLICES = 800_000
+CACHE_SLICES = 400_000
 BLOCK = 96
 
 # Symbols: letter, digit, other, apostrophe of a contraction of one or two letters, last white space
@@ -370,6 +370,32 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids") -> DataFram
     return kept.mapInArrow(_decoder(path, ids_col), plus(kept.schema, ("decoded", "string")))
 
 
+def _checked_encoder(path: str, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(path)
+        for batch in batches:
+            for piece in valid_pieces(column(batch, text_col)):
+                ids, bounds = words.encode(piece)
+                decoded, at = words.decode(ids).tobytes(), words.offsets(ids)[bounds].tolist()
+                same = [decoded[a:b] == piece.row(i) for i, (a, b) in enumerate(zip(at[:-1], at[1:]))]
+                rows = batch.slice(piece.first, piece.rows)
+                kept = [n for n in rows.schema.names if n != text_col]
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [*[column(rows, n) for n in kept], lists, pa.array(same, pa.bool_())],
+                    names=[*kept, "token_ids", "round_trip"],
+                )
+
+    return run
+
+
+def encode_checked(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with token_ids and round_trip (the ids decode to the text) in place of the text."""
+    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("token_ids", "round_trip")])
+    schema = plus(kept.drop(text_col).schema, ("token_ids", "array<int>"), ("round_trip", "boolean"))
+    return kept.mapInArrow(_checked_encoder(path, text_col), schema)
+
+
 _DIGESTS = pa.schema(
     [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
 )
