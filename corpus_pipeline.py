@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import bpe, minhash, mixing, pii, toxicity
-from holdfast.llm.common import stage, table
+from holdfast.llm.common import short_batches, stage, table
 
 TOXIC_FROM = 0.7
 SHINGLE_WORDS = 5
@@ -24,17 +24,20 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the limit; the model learns from the labels of allowed rows."""
+    short_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).filter(F.col("toxicity") < TOXIC_FROM).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    short_batches(spark)
     return minhash.deduplicated(docs, SHINGLE_WORDS, LIKE_PERCENT)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data replaced by its kind."""
+    short_batches(spark)
     return pii.redact(docs)
 
 
@@ -45,6 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
+    short_batches(spark)
     encoded = bpe.encode_checked(docs.select("doc_id", "lang", "source", "text"), VOCABULARY)
     return encoded.withColumn("n_tokens", F.size("token_ids"))
 

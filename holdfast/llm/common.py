@@ -19,7 +19,8 @@ from pyspark.sql.types import StructType
 
 from holdfast.session import stage as stage  # staged tables go to the shared folder
 
-PIECE = 1 << 20
+PIECE = 1 << 18
+ARROW_ROWS = 2_000
 U64 = np.uint64
 
 
@@ -32,6 +33,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``ARROW_ROWS`` rows from now on; a lower setting of the session stays.
+
+    Spark cuts batches by rows, 10,000 by default, which for long texts is a large buffer in the JVM
+    and one more in the worker, for every running task.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 @dataclass
 class Piece:
     """Rows ``first`` to ``first + len(offsets) - 2`` of a batch; ``data`` holds their UTF-8 bytes."""
