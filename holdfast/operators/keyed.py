@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,17 +38,25 @@ def upsert(existing: DataFrame | None, batch: DataFrame, keys: list[str], order:
         seq_type = batch.schema[order].dataType
         old = existing.select(*columns).withColumn(
             "load_rank",
-            F.struct(F.lit(0).alias("load"), F.lit(0).cast(seq_type).alias("seq")),
+            F.struct(F.lit(0).alias("load"), F.lit(None).cast(seq_type).alias("seq")),
         )
         tagged = old.unionByName(tagged)
     return last_per_key(tagged, keys, F.col("load_rank")).select(*columns)
 
 
-def insert_absent(existing: DataFrame | None, seed: DataFrame, key: str) -> DataFrame:
-    """Seed rows whose key is not there yet, added to the existing rows."""
+def insert_absent(existing: DataFrame | None, seed: DataFrame, key: str, id_col: str) -> DataFrame:
+    """Seed rows whose key is not there yet, added to the existing rows.
+
+    Added rows are numbered in seed order, on from the highest id that is there.
+    """
     if existing is None:
         return seed
-    return existing.unionByName(seed.join(existing, key, "left_anti"))
+    highest = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("highest")).scalar()
+    # The window spans the absent seed rows only, a handful.
+    position = F.row_number().over(Window.orderBy(id_col))
+    added = seed.join(existing.select(key), key, "left_anti").withColumn(id_col, position)
+    added = added.withColumn(id_col, (F.col(id_col) + highest).cast(existing.schema[id_col].dataType))
+    return existing.unionByName(added)
 
 
 def n_repeats(key: Column) -> Column:

@@ -86,7 +86,7 @@ def seed_dimensions(
     existing: Dimensions | None = None,
     industries: tuple[str, ...] = INDUSTRY_NAMES,
 ) -> Dimensions:
-    """Seed rows added where their code is absent; present rows stay as they are."""
+    """Seed rows added where their code is absent, with new ids; present rows stay as they are."""
     seeds = Dimensions(
         _seed(spark, PLAN_ROWS, DIM_PLAN),
         _seed(spark, REGION_ROWS, DIM_REGION),
@@ -96,10 +96,10 @@ def seed_dimensions(
     if existing is None:
         return seeds
     return Dimensions(
-        insert_absent(existing.plans, seeds.plans, "plan_tier"),
-        insert_absent(existing.regions, seeds.regions, "region_code"),
-        insert_absent(existing.channels, seeds.channels, "channel_code"),
-        insert_absent(existing.industries, seeds.industries, "industry_name"),
+        insert_absent(existing.plans, seeds.plans, "plan_tier", "plan_id"),
+        insert_absent(existing.regions, seeds.regions, "region_code", "region_id"),
+        insert_absent(existing.channels, seeds.channels, "channel_code", "channel_id"),
+        insert_absent(existing.industries, seeds.industries, "industry_name", "industry_id"),
     )
 
 
@@ -136,16 +136,20 @@ def fact_rows(accounts: DataFrame, dims: Dimensions) -> DataFrame:
 
 
 def load_subscribers(
-    accounts: DataFrame, dims: Dimensions, existing: DataFrame | None = None
+    accounts: DataFrame, dims: Dimensions, existing: DataFrame | None = None, order: str | None = None
 ) -> DataFrame:
     """Fact table after the load: one row per account, the loaded row wins.
 
-    ``accounts`` holds one row per account, as cleaning leaves it.
+    ``accounts`` holds one row per account, as cleaning leaves it, unless ``order`` names the
+    column whose highest value wins among repeats.
     """
-    rows = fact_rows(accounts, dims)
-    if existing is None:
-        return rows
-    return upsert(existing, rows.withColumn("seq", F.lit(1)), ["subscriber_id"], "seq")
+    if order is None:
+        rows = fact_rows(accounts, dims)
+        if existing is None:
+            return rows
+        return upsert(existing, rows.withColumn("seq", F.lit(1)), ["subscriber_id"], "seq")
+    last = last_per_key(accounts, ["subscriber_id"], F.col(order))
+    return load_subscribers(last, dims, existing)
 
 
 def prediction_rows(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 _ACCOUNT_BODY = """
     subscriber_id string, subscription_start_date date, plan_tier string, billing_cycle string,
     region string, acquisition_channel string, industry_vertical string,
@@ -15,6 +17,8 @@ _ACCOUNT_BODY = """
 # Fees, scores and logins carry the extra digits that medians and caps can need.
 CLEAN = _ACCOUNT_BODY
 RAW = _ACCOUNT_BODY + ", ingest_seq bigint"
+# Files are read wide, so that a value out of range is seen by the rules before types are narrowed.
+RAW_FILE = re.sub(r"decimal\(\d+,\d+\)", "decimal(30,10)", RAW)
 
 DIM_PLAN = """plan_id int, plan_tier string, tier_rank int, base_price_floor decimal(12,2),
     base_price_ceil decimal(12,2), description string"""

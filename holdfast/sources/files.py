@@ -4,43 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from holdfast.operators.quality import report_lines
-from holdfast.schemas import CLEAN, COMPARISON_FILE, FACT_MODEL_RUNS, PREDICTION_FILE, RAW
+from holdfast.schemas import CLEAN, COMPARISON_FILE, FACT_MODEL_RUNS, PREDICTION_FILE, RAW_FILE
 
 
-def read_text_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """CSV with a header; cells that do not parse become null instead of failing."""
-    target = StructType.fromDDL(ddl)
-    text = StructType([StructField(f.name, StringType()) for f in target])
+def _cells(spark: SparkSession, path: str) -> DataFrame:
+    """All cells of CSV files as text, under the names of their header.
+
+    Files of one path whose headers differ in names or order are an error, never read by position.
+    """
+    return spark.read.option("escape", '"').option("enforceSchema", "false").csv(path, header=True)
+
+
+def _typed(cells: DataFrame, target: StructType) -> list[Column]:
     # Text first and a safe cast after, because a bad cell must not lose its whole row.
-    raw = spark.read.schema(text).option("escape", '"').csv(path, header=True)
-    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in target])
+    present = set(cells.columns)
+    return [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in target if f.name in present]
+
+
+def read_text_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """CSV with a header; cells that do not parse become null instead of failing.
+
+    Columns are found by name. One that the files lack is absent from the result, for
+    ``quality.missing_columns`` to report; further ones are left out.
+    """
+    cells = _cells(spark, path)
+    return cells.select(*_typed(cells, StructType.fromDDL(ddl)))
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    return read_text_table(spark, path, RAW)
+    return read_text_table(spark, path, RAW_FILE)
 
 
 def read_raw_in_file_order(spark: SparkSession, path: str) -> DataFrame:
     """Raw files that carry no ``ingest_seq``: their lines count as arrived in file order.
 
     The order is file, then position of the split, then line within the split; it needs
-    no pass over the data and no shuffle.
+    no shuffle, and no pass over the data but for the header.
     """
-    fields = StructType.fromDDL(RAW).fields[:-1]
-    text = StructType([StructField(f.name, StringType()) for f in fields])
-    raw = spark.read.schema(text).option("escape", '"').csv(path, header=True)
+    cells = _cells(spark, path)
     position = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("line"),
     )
-    return raw.select(
-        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields],
-        position.alias("ingest_seq"),
-    )
+    fields = StructType([f for f in StructType.fromDDL(RAW_FILE) if f.name != "ingest_seq"])
+    return cells.select(*_typed(cells, fields), position.alias("ingest_seq"))
 
 
 def read_clean(spark: SparkSession, path: str) -> DataFrame:

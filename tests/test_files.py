@@ -1,4 +1,5 @@
 import json
+from decimal import Decimal as D
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -14,7 +15,8 @@ def test_raw_file_is_never_overwritten(accounts, tmp_path, spark):
     raw = accounts({}, {"industry_vertical": 'a "b", c', "engagement_score": None})
     path = str(tmp_path / "raw")
     files.write_raw(raw, path)
-    assert sorted(map(str, files.read_raw(spark, path).collect())) == sorted(map(str, raw.collect()))
+    got = files.read_raw(spark, path).select(*[F.col(n).cast(t) for n, t in raw.dtypes])
+    assert sorted(map(str, got.collect())) == sorted(map(str, raw.collect()))
     with pytest.raises(AnalysisException):
         files.write_raw(raw, path)
 
@@ -30,6 +32,28 @@ def test_cells_that_do_not_parse_become_null(spark, tmp_path):
     assert got["seat_count"] is None and got["subscription_start_date"] is None
 
 
+def test_columns_are_found_by_name(spark, accounts, tmp_path):
+    raw = accounts({"feature_adoption_rate": D("0.123"), "billing_cycle": "annual"})
+    shuffled = raw.select(*reversed(raw.columns)).drop("seat_count").withColumn("note", F.lit("x"))
+    shuffled = shuffled.withColumn("feature_adoption_rate", F.lit("12.5"))
+    files.write_raw(shuffled, str(tmp_path / "raw"))
+    got = files.read_raw(spark, str(tmp_path / "raw"))
+    assert got.columns == [c for c in raw.columns if c != "seat_count"]
+    row = got.first()
+    assert (row["plan_tier"], row["billing_cycle"], row["contract_months"]) == ("starter", "annual", 1)
+    assert quality.missing_columns(got) == ["seat_count"]
+    found = {(r["column_name"], r["rule"]) for r in quality.violations(got).collect()}
+    assert ("feature_adoption_rate", "above_maximum") in found
+
+
+def test_files_with_different_headers_are_refused(spark, accounts, tmp_path):
+    raw = accounts({})
+    for i, columns in enumerate((raw.columns, raw.columns[::-1])):
+        raw.select(*columns).toPandas().to_csv(tmp_path / f"{i}.csv", index=False)
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_raw(spark, str(tmp_path)).collect()
+
+
 def test_files_without_arrival_numbers_keep_their_first_lines(spark, accounts, tmp_path):
     rows = [{"subscriber_id": f"S{i % 500}", "seat_count": i + 1} for i in range(3000)]
     target = tmp_path / "raw.csv"

@@ -4,7 +4,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from holdfast.operators import constraints, warehouse as wh
+from holdfast.operators import constraints, keyed, warehouse as wh
 from holdfast.plans import kpis, named_queries
 
 
@@ -26,6 +26,28 @@ def test_seeds_keep_present_rows_and_add_missing_ones(spark):
     assert [d.count() for d in again.by_key().values()] == [4, 4, 6, 8]
 
 
+def test_seeds_over_other_ids_get_ids_of_their_own(spark, accounts):
+    present = wh.seed_dimensions(spark, industries=("Mining", "Education", "Retail"))
+    fact = wh.load_subscribers(accounts({"industry_vertical": "Mining"}, {}, {"industry_vertical": "Retail"}), present)
+    dims = wh.seed_dimensions(spark, present)
+    ids = {r["industry_name"]: r["industry_id"] for r in dims.industries.collect()}
+    assert sorted(ids.values()) == list(range(1, 11))
+    assert (ids["Mining"], ids["Education"], ids["Retail"], ids["Software & SaaS"]) == (1, 2, 3, 4)
+    names = [r["industry_vertical"] for r in wh.denormalise(fact, dims).collect()]
+    assert sorted(names) == ["Education", "Mining", "Retail"]
+
+
+def test_last_of_a_batch_wins_in_load_and_upsert(spark, accounts):
+    dims = wh.seed_dimensions(spark)
+    first = wh.load_subscribers(accounts({}, {}), dims)
+    batch = accounts(*[{"subscriber_id": "SUB-000001", "seat_count": n} for n in (7, 9, 8)])
+    out = wh.load_subscribers(batch, dims, first, order="ingest_seq")
+    assert {r["subscriber_id"]: r["seat_count"] for r in out.collect()} == {"SUB-000000": 3, "SUB-000001": 8}
+    placed = batch.withColumn("ingest_seq", F.struct(F.lit("file").alias("file"), F.col("ingest_seq").alias("line")))
+    loaded = keyed.upsert(accounts({}, {}).drop("ingest_seq"), placed, ["subscriber_id"], "ingest_seq")
+    assert {r["subscriber_id"]: r["seat_count"] for r in loaded.collect()} == {"SUB-000000": 3, "SUB-000001": 8}
+
+
 def test_lookup_folds_case_and_defaults_to_one(spark, accounts):
     dims = wh.seed_dimensions(spark)
     raw = accounts(
