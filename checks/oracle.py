@@ -914,6 +914,13 @@ ORACLE: dict[str, str] = {
             {whole_usd('sum(arr_c)')} AS total_arr_usd, {avg('eng_h', 100, 1)} AS avg_engagement
         FROM fact WHERE region_code = 'EMEA' GROUP BY region_code, region_name""",
 }
+ORACLE["s01b_raw_csv_by_name"] = ORACLE["s01_raw_csv_roundtrip"]
+ORACLE["s16b_seed_over_present_ids"] = f"""WITH {FACT}, usual(name, place) AS (VALUES
+        ('Software & SaaS', 1), ('E-commerce', 2), ('Financial Services', 3), ('Healthcare IT', 4),
+        ('Professional Services', 5), ('Manufacturing', 6), ('Media & Entertainment', 7), ('Education', 8))
+    SELECT {big('d.industry_id')} AS industry_id, d.industry_name, count(f.industry_id) AS n_documents
+    FROM dim_industry d LEFT JOIN fact f ON d.industry_id = f.industry_id GROUP BY ALL
+    UNION ALL SELECT {big('place + (SELECT max(industry_id) FROM dim_industry)')}, name, 0 FROM usual"""
 ORACLE["s21_view_by_sql"] = ORACLE["v03_by_region"]
 ORACLE["s08_audit_log_text"] = f"SELECT message AS value FROM ({_audit()})"
 ORACLE["s09_features_roundtrip"] = ORACLE["m2_11_features"]

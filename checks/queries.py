@@ -16,9 +16,11 @@ from holdfast.operators.fingerprint import fingerprint
 from holdfast.operators.quantiles import exact_quantiles, value_counts
 from holdfast.operators.warehouse import (
     append_predictions,
+    denormalise,
     load_predictions,
     lookup_keys,
     prediction_rows,
+    seed_dimensions,
 )
 from holdfast.plans import documents, full_run, kpis, models, named_queries, reports
 from holdfast.schemas import FACT_MODEL_RUNS
@@ -139,6 +141,14 @@ def _(w):
     return files.read_raw(w.spark, path)
 
 
+@register("s01b_raw_csv_by_name")
+def _(w):
+    """Files whose columns stand in another order, with one more."""
+    path = fresh_path(w, "raw_csv")
+    files.write_raw(w.raw.select(F.lit("x").alias("note"), *reversed(w.raw.columns)), path)
+    return files.read_raw(w.spark, path)
+
+
 @register("s02_clean_roundtrip")
 def _(w):
     path = fresh_path(w, "clean")
@@ -271,6 +281,15 @@ def _(w):
     return reduce(DataFrame.unionByName, parts)
 
 
+@register("s16b_seed_over_present_ids")
+def _(w):
+    """The usual industries seeded over the loaded ones, with the documents of each."""
+    dims = seed_dimensions(w.spark, w.dims)
+    used = denormalise(w.fact, dims).groupBy("industry_vertical").agg(F.count("*").alias("n"))
+    joined = dims.industries.join(used, F.col("industry_name") == F.col("industry_vertical"), "left")
+    return joined.select("industry_id", "industry_name", F.coalesce("n", F.lit(0)).alias("n_documents"))
+
+
 @register("s17_upsert_subscribers")
 def _(w):
     """All arrivals, repeats included, loaded over the first ones."""
