@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import U64, Piece, RangeHash, column, combine, mix, pieces, plus, runs, stage
+from holdfast.llm.minhash import near_duplicates
 
 SAMPLE = 10_000  # labelled rows that are read, at most
 MIN_DOCS = 3  # toxic documents a word must occur in, copies counted once
@@ -126,32 +127,27 @@ def _list_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _name_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the least hash of their word pairs, which near copies mostly share."""
-    for batch in batches:
-        for piece in pieces(column(batch, "text")):
-            t = terms(piece)
-            h = t.hashes["word"]
-            pair, row = combine(h[:-1], h[1:]), t.row[1:]
-            inside = t.row[1:] == t.row[:-1]
-            least = np.full(piece.rows, np.iinfo(np.uint64).max, U64)
-            np.minimum.at(least, row[inside], pair[inside])
-            rows = batch.slice(piece.first, piece.rows)
-            yield pa.RecordBatch.from_arrays(
-                [column(rows, "text"), column(rows, "toxic"), pa.array(least.view(np.int64))],
-                names=["text", "toxic", "copies"],
-            )
+def once_per_copy(sample: DataFrame) -> DataFrame:
+    """text, toxic of one row of each class in each group of near copies: that with the smallest doc_id.
+
+    Groups are those of ``near_duplicates``, confirmed on full shingle sets; equal texts are one row.
+    """
+    exact = sample.groupBy("toxic", "text").agg(F.min("doc_id").alias("doc_id"))
+    exact = stage(exact.withColumn("key", F.xxhash64("text")), "labelled_exact")
+    # Texts are named by their hash, as rows of one doc_id may have different texts.
+    named = near_duplicates(exact.select(F.col("key").alias("doc_id"), "text").distinct())
+    named = stage(named.select(F.col("doc_id").alias("key"), "component_id").distinct(), "labelled_copies")
+    first = exact.join(named, "key").groupBy("component_id", "toxic").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    first = stage(first.select("toxic", "first.doc_id", "first.key"), "labelled_first")
+    return exact.join(first, ["toxic", "doc_id", "key"], "left_semi").select("text", "toxic")
 
 
 def telling_terms(sample: DataFrame) -> list[tuple[str, str, int, int]]:
     """kind, term, toxic documents, other documents of the terms tied to toxicity, strongest first.
 
-    ``sample`` has text and toxic; ``WORDS_PER_KIND`` terms per kind are kept.
+    ``sample`` has doc_id, text and toxic; ``WORDS_PER_KIND`` terms per kind are kept.
     """
-    distinct = stage(
-        sample.mapInArrow(_name_copies, "text string, toxic int, copies bigint").dropDuplicates(["copies", "toxic"]),
-        "distinct_labelled",
-    )
+    distinct = stage(once_per_copy(sample), "distinct_labelled")
     sizes = distinct.agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).first()
     if not sizes["p"] or sizes["p"] == sizes["n"]:
         return []
@@ -426,7 +422,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Mode
     chosen = stage(usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows), "labelled")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     # The sample is at most ``sample_rows`` ids, so it may be sent to every task.
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
     sample = stage(joined.limit(2 * sample_rows), "labelled_texts")
     voters = make_voters(telling_terms(sample))
     seen = sample.mapInArrow(_strengths(voters), "toxic int, strengths array<double>").collect()  # bounded by the sample

@@ -206,6 +206,24 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(docs, none).count() == len(TEXTS)
 
 
+def test_telling_terms_count_unrelated_texts_each(spark):
+    rng = np.random.default_rng(9)
+    random = lambda n: " ".join(f"r{x}" for x in rng.integers(0, 10**6, n))
+    short = [(i, f"grubble{i}x" if i < 20 else f"plain{i}x", int(i < 20)) for i in range(80)]
+    found = toxicity.telling_terms(spark.createDataFrame(short, "doc_id bigint, text string, toxic int"))
+    assert ("begin4", "grub", 20, 0) in found
+    # A passage that all share makes no copies; near copies count once, whatever the order of the rows.
+    passage = "all rights reserved by the owner"
+    rows = [(i, f"{passage} {random(40)} {'snarkle' if i < 20 else ''}", int(i < 20)) for i in range(80)]
+    copy = f"{random(60)} blorptz"
+    rows += [(100 + i, f"{copy} e{i}", 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    found = toxicity.telling_terms(df)
+    assert ("word", "snarkle", 20, 0) in found and "blorptz" not in {term for _, term, _, _ in found}
+    once = lambda d: sorted(map(tuple, toxicity.once_per_copy(d).collect()))
+    assert once(df) == once(df.orderBy(F.desc("doc_id")).repartition(5)) == sorted((t, x) for _, t, x in rows[:81])
+
+
 def test_bpe_as_tiktoken(docs, empty):
     import tiktoken
 
