@@ -48,7 +48,7 @@ BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 CHUNK = 1024
-MARGIN = 0.12
+MARGIN = 0.18  # a pair at 0.8 has a lower estimate with probability 4e-9; it shares no band with 1.3e-7
 
 _random = np.random.default_rng(20240501)
 _FACTOR = _random.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)

@@ -1,6 +1,7 @@
 """Small cases of the text operators, against brute force."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -278,6 +279,20 @@ def test_near_duplicates(spark, empty, monkeypatch, chunk):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_pairs_at_the_threshold_are_not_lost_by_their_estimate():
+    n, bands = minhash.REGISTERS, (1 - 0.8**minhash.ROWS) ** minhash.BANDS
+
+    def candidate(equal):
+        sketches = np.zeros((2, n), np.uint8)
+        sketches[1, equal:] = 1
+        group = {"key": [1, 1], "low": [0, 0], "high": [0, 0], "node": [1, 2], "n_shingles": [9, 9], "chunk": [0, 0]}
+        batch = pa.RecordBatch.from_pydict({**group, "registers": [row.tobytes() for row in sketches]})
+        return sum(b.num_rows for b in minhash._trees(0.8, minhash.MARGIN)(iter([batch]))) == 1
+
+    lost = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(n + 1) if not candidate(k))
+    assert candidate(n * 8 // 10) and lost < bands / 10 and bands + lost < 2e-7
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(8)
     vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)]
