@@ -20,7 +20,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their edited texts."""
-    return simhash.fingerprinted(table(spark, sf_dir, "documents"), radius=3)
+    docs = table(spark, sf_dir, "documents")
+    return simhash.fingerprinted(docs, simhash.NEAR_COPIES, simhash.NEAR_BLOCKS)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

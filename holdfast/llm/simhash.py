@@ -6,11 +6,12 @@ word, and votes with the bits of its 128-bit hash. Votes are not summed term by
 the 16 byte positions the weights of equal byte values are counted and multiplied with a table of
 signs.
 
-The radius search keeps block tables: 128 bits are cut into blocks, and each choice of blocks that can
-stay untouched by ``radius`` flipped bits is a table keyed by these blocks. Two fingerprints within the
-radius agree in the key of at least one table. Every pair is counted in the first table where it
-agrees; keys with many fingerprints are cut into chunks and each pair of chunks is a task of its own,
-so nothing but counts leaves a task.
+The radius search keeps a table per block of the 128 bits. Two fingerprints within ``radius`` bits differ
+in at most ``radius // blocks`` bits, none to two, of at least one block. A fingerprint is filed under its
+block and, unless that is none, under the block with each single bit flipped: blocks that are up to two bits
+apart meet. Every pair is counted once, under the least common key of the first such block; keys with many
+fingerprints are cut into chunks and each pair of chunks is a task of its own, so nothing but counts
+leaves a task. All pairs within the radius are found.
 
 Null text counts as empty; text without words has the fingerprint of all zeros. Rows are ordered by
 doc_id, null first, then text; repeated ids follow each other. With a single row the next document is
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -37,7 +37,6 @@ from holdfast.llm.common import (
     clustered,
     column,
     combine,
-    grouped,
     mix,
     partitions,
     pieces,
@@ -50,6 +49,8 @@ BITS = 128
 LONGEST = 16
 RADIUS = 3
 BLOCKS = 4
+NEAR_COPIES = 14  # bits within which a copy with some words in a hundred replaced lies
+NEAR_BLOCKS = 5
 CHUNK = 1024
 
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2) - 1
@@ -221,62 +222,110 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
 # --- radius search -------------------------------------------------------------------------------
 
 
-def _tables(blocks: int, radius: int) -> list[np.ndarray]:
-    """For each table a mask (two words of 64 bits) of the blocks that make up its key."""
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
-    out = []
-    for kept in combinations(range(blocks), blocks - radius):
-        bits = np.zeros(BITS, np.uint8)
-        for b in kept:
-            bits[edges[b] : edges[b + 1]] = 1
-        out.append(np.packbits(bits).view(np.uint64))
-    return out
+def _edges(blocks: int) -> list[tuple[int, int]]:
+    at = [BITS * i // blocks for i in range(blocks + 1)]
+    return list(zip(at[:-1], at[1:]))
+
+
+def _block(hi: np.ndarray, lo: np.ndarray, first: int, end: int) -> np.ndarray:
+    """Bits ``first`` to ``end`` of fingerprints, at most 64, as a number."""
+    if end <= 64:
+        value = hi >> U64(64 - end)
+    elif first >= 64:
+        value = lo >> U64(128 - end)
+    else:
+        value = (hi << U64(end - 64)) | (lo >> U64(128 - end))
+    return value & U64((1 << (end - first)) - 1)
+
+
+def _flips(blocks: int, radius: int) -> int:
+    """Flipped bits that the closest block of two fingerprints within the radius has at most."""
+    if radius // blocks > 2:
+        raise ValueError(f"radius {radius} needs at least {radius // 3 + 1} blocks")
+    return radius // blocks
 
 
 def _keys(blocks: int, radius: int):
-    masks = _tables(blocks, radius)
+    flips = _flips(blocks, radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hi = column(batch, "hi").to_numpy().view(np.uint64)
             lo = column(batch, "lo").to_numpy().view(np.uint64)
-            for t, mask in enumerate(masks):
-                key = mix(combine(hi & mask[0], lo & mask[1]) + U64(t))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(hi), t, np.int32)), pa.array(key.view(np.int64)),
-                        column(batch, "hi"), column(batch, "lo"), column(batch, "n"),
-                    ],
-                    names=["table", "key", "hi", "lo", "n"],
-                )
+            for t, (first, end) in enumerate(_edges(blocks)):
+                value = _block(hi, lo, first, end)
+                for bit in [0, *[1 << k for k in range(end - first)]] if flips else [0]:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(hi), t, np.int32)), pa.array((value ^ U64(bit)).view(np.int64)),
+                            column(batch, "hi"), column(batch, "lo"), column(batch, "n"),
+                        ],
+                        names=["table", "key", "hi", "lo", "n"],
+                    )
 
     return run
 
 
+_PART = ("table", "key", "low", "high")
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Columns of whole parts out of a stream that is sorted by them, and the number of each row's part."""
+    names = (*_PART, "chunk", "hi", "lo", "n")
+    held = None
+    for batch in batches:
+        rows = {c: column(batch, c).to_numpy() for c in names}
+        if held is not None:
+            rows = {c: np.concatenate([held[c], rows[c]]) for c in names}
+        if len(rows["key"]) == 0:
+            continue
+        new = np.any([rows[c][1:] != rows[c][:-1] for c in _PART], axis=0)
+        number = np.concatenate([[0], np.cumsum(new)])
+        cut = int(np.searchsorted(number, number[-1]))  # the last part may go on in the next batch
+        if cut:
+            yield {c: x[:cut] for c, x in rows.items()}, number[:cut]
+        held = {c: x[cut:] for c, x in rows.items()}
+    if held is not None:
+        yield held, np.zeros(len(held["key"]), np.int64)
+
+
 def _count_near(blocks: int, radius: int):
-    masks = _tables(blocks, radius)
+    edges, flips = _edges(blocks), _flips(blocks, radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, ["table", "key", "low", "high"]):
-            table = column(group, "table")[0].as_py()
-            hi = column(group, "hi").to_numpy().view(np.uint64)
-            lo = column(group, "lo").to_numpy().view(np.uint64)
-            n, chunk = column(group, "n").to_numpy(), column(group, "chunk").to_numpy()
-            across = column(group, "low")[0].as_py() != column(group, "high")[0].as_py()
+        for rows, number in _spans(batches):
+            hi, lo, key = (rows[c].view(np.uint64) for c in ("hi", "lo", "key"))
+            table, n, chunk = rows["table"], rows["n"], rows["chunk"]
+            across = rows["low"] != rows["high"]
             near = np.zeros(len(n), np.int64)
-            for i in range(len(n) - 1):
-                x, y = hi[i + 1 :] ^ hi[i], lo[i + 1 :] ^ lo[i]
+            i = np.arange(len(n))
+            for step in range(1, len(n)):
+                i = i[i + step < len(n)]
+                i = i[number[i + step] == number[i]]
+                if len(i) == 0:
+                    break
+                x, y = hi[i + step] ^ hi[i], lo[i + step] ^ lo[i]
                 fits = np.bitwise_count(x).astype(np.int64) + np.bitwise_count(y) <= radius
-                fits &= ((x & masks[table][0]) | (y & masks[table][1])) == 0
-                if across:
-                    fits &= chunk[i + 1 :] != chunk[i]
-                for mask in masks[:table]:  # counted where it agreed first
-                    fits &= ((x & mask[0]) | (y & mask[1])) != 0
-                near[i] += n[i + 1 :][fits].sum()
-                near[i + 1 :][fits] += n[i]
+                fits &= ~across[i] | (chunk[i + step] != chunk[i])
+                a = i[fits]
+                x, y = x[fits], y[fits]
+                once = np.ones(len(a), bool)
+                for t, (first, end) in enumerate(edges):
+                    apart = _block(x, y, first, end)
+                    close = np.bitwise_count(apart) <= flips
+                    # Of the keys that both have in this block, the least counts.
+                    low = apart & (~apart + U64(1))
+                    own = _block(hi[a], lo[a], first, end)
+                    least = np.minimum(own ^ low, own ^ apart ^ low)
+                    here = table[a] == t
+                    # A pair is counted in the first block that is close.
+                    once &= np.where(here, close & (least == key[a]), (table[a] < t) | ~close)
+                a = a[once]
+                near[a] += n[a + step]
+                near[a + step] += n[a]
             some = near > 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hi[some].view(np.int64)), pa.array(lo[some].view(np.int64)), pa.array(near[some])],
+                [pa.array(rows["hi"][some]), pa.array(rows["lo"][some]), pa.array(near[some])],
                 names=["hi", "lo", "near"],
             )
 
@@ -317,8 +366,8 @@ def neighbours(fingerprints_: DataFrame, radius: int = RADIUS, blocks: int = BLO
     )
 
 
-def fingerprinted(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def fingerprinted(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """``fingerprint_pairs`` with n_near, the number of other documents within ``radius`` bits."""
     rows = stage(fingerprint_pairs(docs), "fingerprint_rows")
-    near = stage(neighbours(rows, radius), "neighbours")
+    near = stage(neighbours(rows, radius, blocks), "neighbours")
     return rows.join(near, "fingerprint").select("doc_id", *[c for c in rows.columns if c != "doc_id"], "n_near")

@@ -65,6 +65,37 @@ def test_radius_search_splits_large_keys(spark, monkeypatch, chunk):
         assert got[f"{v:032x}"] == 2 * sum((v ^ o).bit_count() <= 3 for o in values) - 1
 
 
+@pytest.mark.parametrize("chunk", [3, 1024])
+def test_radius_of_near_copies_against_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = np.random.default_rng(10)
+    value = lambda: int.from_bytes(rng.bytes(16), "big")
+    values = set()
+    for _ in range(4):
+        one = value()
+        for bits in (0, 1, 2, 5, 10, 13, 14, 15, 16, 14, 14):
+            values.add(one ^ sum(1 << int(k) for k in rng.choice(128, bits, replace=False)))
+        values.add(one ^ sum(1 << k for k in range(14)))
+    df = spark.createDataFrame([(f"{v:032x}",) for v in values for _ in range(1 + v % 2)], "fingerprint string")
+    got = {r.fingerprint: r.n_near for r in simhash.neighbours(df, simhash.NEAR_COPIES, simhash.NEAR_BLOCKS).collect()}
+    for v in values:
+        assert got[f"{v:032x}"] == sum((1 + o % 2) * ((v ^ o).bit_count() <= 14) for o in values) - 1
+
+
+def test_copies_with_some_words_replaced_are_near(spark):
+    rng = np.random.default_rng(11)
+    text = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+    rows = [(0, " ".join(text))]
+    for i in range(1, 9):
+        copy = list(text)
+        for k in rng.choice(400, 4, replace=False):
+            copy[k] = f"new{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    near = simhash.fingerprinted(df, simhash.NEAR_COPIES, simhash.NEAR_BLOCKS).filter("doc_id = 0").first().n_near
+    assert near == 8 and simhash.fingerprinted(df).filter("doc_id = 0").first().n_near < 8
+
+
 def test_archives_round_trip(spark, tmp_path):
     boundary = "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n"
     pages = [(1, "http://a", "x"), (2, None, "x"), (3, "http://c", None), (None, "http://d", "<p>" + boundary * 3),
