@@ -165,10 +165,11 @@ def one_hot_names(column: str, values: list[str]) -> list[str]:
     return names
 
 
-def fit_preparation(df: DataFrame, max_categories: int = 1000) -> Preparation:
+def fit_preparation(df: DataFrame, max_categories: int | None = None) -> Preparation:
     """Mean and population deviation per numeric column, sorted values per text column.
 
-    The sizes of the classes come from the same pass over the rows.
+    The sizes of the classes come from the same pass over the rows. All distinct values are kept, as a model
+    has a weight for each; ``max_categories`` times the columns refuses more.
     """
     numeric = available(df, NUMERIC_FEATURES)
     label = F.col(LABEL) if LABEL in df.columns else F.lit(0)
@@ -186,11 +187,11 @@ def fit_preparation(df: DataFrame, max_categories: int = 1000) -> Preparation:
 
     cats = available(df, CATEGORICAL_FEATURES)
     cells = [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in cats]
-    limit = max_categories * len(cats)
     values = df.select(F.inline(F.array(*cells))).filter("value IS NOT NULL").distinct()
+    limit = None if max_categories is None else max_categories * len(cats)
     # One more than allowed, to notice an overflow instead of cutting silently.
-    rows = values.limit(limit + 1).collect()
-    if len(rows) > limit:
+    rows = (values if limit is None else values.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"more than {limit} category values; encode such columns differently")
     categories = {c: sorted(r["value"] for r in rows if r["name"] == c) for c in cats}
     return Preparation(

@@ -12,9 +12,9 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.config import DEFAULT, Rules
@@ -23,7 +23,6 @@ from holdfast.operators.features import (
     LABEL,
     Preparation,
     fit_preparation,
-    one_hot_names,
 )
 from holdfast.operators.metrics import compare_models, ranking_metrics
 from holdfast.operators.splits import BUCKETS, fold_of, salted
@@ -38,26 +37,37 @@ def preparation_stages(prep: Preparation) -> list:
         f"(coalesce(CAST({c} AS DOUBLE), 0D) - {mean!r}D) / {std!r}D AS {c}_scaled"
         for c, (mean, std) in prep.scales.items()
     ]
-    encoded = [
-        f"CAST({c} <=> {_quoted(v)} AS DOUBLE) AS {name}"
-        for c, values in prep.categories.items()
-        for name, v in zip(one_hot_names(c, values), values[1:])
-    ]
     flags = [f"CAST(coalesce({c}, 0) AS DOUBLE) AS {c}_flag" for c in prep.binary]
-    inputs = [
-        *prep.scaled_names(), *prep.encoded_names(), *[f"{c}_flag" for c in prep.binary]
-    ]
-    sql = "SELECT *, " + ", ".join([*scaled, *encoded, *flags]) + " FROM __THIS__"
-    narrow = "SELECT * EXCEPT (" + ", ".join(inputs) + ") FROM __THIS__"
+    encoding, encoded = encoding_stages(prep)
+    inputs = [*prep.scaled_names(), *encoded, *[f"{c}_flag" for c in prep.binary]]
+    sql = "SELECT *, " + ", ".join([*scaled, *flags]) + " FROM __THIS__"
+    helpers = [*inputs, *[f"{c}_code" for c in prep.categories if f"{c}_hot" in encoded]]
+    narrow = "SELECT * EXCEPT (" + ", ".join(helpers) + ") FROM __THIS__"
     return [
         SQLTransformer(statement=sql),
+        *encoding,
         VectorAssembler(inputCols=inputs, outputCol="features"),
         SQLTransformer(statement=narrow),
     ]
 
 
-def _quoted(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def encoding_stages(prep: Preparation) -> tuple[list, list[str]]:
+    """Stages that make a sparse vector per text column, however many its values, and the names of these.
+
+    A place per value but the first; the first, null and unseen values are 0 everywhere.
+    """
+    names = [c for c, values in prep.categories.items() if len(values) > 1]
+    if not names:
+        return [], []
+    spark = SparkSession.active()
+    codes, hot = [f"{c}_code" for c in names], [f"{c}_hot" for c in names]
+    indexers = [
+        StringIndexerModel.from_labels(prep.categories[c][1:], c, code, handleInvalid="keep")
+        for c, code in zip(names, codes)
+    ]
+    # The sizes are known from the labels; the last place, of all other values, is dropped.
+    known = PipelineModel(indexers).transform(spark.createDataFrame([], ", ".join(f"`{c}` string" for c in names)))
+    return [*indexers, OneHotEncoder(inputCols=codes, outputCols=hot, dropLast=True).fit(known)], hot
 
 
 def n_inputs(prep: Preparation) -> int:

@@ -70,6 +70,22 @@ def test_quoted_category_values(frame):
     assert hits.count() == odd.filter("industry_vertical LIKE 'o%'").count() > 0
 
 
+def test_open_vocabulary_is_trained_on(frame):
+    copies = frame.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(1 + 4500 // max(1, frame.count())))))
+    many = copies.withColumn("industry_vertical", F.concat_ws("_", F.lit("v"), "subscriber_id", "copy")).drop("copy")
+    prep = fit_preparation(many)
+    assert len(prep.categories["industry_vertical"]) == many.count() > 4000
+    out = many
+    for s in models.preparation_stages(prep):
+        out = s.transform(out)
+    values = prep.categories["industry_vertical"]
+    row = out.filter(F.col("industry_vertical") == values[17]).first()
+    assert out.columns == [*many.columns, "features"] and row["features"].size == models.n_inputs(prep)
+    at = len(prep.scaled_names()) + len(prep.encoded_names()) - len(values) + 17
+    assert row["features"][at] == 1.0 and row["features"].numNonzeros() < 60
+    assert models.score(models.train_logistic(many), many).count() == many.count()
+
+
 def test_class_weights_balance(frame):
     sums = {
         r["churned"]: r["w"]
