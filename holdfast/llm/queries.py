@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from holdfast.llm import bpe, minhash, mixing, pii, search, secrets, simhash, suffixes, toxicity, warc
+from holdfast.llm import bpe, minhash, mixing, pii, search, secrets, simhash, spelling, suffixes, toxicity, warc, webtext
 from holdfast.llm.common import stage, table
 from holdfast.session import scratch_dir
 
@@ -107,6 +107,16 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("rank", F.col("rank").cast("int"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return webtext.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words of every word of all documents, some letters deleted as planted."""
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents"), planted_every=97))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -120,4 +130,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_topk_search": op10_topk_search,
+        "op11_main_text": op11_main_text,
+        "op13_spelling_variants": op13_spelling_variants,
     }
