@@ -91,4 +91,31 @@ SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id = component_id
 FROM s JOIN c ON node = doc_id
 """
 
-ORACLE = {"op2_warc": OP2, "op3_mix_sources": OP3, "op9_near_duplicates": OP9, "op10_topk_search": OP10}
+OP12 = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.id AS anchor_id, c.id, a.label = c.label AS same, list_dot_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.id % 50 = 0 AND c.id <> a.id
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), n AS (
+  SELECT anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)::INT AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+ORACLE = {
+    "op2_warc": OP2,
+    "op3_mix_sources": OP3,
+    "op9_near_duplicates": OP9,
+    "op10_topk_search": OP10,
+    "op12_hard_negatives": OP12,
+}

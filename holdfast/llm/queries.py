@@ -10,7 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from holdfast.llm import bpe, minhash, mixing, pii, search, secrets, simhash, spelling, suffixes, toxicity, warc, webtext
+from holdfast.llm import (
+    bpe,
+    minhash,
+    mixing,
+    negatives,
+    pii,
+    search,
+    secrets,
+    simhash,
+    spelling,
+    suffixes,
+    toxicity,
+    warc,
+    webtext,
+)
 from holdfast.llm.common import stage, table
 from holdfast.session import scratch_dir
 
@@ -112,6 +126,14 @@ def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webtext.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 50; every seventh label is moved by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    found = negatives.hard_negatives(vectors, F.col("id") % 50 == 0)
+    return found.withColumn("rank", F.col("rank").cast("int"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near words of every word of all documents, some letters deleted as planted."""
     return spelling.variants(spelling.words(table(spark, sf_dir, "documents"), planted_every=97))
@@ -131,5 +153,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_duplicates": op9_near_duplicates,
         "op10_topk_search": op10_topk_search,
         "op11_main_text": op11_main_text,
+        "op12_hard_negatives": op12_hard_negatives,
         "op13_spelling_variants": op13_spelling_variants,
     }
