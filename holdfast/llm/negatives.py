@@ -11,8 +11,8 @@ product with a code is a sum of popcounts. That product times the alignment esti
 the estimate leaves out is the product of the residuals of both beside the code, and of the rounding with
 the vector; by Cauchy-Schwarz neither exceeds the product of the lengths. So every row has an
 interval that certainly holds its score. Rows whose interval cannot reach the list are dropped, the others
-are scored in integers. Scores to beat come from the lower ends, from rows already scored, and from the
-earlier shards of a task; no row that belongs to the result is ever dropped.
+are scored in integers. Rows of the highest estimates are scored first; scores to beat come from them, from the
+lower ends and from the earlier shards of a task. No row that belongs to the result is ever dropped.
 
 Rows are packed into shards, anchors into blocks. Anchors of up to ``BROADCAST_BYTES`` in all visit the
 shards by a broadcast join, so that no shard moves; beyond that, blocks and shards meet in a join on both
@@ -42,6 +42,7 @@ ANCHOR_ROWS = 1024
 BROADCAST_BYTES = 8 << 20
 HELD_LISTS = 1 << 18
 PLANES = 6
+AHEAD = 4  # times the length of a list: rows that are scored first
 MARGIN = 1e-9  # of the product of two lengths, for rounding in floating point
 LEAST = np.iinfo(np.int64).min
 
@@ -217,6 +218,12 @@ def _kth(values: np.ndarray, k: int) -> float:
     return float(np.partition(values, len(values) - k)[len(values) - k]) if len(values) >= k else -np.inf
 
 
+def _highest(values: np.ndarray, among: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` highest values of some rows, in no order."""
+    rows = np.flatnonzero(among)
+    return rows if len(rows) <= k else rows[np.argpartition(-values[rows], k)[:k]]
+
+
 class Shard:
     """Rows of a shard with their codes; counts the rows it scores in integers."""
 
@@ -244,30 +251,47 @@ class Shard:
         first, last = np.searchsorted(self.labels, [label, label + 1])
         lower, upper = asked.interval(i, self.codes, slice(first, last))
         live = self.ids[first:last] != own
-        beat = max(best.to_beat(), _kth(lower[live], best.k))
-        if not self.may_wrap(query):
-            live &= upper >= beat
-        rows = first + np.flatnonzero(live)
-        best.add(self.scores(query, rows), self.ids[rows])
+        if self.may_wrap(query):
+            self._add(query, first + np.flatnonzero(live), [best])
+            return
+        live &= upper >= max(best.to_beat(), _kth(lower[live], best.k))
+        # The rows of the highest estimates come first: their scores are what the others must beat.
+        ahead = _highest(lower + upper, live, AHEAD * best.k)
+        self._add(query, first + ahead, [best])
+        live[ahead] = False
+        live &= upper >= best.to_beat()
+        self._add(query, first + np.flatnonzero(live), [best])
 
     def negatives(
-        self, asked: Asked, i: int, query: np.ndarray, label: int, ranges: list[tuple[int, int]], lists: list[Best]
-    ) -> None:
-        lower, upper = asked.interval(i, self.codes, slice(0, len(self.ids)))
-        other = self.labels != label
-        wanted = np.zeros(len(other), bool)
-        for (low, high), best in zip(ranges, lists):
-            if low > high:
-                continue
-            inside = other & (lower >= low) & (upper <= high)
-            beat = max(float(low), best.to_beat(), _kth(lower[inside], best.k))
-            wanted |= (upper >= beat) & (lower <= high)
+        self, asked: Asked, i: int, query: np.ndarray, own: int, label: int,
+        ranges: list[tuple[int, int]], lists: list[Best],
+    ) -> None:
+        other = (self.labels != label) & (self.ids != own)
         if self.may_wrap(query):
-            wanted[:] = True
-        rows = np.flatnonzero(wanted & other)
+            self._add(query, np.flatnonzero(other), lists, ranges)
+            return
+        lower, upper = asked.interval(i, self.codes, slice(0, len(self.ids)))
+
+        def may_enter() -> np.ndarray:
+            wanted = np.zeros(len(other), bool)
+            for (low, high), best in zip(ranges, lists):
+                if low <= high:
+                    wanted |= (upper >= max(float(low), best.to_beat())) & (lower <= high)
+            return wanted & other
+
+        live = may_enter()
+        done = np.zeros(len(other), bool)
+        for (_, high), best in zip(ranges, lists):
+            ahead = _highest(lower + upper, live & ~done & (lower + upper <= 2 * high), AHEAD * best.k)
+            self._add(query, ahead, lists, ranges)
+            done[ahead] = True
+        self._add(query, np.flatnonzero(may_enter() & ~done), lists, ranges)
+
+    def _add(self, query: np.ndarray, rows: np.ndarray, lists: list[Best], ranges=None) -> None:
+        """Scores rows in integers and offers them to the lists whose range they are in."""
         scores = self.scores(query, rows)
-        for (low, high), best in zip(ranges, lists):
-            some = (scores >= low) & (scores <= high)
+        for k, best in enumerate(lists):
+            some = slice(None) if ranges is None else (scores >= ranges[k][0]) & (scores <= ranges[k][1])
             best.add(scores[some], self.ids[rows[some]])
 
 
@@ -322,7 +346,8 @@ def _visit(k: int, low_percent: int | None, high_percent: int | None):
                     for i, each in positives.items():
                         ranges = [(-(-low_percent * score // 100), high_percent * score // 100) for _, score in each]
                         some = [lists.setdefault((i, place), Best(k)) for place, _ in each]
-                        shard.negatives(asked, i, queries[i], int(anchors.labels[i]), ranges, some)
+                        own, label = int(anchors.ids[i]), int(anchors.labels[i])
+                        shard.negatives(asked, i, queries[i], own, label, ranges, some)
                 n_held += len(lists)
                 if n_held > HELD_LISTS:
                     yield from emit(held)
