@@ -363,8 +363,11 @@ def _visit(k: int, low_percent: int | None, high_percent: int | None):
 def _visits(asked: DataFrame, n_asked: int, shards: DataFrame, n_shards: int, small: bool) -> DataFrame:
     """Every anchor block next to every shard."""
     if small:
-        one = F.lit(0).alias("one")
-        return shards.select("*", one).join(F.broadcast(asked.select("*", one)), "one").drop("one")
+        # One bucket of blocks, by a key that Spark cannot fold: a hash join, not a nested loop.
+        bucket = lambda name: F.pmod(F.col(name), F.lit(1)).alias("bucket")
+        return shards.select("*", bucket("block")).join(
+            F.broadcast(asked.select("*", bucket("q_block"))), "bucket"
+        ).drop("bucket")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     return (
         shards.withColumn("q_block", every(n_asked))
