@@ -854,6 +854,10 @@ ORACLE: dict[str, str] = {
     "m14_scaled": _scaled(),
     "m15_onehot": _one_hot(),
     "m16_label_index": _label_index(),
+    "m16b_index_of_open_vocabulary": f"""WITH {STEPS} SELECT subscriber_id,
+        dense_rank() OVER (ORDER BY subscriber_id) - 1 AS subscriber_id_position,
+        CASE WHEN industry_vertical IS NOT NULL THEN dense_rank() OVER (ORDER BY industry_vertical NULLS LAST) - 1 END
+            AS industry_vertical_position FROM clean""",
     "a17_fingerprint": f"""WITH {STEPS}, h AS (SELECT {hashed(FINGERPRINT_ROW)} AS row_hash FROM clean)
         SELECT count(*) AS n_rows,
             substr(sha256(CAST(sum(row_hash) AS VARCHAR) || '|' || CAST(count(*) AS VARCHAR)), 1, 16) AS data_hash
@@ -865,6 +869,10 @@ ORACLE: dict[str, str] = {
             count(*) OVER (PARTITION BY churned) AS n FROM clean)
         SELECT subscriber_id, CASE WHEN i < (n * 20) // 100 THEN 'test' WHEN i < (n * 35) // 100 THEN 'val'
             ELSE 'train' END AS split FROM r""",
+    "n2b_stratified_folds": f"""WITH {STEPS}, r AS (SELECT subscriber_id,
+            row_number() OVER (PARTITION BY churned ORDER BY {salted('fold')}) - 1 AS i,
+            count(*) OVER (PARTITION BY churned) AS n FROM clean)
+        SELECT subscriber_id, len(list_filter(range(1, 5), lambda k: (n * k) // 5 <= i)) AS fold FROM r""",
     "n2_folds": f"""WITH {STEPS} SELECT {salted('fold')} % 5 AS fold, count(*) AS n,
         {big('sum(churned)')} AS n_churned FROM clean GROUP BY 1""",
     "n5_baseline": f"WITH {SCORED} SELECT subscriber_id, p AS churn_probability FROM baseline",

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.functions.business import compact_number
-from holdfast.operators import cleaning, constraints, features, keyed, metrics, quality, splits
+from holdfast.operators import categories, cleaning, constraints, features, keyed, metrics, quality, splits
 from holdfast.operators.features import LABEL
 from holdfast.operators.fingerprint import fingerprint
-from holdfast.operators.quantiles import exact_quantiles, value_counts
+from holdfast.operators.selection import quantiles
 from holdfast.operators.warehouse import (
     append_predictions,
     denormalise,
@@ -406,8 +406,7 @@ def _(w):
             for n in names
         ]
     )
-    counts = value_counts(w.clean.select(F.inline(cells)), ["measure"], "value")
-    q = exact_quantiles(counts, ["measure"], ["0.25", "0.5", "0.75"])
+    q = quantiles(w.clean.select(F.inline(cells)), ["measure"], "value", ["0.25", "0.5", "0.75"])
     return q.select(
         "measure",
         *[F.col("quantiles")[p].alias(n) for p, n in
@@ -563,29 +562,44 @@ def _(w):
 
 @register("a10_decile_edges")
 def _(w):
-    counts = value_counts(w.clean, [], "engagement_score")
-    q = exact_quantiles(counts, [], [str(i / 10) for i in range(11)])
+    q = quantiles(w.clean, [], "engagement_score", [str(i / 10) for i in range(11)])
     return q.select(F.explode("quantiles").alias("prob", "edge"))
 
 
+# The three below read what the stages of the trainers make.
 @register("m14_scaled")
 def _(w):
-    cols = features.scaled_columns(features.fit_preparation(w.features))
-    return w.features.select(
-        "subscriber_id", *[F.round(c, 6).alias(n) for n, c in cols.items()]
-    )
+    scaled = models.scaling_stage(w.preparation).transform(w.features)
+    return scaled.select("subscriber_id", *[F.round(n, 6).alias(n) for n in w.preparation.scaled_names()])
 
 
 @register("m15_onehot")
 def _(w):
-    cols = features.one_hot_columns(w.preparation)
-    return w.features.select("subscriber_id", *[c.alias(n) for n, c in cols.items()])
+    prep = w.preparation
+    encoder = models.code_stage(prep)
+    cols = [
+        (F.col(f"{c}_code") == place).cast("int").alias(name)
+        for c in encoder.sizes
+        for place, name in enumerate(features.one_hot_names(c, prep.categories[c]))
+    ]
+    return encoder.transform(w.features).select("subscriber_id", *cols)
 
 
 @register("m16_label_index")
 def _(w):
-    cols = features.label_index_columns(w.preparation)
-    return w.features.select("subscriber_id", *[c.alias(n) for n, c in cols.items()])
+    names = list(w.preparation.sizes)
+    rows = categories.with_positions(w.features, w.preparation.index, names)
+    return rows.select(
+        "subscriber_id", *[categories.strict_index(c, f"{c}_position").alias(f"{c}_index") for c in names]
+    )
+
+
+@register("m16b_index_of_open_vocabulary")
+def _(w):
+    """Positions of a column with a value per customer, joined back to the rows."""
+    index = categories.category_index(w.clean, ["subscriber_id", "industry_vertical"])
+    rows = categories.with_positions(w.clean, index, ["subscriber_id", "industry_vertical"])
+    return rows.select("subscriber_id", "subscriber_id_position", "industry_vertical_position")
 
 
 @register("a17_fingerprint")
@@ -613,6 +627,11 @@ def _(w):
     )
 
 
+@register("n2b_stratified_folds")
+def _(w):
+    return splits.stratified_folds(w.clean, "subscriber_id", LABEL).select("subscriber_id", "fold")
+
+
 @register("n5_baseline")
 def _(w):
     train = w.clean.filter(splits.split_of(F.col("subscriber_id")) == "train")

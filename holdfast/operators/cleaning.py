@@ -1,11 +1,12 @@
 """Cleaning of raw subscriber accounts, with an audit trail.
 
-``fit`` learns medians and fences from de-duplicated rows in one counting pass;
+``fit`` learns medians and fences from de-duplicated rows in one selection;
 the step functions are row-wise expressions that use them.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -14,11 +15,13 @@ from pyspark.sql import functions as F
 
 from holdfast.config import DEFAULT, Rules
 from holdfast.operators.keyed import first_per_key
-from holdfast.operators.quantiles import exact_quantiles
+from holdfast.operators.selection import around, interpolated, values_at_ranks
 from holdfast.schemas import CLEAN, column_names
 from holdfast.session import stage
 
-CAPPED = ("support_tickets_90d", "monthly_logins_per_user", "total_contract_value")
+LOGINS = "monthly_logins_per_user"
+CAPPED = ("support_tickets_90d", LOGINS, "total_contract_value")
+QUARTILES = ("0.25", "0.5", "0.75")
 _EXACT = "decimal(20,4)"
 
 
@@ -50,11 +53,33 @@ def bad_fee(rules: Rules = DEFAULT) -> Column:
     return F.coalesce(F.col("monthly_fee_per_seat") < F.lit(rules.fee_min), F.lit(False))
 
 
+def _quartiles_with_missing(at: dict, missing: int, filler: Decimal) -> dict[str, Decimal]:
+    """Quartiles of a column after its missing values became ``filler``.
+
+    With m fillers, the value at rank r is the filler, held between the present values at
+    ranks r - m and r.
+    """
+    present = next(iter(at.values()))["total"]
+
+    def value(rank: int) -> Decimal:
+        out = filler
+        if rank - missing >= 0:
+            out = max(out, at[rank - missing]["at_rank"])
+        return min(out, at[rank]["at_rank"]) if rank < present else out
+
+    out = {}
+    for p in QUARTILES:
+        place = Decimal(p) * (present + missing - 1)
+        low, high = value(math.floor(place)), value(math.ceil(place))
+        out[p] = low + (high - low) * (place - math.floor(place))
+    return out
+
+
 def fit(deduped: DataFrame, rules: Rules = DEFAULT) -> CleaningFit:
     """Medians per plan tier, the login median, and the outlier fences.
 
-    Every measure becomes (measure, tier, value) rows that are counted together, so
-    the accounts are read once.
+    Every measure becomes (measure, tier, value) rows, from which one selection takes all
+    wanted ranks.
     """
 
     def entry(measure: str, tier: Column, value: Column) -> Column:
@@ -62,26 +87,24 @@ def fit(deduped: DataFrame, rules: Rules = DEFAULT) -> CleaningFit:
             F.lit(measure).alias("measure"), tier.alias("tier"), value.cast(_EXACT).alias("value")
         )
 
-    tier = F.col("plan_tier")
-    everyone = F.lit(None).cast("string")
+    tier = F.coalesce("plan_tier", F.lit(""))
     measures = F.array(
         entry("fee", tier, F.when(~bad_fee(rules), F.col("monthly_fee_per_seat"))),
         entry("engagement", tier, F.col("engagement_score")),
-        *[entry(c, everyone, F.col(c)) for c in CAPPED],
+        *[entry(c, F.lit(""), F.col(c)) for c in CAPPED],
     )
-    counts = stage(
-        deduped.select(F.inline(measures))
-        .groupBy("measure", F.coalesce("tier", F.lit("")).alias("tier"), "value")
-        .agg(F.count("*").alias("n")),
-        "value_counts",
+    # The fences for logins are taken after imputation, when the missing ones count as the median.
+    missing = deduped.agg(F.count_if(F.col(LOGINS).isNull())).first()[0]
+    filled = [r for p in QUARTILES for r in around(p, F.col("total") + missing)]
+    ranks = F.array(*[r for p in QUARTILES for r in around(p)])
+    ranks = F.when(
+        F.col("measure") == LOGINS, F.concat(ranks, F.array(*filled, *[r - missing for r in filled]))
+    ).otherwise(ranks)
+    found = stage(
+        values_at_ranks(deduped.select(F.inline(measures)), ["measure", "tier"], "value", ranks), "ranked"
     )
 
-    known = stage(
-        exact_quantiles(
-            counts.filter("value IS NOT NULL"), ["measure", "tier"], ["0.25", "0.5", "0.75"]
-        ),
-        "quantiles",
-    )
+    known = interpolated(found, ["measure", "tier"], list(QUARTILES))
     tier_medians = stage(
         known.filter(F.col("measure").isin("fee", "engagement"))
         .groupBy("tier")
@@ -99,17 +122,11 @@ def fit(deduped: DataFrame, rules: Rules = DEFAULT) -> CleaningFit:
         for r in known.filter(F.col("measure").isin(*CAPPED)).collect()
     }
 
-    # The fences for logins are taken after imputation: the missing ones count as the median.
-    login_median = quartiles.get("monthly_logins_per_user", {}).get("0.5")
-    if login_median is not None:
-        filled = (
-            counts.filter(F.col("measure") == "monthly_logins_per_user")
-            .withColumn("value", F.coalesce("value", F.lit(login_median).cast(_EXACT)))
-            .groupBy("measure", "value")
-            .agg(F.sum("n").alias("n"))
-        )
-        row = exact_quantiles(filled, ["measure"], ["0.25", "0.75"]).first()
-        quartiles["monthly_logins_per_user"] = row["quantiles"]
+    login_median = quartiles.get(LOGINS, {}).get("0.5")
+    if login_median is not None and missing:
+        # A dozen ranks of one column.
+        at = {r["rank"]: r for r in found.filter(F.col("measure") == LOGINS).collect()}
+        quartiles[LOGINS] = _quartiles_with_missing(at, missing, login_median.quantize(Decimal("0.0001")))
     fences = {}
     for c, q in quartiles.items():
         reach = rules.iqr_factor * (q["0.75"] - q["0.25"])

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.business import annual_revenue, plan_ordinal
 from holdfast.functions.exact import clip
-from holdfast.operators.quantiles import exact_quantiles, value_counts
+from holdfast.operators.categories import category_index, category_sizes
+from holdfast.operators.selection import quantiles
 
 # Column lists and the data dictionary.
 LEAKAGE_COLUMNS = (
@@ -67,8 +69,7 @@ _DECILES = [str(i / 10) for i in range(11)]
 
 def fit_decile_edges(df: DataFrame) -> list:
     """Distinct ten-quantile edges of the engagement score, at most eleven numbers."""
-    counts = value_counts(df, [], "engagement_score")
-    row = exact_quantiles(counts, [], _DECILES).first()
+    row = quantiles(df, [], "engagement_score", _DECILES).first()
     return sorted(set(row["quantiles"].values())) if row else []
 
 
@@ -140,14 +141,26 @@ def available(df: DataFrame, names) -> list[str]:
 
 @dataclass(frozen=True)
 class Preparation:
-    """What scaling and encoding learned from the training rows."""
+    """What scaling and encoding learned from the training rows.
+
+    The category values stay a table, ``index``; the driver holds their number per column.
+    """
 
     scales: dict[str, tuple[float, float]]
-    categories: dict[str, list[str]]
+    index: DataFrame
+    sizes: dict[str, int]
     binary: tuple[str, ...]
     n_rows: int
     n_positive: int
 
+    @cached_property
+    def categories(self) -> dict[str, list[str]]:
+        """The values themselves, for results that name a column after each; collected on demand."""
+        found: dict[str, list[str]] = {c: [] for c in self.sizes}
+        for row in self.index.orderBy("name", "position").collect():
+            found[row["name"]].append(row["value"])
+        return found
+
     def scaled_names(self) -> list[str]:
         return [f"{c}_scaled" for c in self.scales]
 
@@ -166,10 +179,10 @@ def one_hot_names(column: str, values: list[str]) -> list[str]:
 
 
 def fit_preparation(df: DataFrame, max_categories: int | None = None) -> Preparation:
-    """Mean and population deviation per numeric column, sorted values per text column.
+    """Mean and population deviation per numeric column, index of the values of the text columns.
 
-    The sizes of the classes come from the same pass over the rows. All distinct values are kept, as a model
-    has a weight for each; ``max_categories`` times the columns refuses more.
+    The sizes of the classes come from the same pass over the rows. ``max_categories`` times the
+    columns refuses more distinct values.
     """
     numeric = available(df, NUMERIC_FEATURES)
     label = F.col(LABEL) if LABEL in df.columns else F.lit(0)
@@ -186,16 +199,12 @@ def fit_preparation(df: DataFrame, max_categories: int | None = None) -> Prepara
     scales = {c: (row[f"{c}_mean"] or 0.0, row[f"{c}_std"] or 1.0) for c in numeric}
 
     cats = available(df, CATEGORICAL_FEATURES)
-    cells = [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in cats]
-    values = df.select(F.inline(F.array(*cells))).filter("value IS NOT NULL").distinct()
-    limit = None if max_categories is None else max_categories * len(cats)
-    # One more than allowed, to notice an overflow instead of cutting silently.
-    rows = (values if limit is None else values.limit(limit + 1)).collect()
-    if limit is not None and len(rows) > limit:
-        raise ValueError(f"more than {limit} category values; encode such columns differently")
-    categories = {c: sorted(r["value"] for r in rows if r["name"] == c) for c in cats}
+    index = category_index(df, cats)
+    sizes = category_sizes(index, cats)
+    if max_categories is not None and sum(sizes.values()) > max_categories * len(cats):
+        raise ValueError(f"more than {max_categories * len(cats)} category values; encode such columns differently")
     return Preparation(
-        scales, categories, tuple(available(df, BINARY_FEATURES)), row["n_rows"], row["n_positive"]
+        scales, index, sizes, tuple(available(df, BINARY_FEATURES)), row["n_rows"], row["n_positive"]
     )
 
 
@@ -208,7 +217,7 @@ def scaled_columns(prep: Preparation) -> dict[str, Column]:
 
 
 def one_hot_columns(prep: Preparation) -> dict[str, Column]:
-    """0/1 column per value but the first; an unseen value is 0 everywhere."""
+    """0/1 column per value but the first; an unseen value is 0 everywhere. For columns of few values."""
     return {
         name: F.col(c).eqNullSafe(F.lit(value)).cast("int")
         for c, values in prep.categories.items()
@@ -217,7 +226,7 @@ def one_hot_columns(prep: Preparation) -> dict[str, Column]:
 
 
 def label_index_columns(prep: Preparation) -> dict[str, Column]:
-    """Position in alphabetical order; an unseen value is an error."""
+    """Position in alphabetical order; an unseen value is an error. For columns of few values."""
     out = {}
     for c, values in prep.categories.items():
         lookup = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))])

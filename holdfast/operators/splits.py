@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from holdfast.config import DEFAULT, Rules
 from holdfast.functions.exact import hash_bucket, hash_key, rate_pct
 from holdfast.operators.joins import join_own_aggregate
-from holdfast.operators.quantiles import value_counts, values_at_ranks
+from holdfast.operators.selection import values_at_ranks
 from holdfast.session import stage
 
 BUCKETS = 10_000
@@ -28,46 +28,46 @@ def split_of(key: Column, rules: Rules = DEFAULT) -> Column:
     return F.when(bucket < test, "test").when(bucket < val, "val").otherwise("train")
 
 
-def exact_split(df: DataFrame, key: str, label: str, rules: Rules = DEFAULT) -> DataFrame:
-    """Stratified split with exact sizes per class.
+def _parts(df: DataFrame, key: str, label: str, purpose: str, ranks: list[Column], rules: Rules) -> DataFrame:
+    """Adds ``part``: how many of the ascending ``ranks`` the row reaches in its class, by hash order.
 
-    The cut of a class is the hash value at the wanted rank; rows compare themselves
-    with the cuts of their class, so no class is sorted as a whole.
+    The cuts of a class are the hash values at the wanted ranks, all taken in one selection;
+    rows compare themselves with the cuts of their class, so no class is sorted. Rows with one key stay together.
     """
-    hashed = df.withColumn("split_hash", hash_key(salted(F.col(key), rules.seed, "split")))
-    # 60-bit hashes are uniform: the leading 12 bits are even, ordered buckets.
-    bucket = F.shiftright("value", 48).cast("int")
-    total = F.col("total")
-
-    def upto(share: Decimal) -> Column:
-        return F.floor(total * F.lit(share).cast("decimal(4,2)")).cast("bigint")
-
-    n_test = upto(rules.test_share)
-    n_held = upto(rules.test_share + rules.val_share)
-    last = total - 1
-    ranks = F.array(F.least(n_test, last), F.least(n_held, last))
+    hashed = df.withColumn("split_hash", hash_key(salted(F.col(key), rules.seed, purpose)))
+    found = values_at_ranks(hashed, [label], "split_hash", F.array(*ranks))
+    at = F.map_from_entries(F.collect_list(F.struct("rank", "at_rank")))
     cuts = (
-        values_at_ranks(value_counts(hashed, [label], "split_hash"), [label], ranks, bucket)
-        .groupBy(label)
-        .agg(
-            F.min("at_rank").alias("test_cut"),
-            F.max("at_rank").alias("val_cut"),
-        )
-    )
-    part = (
-        F.when(F.col("split_hash") < F.col("test_cut"), "test")
-        .when(F.col("split_hash") < F.col("val_cut"), "val")
-        .otherwise("train")
+        found.groupBy(label)
+        .agg(F.max("total").alias("total"), at.alias("at"))
+        .select(label, F.transform(F.array(*ranks), lambda r: F.element_at("at", r)).alias("cuts"))
     )
     # Staged, the cuts are known to be small and the rows need no shuffle to meet them.
+    reached = F.size(F.filter("cuts", lambda cut: cut <= F.col("split_hash")))
     return (
         join_own_aggregate(hashed, stage(cuts, "cuts"), [label])
-        .withColumn("split", part)
-        .drop("split_hash", "test_cut", "val_cut")
-        .select(*df.columns, "split")
+        .withColumn("part", reached)
+        .select(*df.columns, "part")
     )
 
 
+def exact_split(df: DataFrame, key: str, label: str, rules: Rules = DEFAULT) -> DataFrame:
+    """Stratified split with exact sizes per class."""
+
+    def upto(share: Decimal) -> Column:
+        return F.floor(F.col("total") * F.lit(share).cast("decimal(4,2)")).cast("bigint")
+
+    parts = _parts(df, key, label, "split", [upto(rules.test_share), upto(rules.test_share + rules.val_share)], rules)
+    name = F.when(F.col("part") == 0, "test").when(F.col("part") == 1, "val").otherwise("train")
+    return parts.withColumn("split", name).select(*df.columns, "split")
+
+
+def stratified_folds(df: DataFrame, key: str, label: str, rules: Rules = DEFAULT) -> DataFrame:
+    """Adds ``fold``: equal folds of every class, whose sizes differ by one row at most."""
+    starts = [F.floor(F.col("total") * k / rules.folds).cast("bigint") for k in range(1, rules.folds)]
+    return _parts(df, key, label, "fold", starts, rules).withColumnRenamed("part", "fold")
+
+
 def split_shares(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy("split").agg(
         F.count("*").alias("n"),

@@ -23,7 +23,7 @@ from holdfast.operators.features import (
     with_comments,
 )
 from holdfast.operators.fingerprint import fingerprint
-from holdfast.operators.splits import baseline_probability, split_of
+from holdfast.operators.splits import baseline_probability, exact_split
 from holdfast.operators.warehouse import (
     INDUSTRY_NAMES,
     Warehouse,
@@ -35,6 +35,7 @@ from holdfast.operators.warehouse import (
 )
 from holdfast.plans import models
 from holdfast.schemas import FACT_PREDICTIONS
+from holdfast.session import stage
 from holdfast.sources import files
 
 
@@ -72,7 +73,7 @@ def step_warehouse(
 
 def step_features(cleaned: DataFrame, out: str, rules: Rules = DEFAULT) -> DataFrame:
     """Feature table with its part in ``split``; decile edges come from the training rows."""
-    parts = cleaned.withColumn("split", split_of(F.col("subscriber_id"), rules))
+    parts = stage(exact_split(cleaned, "subscriber_id", LABEL, rules), "parts")
     edges = fit_decile_edges(parts.filter("split = 'train'"))
     path = f"{out}/processed/features"
     files.write_splits(with_comments(build_features(parts, edges)), path)

@@ -12,66 +12,59 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.config import DEFAULT, Rules
 from holdfast.functions.exact import hash_bucket
-from holdfast.operators.features import (
-    LABEL,
-    Preparation,
-    fit_preparation,
-)
+from holdfast.operators.categories import CategoryEncoder
+from holdfast.operators.features import LABEL, Preparation, fit_preparation
 from holdfast.operators.metrics import compare_models, ranking_metrics
-from holdfast.operators.splits import BUCKETS, fold_of, salted
-from holdfast.session import ensure_checkpoint_dir
+from holdfast.operators.splits import BUCKETS, salted, stratified_folds
+from holdfast.session import ensure_checkpoint_dir, stage
 
 KEY = "subscriber_id"
 
 
-def preparation_stages(prep: Preparation) -> list:
-    """Scaling, one-hot encoding and assembly as stages that can be saved with a model."""
+def scaling_stage(prep: Preparation) -> SQLTransformer:
+    """Numbers less their mean over their deviation, missing ones as 0; flags as numbers."""
     scaled = [
         f"(coalesce(CAST({c} AS DOUBLE), 0D) - {mean!r}D) / {std!r}D AS {c}_scaled"
         for c, (mean, std) in prep.scales.items()
     ]
     flags = [f"CAST(coalesce({c}, 0) AS DOUBLE) AS {c}_flag" for c in prep.binary]
-    encoding, encoded = encoding_stages(prep)
-    inputs = [*prep.scaled_names(), *encoded, *[f"{c}_flag" for c in prep.binary]]
-    sql = "SELECT *, " + ", ".join([*scaled, *flags]) + " FROM __THIS__"
-    helpers = [*inputs, *[f"{c}_code" for c in prep.categories if f"{c}_hot" in encoded]]
-    narrow = "SELECT * EXCEPT (" + ", ".join(helpers) + ") FROM __THIS__"
-    return [
-        SQLTransformer(statement=sql),
-        *encoding,
-        VectorAssembler(inputCols=inputs, outputCol="features"),
-        SQLTransformer(statement=narrow),
-    ]
+    return SQLTransformer(statement="SELECT *, " + ", ".join([*scaled, *flags]) + " FROM __THIS__")
+
 
+def code_stage(prep: Preparation) -> CategoryEncoder | None:
+    """Codes of the text columns that have more than one value, from the index table."""
+    sizes = {c: n for c, n in prep.sizes.items() if n > 1}
+    return CategoryEncoder(prep.index, sizes) if sizes else None
 
-def encoding_stages(prep: Preparation) -> tuple[list, list[str]]:
-    """Stages that make a sparse vector per text column, however many its values, and the names of these.
 
-    A place per value but the first; the first, null and unseen values are 0 everywhere.
+def preparation_stages(prep: Preparation) -> list:
+    """Scaling, one-hot encoding and assembly as stages that can be saved with a model.
+
+    Each text column becomes a sparse vector with a place per value but the first; the first, null and
+    unseen values are 0 everywhere.
     """
-    names = [c for c, values in prep.categories.items() if len(values) > 1]
-    if not names:
-        return [], []
-    spark = SparkSession.active()
-    codes, hot = [f"{c}_code" for c in names], [f"{c}_hot" for c in names]
-    indexers = [
-        StringIndexerModel.from_labels(prep.categories[c][1:], c, code, handleInvalid="keep")
-        for c, code in zip(names, codes)
-    ]
-    # The sizes are known from the labels; the last place, of all other values, is dropped.
-    known = PipelineModel(indexers).transform(spark.createDataFrame([], ", ".join(f"`{c}` string" for c in names)))
-    return [*indexers, OneHotEncoder(inputCols=codes, outputCols=hot, dropLast=True).fit(known)], hot
+    flags = [f"{c}_flag" for c in prep.binary]
+    stages, hot, codes = [scaling_stage(prep)], [], []
+    encoder = code_stage(prep)
+    if encoder is not None:
+        codes = encoder.code_names()
+        hot = [f"{c}_hot" for c in encoder.sizes]
+        one_hot = OneHotEncoder(inputCols=codes, outputCols=hot, dropLast=True).fit(encoder.empty())
+        stages += [encoder, one_hot]
+    inputs = [*prep.scaled_names(), *hot, *flags]
+    narrow = "SELECT * EXCEPT (" + ", ".join([*inputs, *codes]) + ") FROM __THIS__"
+    return [*stages, VectorAssembler(inputCols=inputs, outputCol="features"), SQLTransformer(statement=narrow)]
 
 
 def n_inputs(prep: Preparation) -> int:
-    return len(prep.scales) + len(prep.encoded_names()) + len(prep.binary)
+    return len(prep.scales) + sum(max(n - 1, 0) for n in prep.sizes.values()) + len(prep.binary)
 
 
 def with_class_weight(train: DataFrame, prep: Preparation) -> DataFrame:
@@ -199,7 +192,7 @@ def cross_validate(
     rules: Rules = DEFAULT,
 ) -> DataFrame:
     """Mean and population deviation of both ranking metrics over the folds."""
-    folds = train.withColumn("fold", fold_of(F.col(KEY), rules))
+    folds = stage(stratified_folds(train, KEY, LABEL, rules), "folds")
     held_out = {}
     for k in range(rules.folds):
         model = trainer(folds.filter(F.col("fold") != k).drop("fold"), rules)

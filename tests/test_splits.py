@@ -64,3 +64,19 @@ def test_fingerprint_keeps_cells_apart(spark):
     one = lambda *row: fingerprint(spark.createDataFrame([row], "a string, b string")).first()["data_hash"]
     assert one("a|b", "c") != one("a", "b|c")
     assert one(None, "c") != one("~", "c")
+
+
+def test_folds_are_equal_within_every_class(spark):
+    df = people(spark, 1003).withColumn("churned", F.when(F.col("pid") == "P7", F.lit(None)).otherwise(F.col("churned")))
+    out = splits.stratified_folds(df, "pid", "churned").collect()
+    assert len(out) == 1003 and {r["fold"] for r in out} == set(range(DEFAULT.folds))
+    for label in (0, 1):
+        sizes = [sum(r["fold"] == k and r["churned"] == label for r in out) for k in range(DEFAULT.folds)]
+        assert max(sizes) - min(sizes) <= 1
+    again = splits.stratified_folds(df.repartition(9), "pid", "churned")
+    assert {(r["pid"], r["fold"]) for r in again.collect()} == {(r["pid"], r["fold"]) for r in out}
+
+
+def test_folds_of_fewer_rows_than_folds(spark):
+    out = splits.stratified_folds(people(spark, 3), "pid", "churned").collect()
+    assert len(out) == 3 and all(0 <= r["fold"] < DEFAULT.folds for r in out)
