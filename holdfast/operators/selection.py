@@ -1,19 +1,20 @@
 """Exact values at wanted ranks, by splitters taken from the data.
 
-An approximate quantile sketch gives splitters for every group; one pass counts the rows between
-them, combined before the shuffle; only the buckets that hold a wanted rank are read again. A bucket
-with more than ``MOST_VALUES`` different values is split again in the same way, so the last step - counts
-per value and a running sum - sees a bounded number of values, however the values lie and however
-often one of them repeats. Rows outside the wanted buckets are counted but never shuffled.
-
-The rows are read three times, and twice more for every further split: pass a written table.
+Where a group has at most ``MOST_VALUES`` different values, counts per value - combined before the
+shuffle - and a running sum over them give the value at any rank. A group with more is split first: an
+approximate quantile sketch gives splitters, one pass counts the rows between them, and only the buckets
+that hold a wanted rank are read again, and split again while they have too many values. So the last
+step sees a bounded number of values, however these lie and however often one of them repeats,
+and rows outside the wanted buckets are counted but never shuffled.
+
+The rows are read twice, and twice more for every split: pass a written table.
 """
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from holdfast.operators.joins import join_own_aggregate
@@ -24,6 +25,14 @@ EVEN = 8
 MOST_VALUES = 1_000_000
 
 
+def _meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of the one row of ``right`` that has their keys; without keys, of its only row."""
+    if keys:
+        return join_own_aggregate(left, right, keys)
+    one = left.withColumn("one", right.select(F.struct(*right.columns)).scalar())
+    return one.select(*left.columns, *[F.col("one")[c].alias(c) for c in right.columns])
+
+
 def _placed(rows: DataFrame, keys: list[str], level: int, splitters: int) -> DataFrame:
     """Rows with the number of their bucket: one for each cut, and one for each gap between cuts.
 
@@ -39,13 +48,25 @@ def _placed(rows: DataFrame, keys: list[str], level: int, splitters: int) -> Dat
     )
     cuts = F.array_union("cuts", F.array("low", *even, "high"))
     cuts = stage(found.filter("low IS NOT NULL").select(*keys, cuts.alias("cuts")), "splitters")
-    if keys:
-        met = join_own_aggregate(rows, cuts, keys)
-    else:
-        met = rows.withColumn("cuts", cuts.select("cuts").scalar())
     value = F.col("value")
     bucket = F.size(F.filter("cuts", lambda cut: cut < value)) + F.size(F.filter("cuts", lambda cut: cut <= value))
-    return met.select(*keys, "value", bucket.alias(f"bucket_{level}"))
+    return _meet(rows, cuts, keys).select(*keys, "value", bucket.alias(f"bucket_{level}"))
+
+
+def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.approx_count_distinct("value").alias("n_values"))
+
+
+def _wanted(counts: DataFrame) -> tuple[DataFrame, int]:
+    """Groups with the ranks that lie in them, and the most different values that one of these has.
+
+    ``before`` rows of the original group precede it, ``n`` rows are in it.
+    """
+    held = F.filter("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
+    seen = Observation()
+    some = counts.withColumn("ranks", held).filter(F.size("ranks") > 0).observe(seen, F.max("n_values").alias("most"))
+    wanted = stage(some.drop("n", "n_values"), "wanted")
+    return wanted, seen.get["most"] or 0
 
 
 def values_at_ranks(
@@ -62,39 +83,27 @@ def values_at_ranks(
     Null values are left out; a group without others gives no row, nor does a rank beyond the total.
     """
     rows = df.select(*groups, F.col(value).alias("value")).filter("value IS NOT NULL")
-    keys, wanted, level = list(groups), None, 0
-    while True:
+    keys = list(groups)
+    counts = _counted(rows, keys).withColumn("total", F.col("n"))
+    counts = counts.withColumns({"ranks": F.array_distinct(ranks), "before": F.lit(0).cast("bigint")})
+    wanted, most = _wanted(counts)
+    level = 0
+    while most > most_values:
         placed = _placed(rows, keys, level, splitters)
         bucket = f"bucket_{level}"
-        counts = placed.groupBy(*keys, bucket).agg(
-            F.count("*").alias("n"), F.approx_count_distinct("value").alias("n_values")
-        )
         # A group has at most twice as many buckets as splitters.
-        inside = Window.partitionBy(*keys)
-        earlier = inside.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        if wanted is None:
-            counts = counts.withColumn("total", F.sum("n").over(inside)).withColumns(
-                {"ranks": F.array_distinct(ranks), "before": F.lit(0)}
-            )
-        else:
-            counts = join_own_aggregate(counts, wanted.drop("n", "n_values"), keys)
-        start = F.col("before") + F.col("earlier")
-        held = F.filter("ranks", lambda r: (r >= start) & (r < start + F.col("n")))
-        wanted = stage(
-            counts.withColumns({"ranks": held, "before": start}).filter(F.size("ranks") > 0).drop("earlier"), "wanted"
-        )
+        walk = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        counts = _counted(placed, [*keys, bucket]).withColumn("earlier", F.coalesce(F.sum("n").over(walk), F.lit(0)))
+        counts = _meet(counts, wanted, keys).withColumn("before", F.col("before") + F.col("earlier")).drop("earlier")
+        wanted, most = _wanted(counts)
         keys = [*keys, bucket]
-        picked = wanted.select(*keys).withColumn("is_wanted", F.lit(True))
-        rows = join_own_aggregate(placed, picked, keys).drop("is_wanted")
-        if wanted.filter(F.col("n_values") > most_values).isEmpty():
-            break
+        rows = join_own_aggregate(placed, wanted.select(*keys), keys)
         level += 1
 
     values = rows.groupBy(*keys, "value").agg(F.count("*").alias("n"))
     walk = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("n").over(walk), F.lit(0))
-    met = join_own_aggregate(values, wanted.drop("n", "n_values"), keys).withColumn("start", start)
+    met = _meet(values, wanted, keys).withColumn("start", start)
     here = F.filter("ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("n")))
     return met.withColumn("rank", F.explode(here)).select(*groups, "total", "rank", F.col("value").alias("at_rank"))
 
