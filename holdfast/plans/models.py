@@ -6,11 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -22,7 +18,7 @@ from holdfast.operators.categories import CategoryEncoder
 from holdfast.operators.features import LABEL, Preparation, fit_preparation
 from holdfast.operators.metrics import compare_models, ranking_metrics
 from holdfast.operators.splits import BUCKETS, salted, stratified_folds
-from holdfast.plans import boosting
+from holdfast.plans import boosting, neural
 from holdfast.session import stage
 
 KEY = "subscriber_id"
@@ -138,7 +134,7 @@ def train_boosting(
 def balance_by_copies(
     train: DataFrame, prep: Preparation, rules: Rules = DEFAULT
 ) -> DataFrame:
-    """Positives repeated until both classes weigh the same, for learners without weights."""
+    """Positives repeated until both classes weigh the same, for learners without weights; ours have them."""
     negatives = prep.n_rows - prep.n_positive
     wanted = max(1.0, negatives / prep.n_positive) if prep.n_positive else 1.0
     whole = int(wanted)
@@ -148,11 +144,24 @@ def balance_by_copies(
 
 
 def train_perceptron(train: DataFrame, rules: Rules = DEFAULT, epochs: int = 80) -> PipelineModel:
+    """Neural classifier over scaled numbers, flags and embedded text columns; classes weigh the same."""
     prep = fit_preparation(train)
-    estimator = MultilayerPerceptronClassifier(
-        labelCol=LABEL, layers=[n_inputs(prep), 128, 64, 32, 2], maxIter=epochs, seed=rules.seed
-    )
-    return _fit(prep, estimator, balance_by_copies(train, prep, rules))
+    encoder = code_stage(prep)
+    stages = [scaling_stage(prep), *([encoder] if encoder else [])]
+    rows = PipelineModel(stages).transform(with_class_weight(train, prep))
+    codes = encoder.code_names() if encoder else []
+    net = neural.NeuralNet([*prep.scaled_names(), *[f"{c}_flag" for c in prep.binary]], codes, [])
+    numbers, at = net.columns()
+    is_held_out = hash_bucket(salted(F.col(KEY), rules.seed, "early_stop"), 10) == 0
+    rows = rows.select(
+        numbers.alias("numbers"), at.alias("codes"), F.col(LABEL).cast("double").alias("label"), "weight",
+        is_held_out.alias("held_out"),
+    )
+    # A code per value but the first, and one for all others.
+    sizes = list(encoder.sizes.values()) if encoder else []
+    settings = neural.Settings(steps=epochs, seed=rules.seed)
+    net.weights = neural.train(rows, len(net.numbers), sizes, settings)
+    return PipelineModel([*stages, net])
 
 
 TRAINERS: dict[str, Callable[..., PipelineModel]] = {
