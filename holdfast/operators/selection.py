@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.operators.joins import join_own_aggregate
@@ -63,10 +63,8 @@ def _wanted(counts: DataFrame) -> tuple[DataFrame, int]:
     ``before`` rows of the original group precede it, ``n`` rows are in it.
     """
     held = F.filter("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
-    seen = Observation()
-    some = counts.withColumn("ranks", held).filter(F.size("ranks") > 0).observe(seen, F.max("n_values").alias("most"))
-    wanted = stage(some.drop("n", "n_values"), "wanted")
-    return wanted, seen.get["most"] or 0
+    wanted = stage(counts.withColumn("ranks", held).filter(F.size("ranks") > 0).drop("n"), "wanted")
+    return wanted.drop("n_values"), wanted.agg(F.max("n_values")).first()[0] or 0
 
 
 def values_at_ranks(

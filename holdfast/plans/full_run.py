@@ -34,9 +34,9 @@ from holdfast.operators.warehouse import (
     seed_dimensions,
 )
 from holdfast.plans import models
-from holdfast.schemas import FACT_PREDICTIONS
+from holdfast.schemas import FACT_MODEL_RUNS, FACT_PREDICTIONS, FACT_SUBSCRIBERS
 from holdfast.session import stage
-from holdfast.sources import files
+from holdfast.sources import files, versions
 
 
 @dataclass
@@ -59,12 +59,18 @@ def step_clean(raw: DataFrame, out: str, rules: Rules = DEFAULT) -> DataFrame:
     return files.read_clean(raw.sparkSession, path)
 
 
+def _before(spark: SparkSession, previous: str | None, name: str, ddl: str) -> DataFrame | None:
+    """A warehouse table of the version before."""
+    return None if previous is None else spark.read.schema(ddl).parquet(f"{previous}/warehouse/{name}")
+
+
 def step_warehouse(
-    cleaned: DataFrame, out: str, industries: tuple[str, ...] = INDUSTRY_NAMES
+    cleaned: DataFrame, out: str, industries: tuple[str, ...] = INDUSTRY_NAMES, previous: str | None = None
 ) -> Warehouse:
+    """Accounts of the version before stay unless they are loaded anew."""
     spark = cleaned.sparkSession
     dims = seed_dimensions(spark, industries=industries)
-    fact = load_subscribers(cleaned, dims)
+    fact = load_subscribers(cleaned, dims, _before(spark, previous, "fact_subscribers", FACT_SUBSCRIBERS))
     path = f"{out}/warehouse/fact_subscribers"
     files.write_table(fact, path)
     stored = spark.read.schema(fact.schema).parquet(path)
@@ -136,15 +142,17 @@ def step_predict(
     predicted_at: Column,
     model_name: str,
     rules: Rules = DEFAULT,
+    previous: str | None = None,
 ) -> Warehouse:
-    """Scores every account and loads the predictions of the primary model."""
+    """Scores every account and loads the predictions of the primary model next to earlier ones."""
+    spark = features.sparkSession
     scored = models.score(model, features.drop("split"))
     rows = load_predictions(
-        prediction_rows(scored, model_name, "latest", predicted_at, rules), None
+        prediction_rows(scored, model_name, "latest", predicted_at, rules),
+        _before(spark, previous, "fact_model_predictions", FACT_PREDICTIONS),
     )
     path = f"{out}/warehouse/fact_model_predictions"
     files.write_table(rows, path)
-    spark = features.sparkSession
     return warehouse.with_predictions(spark.read.schema(rows.schema).parquet(path))
 
 
@@ -156,27 +164,51 @@ def run(
     trainers: dict[str, Callable[..., PipelineModel]] | None = None,
     at: Column | None = None,
     cross_validation: bool = True,
+    previous: str | None = None,
 ) -> RunResult:
+    """Writes everything below ``out``, a folder without a run; ``previous`` is that of the version before."""
     spark: SparkSession = raw.sparkSession
     if at is None:
         # One instant for the whole run, not one per query.
         at = F.lit(spark.range(1).select(F.current_timestamp()).first()[0])
     step_validate(raw, out, rules)
     cleaned = step_clean(raw, out, rules)
-    warehouse = step_warehouse(cleaned, out, industries)
+    warehouse = step_warehouse(cleaned, out, industries, previous)
     features = step_features(cleaned, out, rules)
     data_hash = fingerprint(cleaned).first()["data_hash"]
     comparison, fitted = step_train(features, out, rules, trainers, cross_validation)
     sizes = features.groupBy("split").count().collect()
     n = {r["split"]: r["count"] for r in sizes}
-    files.append_run(
-        models.run_record(
-            comparison, at, data_hash, n.get("train", 0), n.get("test", 0), f"{out}/models"
-        ),
-        f"{out}/warehouse/fact_model_runs",
+    record = models.run_record(
+        comparison, at, data_hash, n.get("train", 0), n.get("test", 0), f"{out}/models"
     )
+    earlier = _before(spark, previous, "fact_model_runs", FACT_MODEL_RUNS)
+    record = record if earlier is None else earlier.unionByName(record.select(*earlier.columns))
+    files.append_run(record, f"{out}/warehouse/fact_model_runs")
     primary = rules.primary_model if rules.primary_model in fitted else next(iter(fitted))
     warehouse = step_predict(
-        fitted[primary], features, warehouse, out, at, primary, rules
+        fitted[primary], features, warehouse, out, at, primary, rules, previous
     )
     return RunResult(warehouse, comparison, data_hash)
+
+
+def run_again(raw: DataFrame, root: str, **settings) -> RunResult:
+    """One more run on a versioned output: loads on top of the current version, then becomes it.
+
+    ``settings`` are those of ``run``. A run that fails leaves the current version as it is.
+    """
+    return versions.write_version(
+        raw.sparkSession, root, lambda out, previous: run(raw, out, previous=previous, **settings)
+    )
+
+
+def open_version(spark: SparkSession, root: str, industries: tuple[str, ...] = INDUSTRY_NAMES) -> Warehouse | None:
+    """The warehouse of the current version; None before the first run."""
+    path = versions.current(spark, root)
+    if path is None:
+        return None
+    return Warehouse(
+        _before(spark, path, "fact_subscribers", FACT_SUBSCRIBERS),
+        seed_dimensions(spark, industries=industries),
+        _before(spark, path, "fact_model_predictions", FACT_PREDICTIONS),
+    )
