@@ -484,7 +484,8 @@ _RESULT = (
 
 def repeated_windows(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """row_id, lows, highs: ranges of window starts that occur again; ``rows`` has row_id and text."""
-    found = rows.mapInArrow(_find_anchors(length, gram), _OCCURRENCES)
+    # Written once: the texts are read for anchors in one pass only.
+    found = stage(rows.mapInArrow(_find_anchors(length, gram), _OCCURRENCES), "anchor_places")
     # Anchors that occur once own no repeated window.
     often = found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
     often = stage(often, "anchors")
