@@ -7,7 +7,7 @@ a single row longer than that is a piece of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -248,6 +248,19 @@ def plus(schema: StructType, *fields: tuple[str, str]) -> StructType:
     return StructType(list(schema.fields) + [StructType.fromDDL(f"`{name}` {kind}")[0] for name, kind in fields])
 
 
+def shielded(df: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table with all but the needed columns under names of our own, and what names them back.
+
+    Operators that hand on all columns of a table add some for themselves; so none can clash.
+    """
+    names = {c: c if c in needed else f"own_{i}" for i, c in enumerate(df.columns)}
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(f"`{names[c]}`").alias(c) for c in names])
+
+    return df.toDF(*names.values()), back
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns an operator reads, whatever else the table carries."""
     return df.select(*[F.col(f"`{n}`") for n in names])

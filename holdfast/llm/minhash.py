@@ -39,6 +39,7 @@ from holdfast.llm.common import (
     lower_ascii,
     mix,
     pieces,
+    shielded,
     stage,
     words,
 )
@@ -341,7 +342,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     threshold = percent / 100
     sketches = stage(sketch(docs, width), "sketches")
     full = sketches.filter(F.col("set_id").isNotNull())
-    nodes = full.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    # A document without an id stands for its set only where none has one.
+    known = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")
+    nodes = full.groupBy("set_id").agg(F.min(known).alias("first"))
     nodes = stage(
         nodes.select(
             F.monotonically_increasing_id().alias("node"), "set_id",
@@ -413,6 +416,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group, and every document without shingles."""
+    docs, back = shielded(docs, "doc_id", "text")
     rows = near_duplicates(docs, width, percent)
     keep = stage(
         rows.filter("kept").select("doc_id", "text_key", (F.col("n_shingles") > 0).alias("_full")).distinct(), "kept"
@@ -423,4 +427,4 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
         (F.col("_key") == F.col("_key2")) & F.col("doc_id").eqNullSafe(F.col("_id")),
     )
     copy = F.row_number().over(Window.partitionBy("_key", "_id").orderBy("_key"))
-    return joined.withColumn("_copy", copy).filter("_copy = 1 or not _full").select(*[f"`{c}`" for c in docs.columns])
+    return back(joined.withColumn("_copy", copy).filter("_copy = 1 or not _full"))

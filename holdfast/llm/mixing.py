@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import own_columns, stage
+from holdfast.llm.common import own_columns, shielded, stage
 
 ONE = 1 << 24
 SEED = "mixture"
@@ -128,6 +128,7 @@ def mixture(
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mixture, each as often as it was taken, all columns kept."""
+    docs, back = shielded(docs, "doc_id", "text", "source")
     plan = stage(mixture(docs, **options), "mixture")
     key = lambda doc_id, size, source: F.sha1(
         F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), size.cast("string"), source)
@@ -145,6 +146,4 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
         at < F.col("_copies") % F.col("_rows"), 1
     ).otherwise(0)
     times = joined.withColumn("_times", share.cast("int")).filter("_times > 0")
-    return times.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_i")
-    ).drop("_i")
+    return back(times.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import Piece, byte_set, code_points_before, column, pieces, plus, stage, words
+from holdfast.llm.common import Piece, byte_set, code_points_before, column, pieces, plus, shielded, stage, words
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "context"
@@ -321,6 +321,7 @@ def _name_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def redact(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; n_chars, where there, follows."""
+    docs, back = shielded(docs, "doc_id", "text", "n_chars")
     spans = stage(
         personal_data(docs, **options)
         .select(F.col("row_id").alias("_row_id"), all_spans().alias("_spans"))
@@ -335,4 +336,4 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     if "n_chars" in docs.columns:
         length = F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
         out = out.withColumn("n_chars", F.coalesce(length, F.col("n_chars")))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    return back(out)
