@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import bpe, minhash, mixing, pii, toxicity
-from holdfast.llm.common import short_batches, stage, table
+from holdfast.llm.common import shielded, short_batches, stage, table
 
 TOXIC_FROM = 0.7
 SHINGLE_WORDS = 5
@@ -26,7 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the limit; the model learns from the labels of allowed rows."""
     short_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("toxicity") < TOXIC_FROM).select(*docs.columns)
+    plain, back = shielded(docs, "doc_id", "text")
+    return back(toxicity.score(plain, model).filter(F.col("toxicity") < TOXIC_FROM))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them."""
-    return mixing.mixed(docs, share=SHARE, stop=MOST_COPIES).select(*docs.columns)
+    return mixing.mixed(docs, share=SHARE, stop=MOST_COPIES)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
