@@ -941,3 +941,95 @@ ORACLE["s14_run_records"] = f"""WITH {SCORED}, n AS (SELECT
         '2024-12-31 00:00:00' AS trained_at, n_train, n_test, roc_auc, pr_auc, f1 AS f1_score,
         "precision" AS precision_score, recall AS recall_score, threshold AS threshold_used
     FROM comparison CROSS JOIN n"""
+
+
+def _all_tables() -> str:
+    """The declared rules of every table, each key by its distinct values."""
+    base = _constraints()
+    with_part, rows = base[: base.index("SELECT 'fact_subscribers'")], base[base.index("SELECT 'fact_subscribers'") :]
+    dims = {
+        "dim_plan": (
+            ("plan_id", "plan_tier", "tier_rank", "base_price_floor", "base_price_ceil"), ("plan_tier", "tier_rank"),
+            ("primary_key:plan_id", "unique:plan_tier"),
+        ),
+        "dim_region": (
+            ("region_id", "region_code", "region_name"), ("region_code",), ("primary_key:region_id", "unique:region_code"),
+        ),
+        "dim_channel": (
+            ("channel_id", "channel_code", "channel_type"), ("channel_type",),
+            ("primary_key:channel_id", "unique:channel_code"),
+        ),
+        "dim_industry": (("industry_id", "industry_name"), (), ("primary_key:industry_id", "unique:industry_name")),
+    }
+    # The seeded dimensions satisfy every rule.
+    parts = [
+        f"SELECT '{table}', '{name}', 0::BIGINT"
+        for table, (required, checks, keys) in dims.items()
+        for name in [*(f"not_null:{c}" for c in required), *(f"check:{c}" for c in checks), *keys]
+    ]
+    parts.append("""SELECT 'fact_subscribers', 'primary_key:subscriber_id',
+        count(subscriber_id) - count(DISTINCT subscriber_id) FROM fact""")
+    parts.append("""SELECT 'fact_model_predictions', 'primary_key:subscriber_id,model_name',
+        count(*) - count(DISTINCT (subscriber_id, model_name)) FROM predictions""")
+    return with_part + rows + " UNION ALL " + " UNION ALL ".join(parts)
+
+
+def _catalog() -> str:
+    from holdfast.operators.features import CATALOG
+
+    rows = ", ".join(f"('{name}', '{text}')" for name, text in CATALOG.items())
+    return f"""WITH {STEPS} SELECT column_name, comment, (SELECT count(*) FROM clean) AS n_rows
+        FROM (VALUES {rows}) AS t(column_name, comment)"""
+
+
+def _model_facts() -> str:
+    return f"""WITH {STEPS} SELECT count(*) AS n_scored, count(DISTINCT subscriber_id) AS n_accounts,
+        {big('sum(churned)')} AS n_churned, 0::BIGINT AS n_out_of_bounds, 0::BIGINT AS n_different_after_reload,
+        TRUE AS fits_better_than_chance FROM clean"""
+
+
+ORACLE |= {
+    "l9b_all_tables": _all_tables(),
+    "l9c_keys_of_raw_rows": f"""WITH {RAW_ALL}, k AS (SELECT plan_tier, region, industry_vertical, count(*) AS n FROM raw
+            WHERE plan_tier IS NOT NULL AND region IS NOT NULL AND industry_vertical IS NOT NULL GROUP BY ALL)
+        SELECT 'subscribers_raw' AS table_name, 'not_null:subscriber_id' AS constraint_name,
+            count(*) - count(subscriber_id) AS n_violations FROM raw
+        UNION ALL SELECT 'subscribers_raw', 'not_null:churn_reason', count(*) - count(churn_reason) FROM raw
+        UNION ALL SELECT 'subscribers_raw', 'check:seat_count', count(*) FILTER (WHERE NOT seat_count < 5) FROM raw
+        UNION ALL SELECT 'subscribers_raw', 'primary_key:subscriber_id',
+            count(subscriber_id) - count(DISTINCT subscriber_id) FROM raw
+        UNION ALL SELECT 'subscribers_raw', 'unique:plan_tier,region,industry_vertical',
+            {big('coalesce(sum(n - 1), 0)')} FROM k
+        UNION ALL SELECT 'subscribers_raw', 'unique:churn_reason', count(churn_reason) - count(DISTINCT churn_reason) FROM raw""",
+    "l8_missing_columns": f"""WITH {RAW_ALL} SELECT (SELECT count(*) FROM raw) AS n_rows,
+            CAST({len(PROFILED) - 2} AS BIGINT) AS n_profiled, 'Expected column ' || chr(39) || c || chr(39) || ' is missing' AS issue
+        FROM (VALUES ('region'), ('seat_count')) AS t(c)""",
+    "s13b_quality_report_rows": f"""WITH {RAW_ALL}, {_violation_rows()}, profile AS ({_profile_rows()})
+        SELECT column_name, n_total, n_null, pct_null, n_unique,
+            (SELECT count(*) FROM v WHERE v.column_name = profile.column_name) AS n_issues FROM profile""",
+    "s24b_second_run": f"""WITH {STEPS}, n AS (SELECT count(*) AS n FROM clean)
+        SELECT 'accounts' AS what, n FROM n UNION ALL SELECT 'predictions', n FROM n UNION ALL SELECT 'run records', 4
+        UNION ALL SELECT 'versions', 2 UNION ALL SELECT 'violations', 0""",
+    "s17b_load_over_existing": f"""WITH {FACT} SELECT subscriber_id, {big('plan_id')} AS plan_id,
+        {big('region_id')} AS region_id, {big('seat_count + 1')} AS seat_count FROM fact""",
+    "a17b_fingerprint_of_all_columns": f"""WITH {STEPS}, t AS (SELECT *,
+            CAST(CAST(churn_probability_true AS DECIMAL(20, 6)) AS VARCHAR) AS true_text FROM clean),
+        h AS (SELECT {hashed(FINGERPRINT_ROW + " || '|' || coalesce(length(true_text) || ':' || true_text, '~')")}
+            AS row_hash FROM t)
+        SELECT count(*) AS n_rows,
+            substr(sha256(CAST(sum(row_hash) AS VARCHAR) || '|' || CAST(count(*) AS VARCHAR)), 1, 16) AS data_hash FROM h""",
+    "m13_catalog": _catalog(),
+    "h22_page_of_percentages": f"""WITH {WATCHLIST} SELECT subscriber_id, plan_tier, region_code, industry_name,
+            tenure_months, engagement_score, payment_failures_12m, support_tickets_90d, arr_usd,
+            churn_probability * 100 / 100 AS churn_probability, risk_tier FROM flagged
+        ORDER BY flagged.churn_probability * 100 DESC, subscriber_id, model_name LIMIT 25""",
+    "t5_preview": f"""SELECT subscriber_id, plan_tier, region_code FROM ({ORACLE['s19_denormalised']}) AS documents
+        ORDER BY subscriber_id LIMIT 20""",
+    "n6b_facts_of_logistic": _model_facts(),
+    "n7b_facts_of_forest": _model_facts(),
+    "n8b_facts_of_boosting": _model_facts(),
+    "n15b_facts_of_neural": _model_facts(),
+    "n3b_facts_of_cross_validation": f"""WITH {STEPS} SELECT count(*) FILTER (WHERE {SPLIT} = 'train') AS n_train,
+        TRUE AS cv_roc_auc_mean_in_bounds, TRUE AS cv_roc_auc_std_in_bounds,
+        TRUE AS cv_pr_auc_mean_in_bounds, TRUE AS cv_pr_auc_std_in_bounds FROM clean""",
+}

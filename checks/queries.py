@@ -18,6 +18,7 @@ from holdfast.operators.warehouse import (
     append_predictions,
     denormalise,
     load_predictions,
+    load_subscribers,
     lookup_keys,
     prediction_rows,
     seed_dimensions,
@@ -25,7 +26,7 @@ from holdfast.operators.warehouse import (
 from holdfast.plans import documents, full_run, kpis, models, named_queries, reports
 from holdfast.schemas import FACT_MODEL_RUNS
 from holdfast.session import scratch_dir
-from holdfast.sources import files
+from holdfast.sources import files, versions
 from holdfast.sources.accounts import MARKET_SEGMENTS
 from holdfast.workspace import HEURISTIC, PREDICTED_AT, SIMPLE, Workspace, open_workspace
 
@@ -227,6 +228,17 @@ def _(w):
     return stored.select("n_rows", "n_cols", "n_duplicates", "pct_duplicates")
 
 
+@register("s13b_quality_report_rows")
+def _(w):
+    """Columns and issues of the stored report, a row each."""
+    path = fresh_path(w, "quality")
+    report = quality.report(w.raw)
+    files.write_quality_report(report, path, path + "_text")
+    stored = w.spark.read.schema(report.schema).json(path)
+    one = stored.select(F.explode("columns").alias("c"))
+    return one.select("c.column_name", "c.n_total", "c.n_null", "c.pct_null", "c.n_unique", F.size("c.issues").alias("n_issues"))
+
+
 @register("s14_run_records")
 def _(w):
     path = fresh_path(w, "runs")
@@ -338,6 +350,44 @@ def _(w):
     return result.comparison
 
 
+@register("s24b_second_run")
+def _(w):
+    """Two runs on one output: three quarters of the accounts, then all of them."""
+    root = fresh_path(w, "runs")
+    settings = {
+        "industries": MARKET_SEGMENTS, "cross_validation": False,
+        "trainers": {"logistic_regression": models.train_logistic},
+    }
+    some = w.raw.filter(F.crc32("subscriber_id") % 4 != 0)
+    for raw in (some, w.raw):
+        full_run.run_again(raw, root, **settings)
+    last = full_run.open_version(w.spark, root, MARKET_SEGMENTS)
+    runs = w.spark.read.parquet(f"{versions.current(w.spark, root)}/warehouse/fact_model_runs")
+    broken = constraints.all_violations(
+        {"fact_subscribers": last.fact, "fact_model_predictions": last.predictions, "fact_model_runs": runs}
+    )
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+    return reduce(
+        DataFrame.unionByName,
+        [
+            count(last.fact, "accounts"), count(last.predictions, "predictions"), count(runs, "run records"),
+            count(versions.published(w.spark, root), "versions"),
+            broken.agg(F.sum("n_violations").alias("n")).select(F.lit("violations").alias("what"), "n"),
+        ],
+    )
+
+
+@register("s17b_load_over_existing")
+def _(w):
+    """Half of the accounts loaded first, then all rows of the raw table, the last of an account winning."""
+    first = load_subscribers(w.clean.filter(F.crc32("subscriber_id") % 2 == 0), w.dims)
+    batch = w.clean.withColumn("load_seq", F.lit(1)).unionByName(
+        w.clean.select(*[c for c in w.clean.columns if c != "seat_count"], (F.col("seat_count") + 1).alias("seat_count"))
+        .withColumn("load_seq", F.lit(2))
+    )
+    return load_subscribers(batch, w.dims, first, "load_seq").select("subscriber_id", "plan_id", "region_id", "seat_count")
+
+
 # Cleaning.
 @register("k1_dedup")
 def _(w):
@@ -450,6 +500,42 @@ def _(w):
     return constraints.constraint_violations(w.fact, w.predictions)
 
 
+@register("l9b_all_tables")
+def _(w):
+    dims = w.dims
+    return constraints.all_violations(
+        {
+            "dim_plan": dims.plans, "dim_region": dims.regions, "dim_channel": dims.channels,
+            "dim_industry": dims.industries, "fact_subscribers": w.fact, "fact_model_predictions": w.predictions,
+        }
+    )
+
+
+@register("l9c_keys_of_raw_rows")
+def _(w):
+    """Keys and checks on rows that break them."""
+    rules = constraints.TableRules(
+        ("subscriber_id", "churn_reason"),
+        {"seat_count": F.col("seat_count") < 5},
+        {
+            "primary_key:subscriber_id": ("subscriber_id",),
+            "unique:plan_tier,region,industry_vertical": ("plan_tier", "region", "industry_vertical"),
+            "unique:churn_reason": ("churn_reason",),
+        },
+    )
+    return constraints.rule_violations(w.raw, "subscribers_raw", rules)
+
+
+@register("l8_missing_columns")
+def _(w):
+    """A raw file without two columns: its report names them, and profiles the others."""
+    path = fresh_path(w, "raw")
+    files.write_raw(w.raw.drop("region", "seat_count"), path)
+    report = quality.report(files.read_raw(w.spark, path))
+    issue = F.explode(F.filter("global_issues", lambda i: i.contains("missing"))).alias("issue")
+    return report.select("n_rows", F.size("columns").alias("n_profiled"), issue)
+
+
 @register("l9_orphans")
 def _(w):
     return constraints.all_orphans(w.fact, w.predictions, w.dims.by_key())
@@ -607,6 +693,30 @@ def _(w):
     return fingerprint(w.clean, [c for c, t in w.clean.dtypes if t != "double"])
 
 
+@register("a17b_fingerprint_of_all_columns")
+def _(w):
+    """Doubles enter as text of six decimals, so that a changed score changes the fingerprint."""
+    texts = w.clean.withColumns({c: F.col(c).cast("decimal(20,6)") for c, t in w.clean.dtypes if t == "double"})
+    return fingerprint(texts)
+
+
+@register("m13_catalog")
+def _(w):
+    """Descriptions read back from the stored features, with the rows that they describe."""
+    path = fresh_path(w, "features")
+    files.write_features(features.with_comments(w.features), path)
+    stored = files.read_features(w.spark, path)
+    n = stored.agg(F.count("*").alias("n_rows"))
+    rows = F.array(
+        *[
+            F.struct(F.lit(f.name).alias("column_name"), F.lit(f.metadata["comment"]).alias("comment"))
+            for f in stored.schema
+            if "comment" in f.metadata
+        ]
+    )
+    return n.select(F.inline(rows), "n_rows")
+
+
 # Splits, scores and metrics.
 @register("n1_split_shares")
 def _(w):
@@ -738,6 +848,19 @@ def _(w):
     return reports.apply_filters(kpis.by_region(w.warehouse), plan="growth", region="EMEA")
 
 
+@register("h22_page_of_percentages")
+def _(w):
+    """A watch-list whose probabilities are percentages, shown as shares."""
+    flagged = kpis.flagged_accounts(w.warehouse)
+    percent = flagged.withColumn("churn_probability", F.col("churn_probability") * 100)
+    return reports.page(percent, 1)
+
+
+@register("t5_preview")
+def _(w):
+    return reports.preview(w.documents.select("subscriber_id", "plan_tier", "region_code").orderBy("subscriber_id"))
+
+
 # Models: no SQL equivalent.
 def _parts(w: Workspace) -> tuple[DataFrame, DataFrame]:
     split = splits.split_of(F.col("subscriber_id"))
@@ -796,6 +919,49 @@ def _(w):
     return models.evaluate({"perceptron": _fit_and_score(w, models.train_perceptron)})
 
 
+# What holds of a model whatever it learned: rows scored, bounds, a fit better than chance.
+def _facts_of(w: Workspace, trainer) -> DataFrame:
+    train, _ = _parts(w)
+    model = trainer(train)
+    path = fresh_path(w, "model")
+    models.save_model(model, path)
+    again = models.score(models.load_model(path), w.features).select(
+        "subscriber_id", F.col("churn_probability").alias("reloaded")
+    )
+    fit = metrics.ranking_metrics(models.stack({"m": models.score(model, train)})).first()
+    p = F.col("churn_probability")
+    return (
+        models.score(model, w.features)
+        .join(again, "subscriber_id")
+        .agg(
+            F.count("*").alias("n_scored"),
+            F.countDistinct("subscriber_id").alias("n_accounts"),
+            F.sum("churned_actual").alias("n_churned"),
+            F.count_if(p.isNull() | ~p.between(0, 1)).alias("n_out_of_bounds"),
+            F.count_if(F.abs(p - F.col("reloaded")) > 1e-12).alias("n_different_after_reload"),
+        )
+        .withColumn("fits_better_than_chance", F.lit(fit["roc_auc"] > 0.5))
+    )
+
+
+for _name, _trainer in {
+    "n6b_facts_of_logistic": models.train_logistic,
+    "n7b_facts_of_forest": models.train_forest,
+    "n8b_facts_of_boosting": models.train_boosting,
+    "n15b_facts_of_neural": models.train_perceptron,
+}.items():
+    QUERIES[_name] = lambda w, t=_trainer: _facts_of(w, t)
+
+
+@register("n3b_facts_of_cross_validation")
+def _(w):
+    row = models.cross_validate(_parts(w)[0], models.train_logistic)
+    n = w.clean.filter(splits.split_of(F.col("subscriber_id")) == "train").agg(F.count("*").alias("n_train"))
+    inside = [F.col(c).between(0, 1).alias(f"{c}_in_bounds") for c in row.columns]
+    facts = row.select(F.struct(*inside).alias("facts"))
+    return n.withColumn("facts", facts.scalar()).select("n_train", "facts.*")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: (lambda spark, sf_dir, q=query: portable(q(open_workspace(spark, sf_dir))))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.config import BILLING_CYCLES, RISK_TIERS
+from holdfast.config import BILLING_CYCLES, PLAN_TIERS, REGION_CODES, RISK_TIERS
 from holdfast.functions.exact import rate_pct
 
 # Columns of the fact table that may not be null.
@@ -21,6 +22,8 @@ PREDICTION_REQUIRED = (
     "subscriber_id", "model_name", "run_id", "churn_probability", "predicted_churned",
     "risk_tier", "predicted_at",
 )
+RUN_REQUIRED = ("run_id", "model_name", "trained_at", "data_hash", "n_train", "n_test")
+CHANNEL_TYPES = ("inbound", "outbound", "partnership", "viral")
 
 
 def _fact_checks() -> dict[str, Column]:
@@ -75,6 +78,95 @@ def constraint_violations(fact: DataFrame, predictions: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class TableRules:
+    """Columns that may not be null, conditions by name, and keys by name."""
+
+    required: tuple[str, ...] = ()
+    checks: dict[str, Column] = field(default_factory=dict)
+    keys: dict[str, tuple[str, ...]] = field(default_factory=dict)
+
+
+def table_rules() -> dict[str, TableRules]:
+    """Declared rules of every table of the warehouse."""
+    c = F.col
+    return {
+        "dim_plan": TableRules(
+            ("plan_id", "plan_tier", "tier_rank", "base_price_floor", "base_price_ceil"),
+            {"plan_tier": c("plan_tier").isin(*PLAN_TIERS), "tier_rank": c("tier_rank").between(1, 4)},
+            {"primary_key:plan_id": ("plan_id",), "unique:plan_tier": ("plan_tier",)},
+        ),
+        "dim_region": TableRules(
+            ("region_id", "region_code", "region_name"),
+            {"region_code": c("region_code").isin(*REGION_CODES)},
+            {"primary_key:region_id": ("region_id",), "unique:region_code": ("region_code",)},
+        ),
+        "dim_channel": TableRules(
+            ("channel_id", "channel_code", "channel_type"),
+            {"channel_type": c("channel_type").isin(*CHANNEL_TYPES)},
+            {"primary_key:channel_id": ("channel_id",), "unique:channel_code": ("channel_code",)},
+        ),
+        "dim_industry": TableRules(
+            ("industry_id", "industry_name"), {},
+            {"primary_key:industry_id": ("industry_id",), "unique:industry_name": ("industry_name",)},
+        ),
+        "fact_subscribers": TableRules(
+            FACT_REQUIRED, _fact_checks(), {"primary_key:subscriber_id": ("subscriber_id",)}
+        ),
+        "fact_model_predictions": TableRules(
+            PREDICTION_REQUIRED, _prediction_checks(),
+            {"primary_key:subscriber_id,model_name": ("subscriber_id", "model_name")},
+        ),
+        "fact_model_runs": TableRules(
+            RUN_REQUIRED, {}, {"primary_key:run_id": ("run_id",)}
+        ),
+    }
+
+
+def _key_text(columns: tuple[str, ...]) -> Column:
+    """One text per key, null where a part is null; lengths keep parts apart."""
+    texts = [F.col(c).cast("string") for c in columns]
+    return F.concat(*[x for t in texts for x in (F.length(t).cast("string"), F.lit(":"), t)])
+
+
+def rule_violations(df: DataFrame, table: str, rules: TableRules) -> DataFrame:
+    """table_name, constraint_name, n_violations of every rule, from one pass over the rows.
+
+    Each row gives an entry per key and per rule that it breaks; entries are counted per rule and key,
+    combined before the shuffle, so repeats of a hot key do not meet in one task. A key is broken
+    by every row beyond its first; a null in a key is left to the rule that forbids it. A check that
+    evaluates to null passes, as in SQL.
+    """
+    broken = {f"not_null:{c}": F.col(c).isNull() for c in rules.required}
+    broken |= {f"check:{name}": ~ok for name, ok in rules.checks.items()}
+    entries = [
+        F.when(bad, F.struct(F.lit(name).alias("constraint_name"), F.lit(None).cast("string").alias("key")))
+        for name, bad in broken.items()
+    ]
+    for name, columns in rules.keys.items():
+        key = _key_text(columns)
+        entries.append(F.when(key.isNotNull(), F.struct(F.lit(name).alias("constraint_name"), key.alias("key"))))
+    counted = (
+        df.select(F.inline(F.array_compact(F.array(*entries))))
+        .groupBy("constraint_name", "key")
+        .agg(F.count("*").alias("n"))
+    )
+    wrong = F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(F.col("n") - 1))
+    found = counted.groupBy("constraint_name").agg(wrong.alias("n_violations"))
+    names = [*broken, *rules.keys]
+    declared = df.sparkSession.sql("VALUES " + ", ".join(f"('{n}')" for n in names)).toDF("constraint_name")
+    return declared.join(found, "constraint_name", "left").select(
+        F.lit(table).alias("table_name"), "constraint_name",
+        F.coalesce("n_violations", F.lit(0)).cast("bigint").alias("n_violations"),
+    )
+
+
+def all_violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """Violations of the declared rules of the given tables."""
+    declared = table_rules()
+    return reduce(DataFrame.unionByName, [rule_violations(df, name, declared[name]) for name, df in tables.items()])
+
+
 def orphans(child: DataFrame, parent: DataFrame, key: str, reference: str) -> DataFrame:
     """One row: reference name and number of child rows without a parent."""
     lost = child.select(key).join(parent.select(key), key, "left_anti")
