@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdfast.session import stage
+
+
+def _same_key(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on equal keys, null keys being equal; columns of ``left`` only."""
+    own = right.select(*[F.col(f"`{k}`").alias(f"repeated_{i}") for i, k in enumerate(keys)])
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(own[f"repeated_{i}"]) for i, k in enumerate(keys)])
+    return left.join(own, same, how)
+
 
 def _one_per_key(df: DataFrame, keys: list[str], pick, order: Column) -> DataFrame:
-    # An aggregate instead of row_number(): repeats of a key are combined before the
-    # shuffle, so a key that holds a large share of the rows does not land in one task.
+    """Whole rows are only touched where their key repeats.
+
+    A count per key, combined before the shuffle, finds the repeated keys. All other rows pass by a join
+    with these alone - broadcast while they are few, and then without a shuffle. The rows of repeated
+    keys meet in an aggregate instead of row_number(), so that a key with a large share of the rows is combined
+    before it reaches a task.
+    """
+    repeated = df.groupBy(*keys).agg(F.count("*").alias("n_rows")).filter("n_rows > 1").select(*keys)
+    repeated = stage(repeated, "repeated_keys")
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(pick(F.struct(*rest), order).alias("row"))
-    return picked.select(*keys, "row.*").select(*df.columns)
+    several = _same_key(df, repeated, keys, "left_semi")
+    picked = several.groupBy(*keys).agg(pick(F.struct(*rest), order).alias("row"))
+    once = _same_key(df, repeated, keys, "left_anti")
+    return once.unionByName(picked.select(*keys, "row.*").select(*df.columns))
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
