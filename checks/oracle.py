@@ -1033,3 +1033,39 @@ ORACLE |= {
         TRUE AS cv_roc_auc_mean_in_bounds, TRUE AS cv_roc_auc_std_in_bounds,
         TRUE AS cv_pr_auc_mean_in_bounds, TRUE AS cv_pr_auc_std_in_bounds FROM clean""",
 }
+
+
+def _stability_index() -> str:
+    texts = [
+        f"SELECT part, '{c}' AS column_name, CAST({c} AS VARCHAR) AS bin FROM r"
+        for c in ("plan_tier", "region", "industry_vertical")
+    ]
+    numbers = [
+        f"""SELECT part, '{c}', CAST((SELECT count(*) FROM (SELECT DISTINCT v FROM (SELECT {c} AS v,
+            row_number() OVER (ORDER BY {c}) - 1 AS i, count(*) OVER () AS n FROM r WHERE part = 'train' AND {c} IS NOT NULL)
+            WHERE list_contains(list_transform(range(10), lambda k: ((n - 1) * k) // 10), i)) e WHERE e.v <= r.{c}) AS VARCHAR)
+        FROM r"""
+        for c in ("tenure_months", "seat_count")
+    ]
+    return f"""WITH {STEPS}, r AS (SELECT *, {SPLIT} AS part FROM clean),
+        h AS ({" UNION ALL ".join(texts + numbers)}),
+        b AS (SELECT column_name, bin, count(*) FILTER (WHERE part = 'train') AS n0,
+            count(*) FILTER (WHERE part = 'test') AS n1 FROM h WHERE part <> 'val' GROUP BY ALL),
+        s AS (SELECT column_name, greatest(n0 / sum(n0) OVER w, 1e-4::DOUBLE) AS p, greatest(n1 / sum(n1) OVER w, 1e-4::DOUBLE) AS q
+            FROM b WINDOW w AS (PARTITION BY column_name))
+        SELECT column_name, count(*) AS n_bins, round(sum((p - q) * ln(p / q)), 7) AS psi FROM s GROUP BY ALL"""
+
+
+ORACLE |= {
+    "x1_score_distance": f"""WITH {PRED}, h AS (SELECT model_name, {SPLIT} AS part,
+            greatest(0, least(999, floor(churn_probability * 1000.0::DOUBLE))) AS bin FROM predictions),
+        b AS (SELECT model_name, bin, count(*) FILTER (WHERE part = 'train') AS n0,
+            count(*) FILTER (WHERE part = 'test') AS n1 FROM h GROUP BY ALL),
+        c AS (SELECT model_name, sum(n0) OVER u / sum(n0) OVER w AS p, sum(n1) OVER u / sum(n1) OVER w AS q FROM b
+            WINDOW w AS (PARTITION BY model_name), u AS (PARTITION BY model_name ORDER BY bin ROWS UNBOUNDED PRECEDING))
+        SELECT model_name, round(max(abs(p - q)), 9) AS ks FROM c GROUP BY ALL""",
+    "x2_stability_index": _stability_index(),
+    "x3_rate_gap": f"""WITH {PRED} SELECT model_name, risk_tier, count(*) AS n, round(avg(churn_probability), 7) AS mean_score,
+            round(avg(churned), 7) AS observed_rate, round(avg(churn_probability) - avg(churned), 7) AS gap
+        FROM predictions JOIN fact USING (subscriber_id) GROUP BY ALL""",
+}

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.functions.business import compact_number
-from holdfast.operators import categories, cleaning, constraints, features, keyed, metrics, quality, splits
+from holdfast.operators import categories, cleaning, constraints, drift, features, keyed, metrics, quality, splits
 from holdfast.operators.features import LABEL
 from holdfast.operators.fingerprint import fingerprint
 from holdfast.operators.selection import quantiles
@@ -848,6 +848,31 @@ def _(w):
     return reports.apply_filters(kpis.by_region(w.warehouse), plan="growth", region="EMEA")
 
 
+def _train_and_test(w: Workspace, df: DataFrame) -> list[DataFrame]:
+    split = splits.split_of(F.col("subscriber_id"))
+    return [df.filter(split == part) for part in ("train", "test")]
+
+
+@register("x1_score_distance")
+def _(w):
+    one, two = (drift.score_histogram(df) for df in _train_and_test(w, w.predictions))
+    return drift.score_distance(one, two).withColumn("ks", F.round("ks", 9))
+
+
+@register("x2_stability_index")
+def _(w):
+    one, two = _train_and_test(w, w.clean)
+    texts, edges = ["plan_tier", "region", "industry_vertical"], drift.rank_edges(one, ["tenure_months", "seat_count"])
+    index = drift.stability_index(drift.histogram(one, texts, edges), drift.histogram(two, texts, edges))
+    return index.withColumn("psi", F.round("psi", 7))
+
+
+@register("x3_rate_gap")
+def _(w):
+    rounded = [F.round(c, 7).alias(c) for c in ("mean_score", "observed_rate", "gap")]
+    return drift.rate_gap(w.scored).select("model_name", "risk_tier", "n", *rounded)
+
+
 @register("h22_page_of_percentages")
 def _(w):
     """A watch-list whose probabilities are percentages, shown as shares."""
