@@ -1069,3 +1069,9 @@ ORACLE |= {
             round(avg(churned), 7) AS observed_rate, round(avg(churn_probability) - avg(churned), 7) AS gap
         FROM predictions JOIN fact USING (subscriber_id) GROUP BY ALL""",
 }
+ORACLE["x4_permuted_columns"] = f"""WITH {STEPS}, r AS (SELECT subscriber_id, tenure_months, seat_count,
+        row_number() OVER (ORDER BY {salted('give')}) AS g, row_number() OVER (ORDER BY {salted('take')}) AS t FROM clean)
+    SELECT a.subscriber_id, 'tenure_months' AS permuted_column, {big('b.tenure_months')} AS tenure_months,
+        {big('a.seat_count')} AS seat_count FROM r a JOIN r b ON a.t = b.g
+    UNION ALL SELECT a.subscriber_id, 'seat_count', {big('a.tenure_months')}, {big('b.seat_count')}
+    FROM r a JOIN r b ON a.t = b.g"""

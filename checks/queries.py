@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.functions.business import compact_number
-from holdfast.operators import categories, cleaning, constraints, drift, features, keyed, metrics, quality, splits
+from holdfast.operators import categories, cleaning, constraints, drift, features, importance, keyed, metrics, quality, splits
 from holdfast.operators.features import LABEL
 from holdfast.operators.fingerprint import fingerprint
 from holdfast.operators.selection import quantiles
@@ -873,6 +873,13 @@ def _(w):
     return drift.rate_gap(w.scored).select("model_name", "risk_tier", "n", *rounded)
 
 
+@register("x4_permuted_columns")
+def _(w):
+    """Every account once per column, with that column's values dealt anew."""
+    copies = importance.permuted(w.clean, ["tenure_months", "seat_count"], "subscriber_id")
+    return copies.select("subscriber_id", "permuted_column", "tenure_months", "seat_count")
+
+
 @register("h22_page_of_percentages")
 def _(w):
     """A watch-list whose probabilities are percentages, shown as shares."""
