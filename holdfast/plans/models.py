@@ -77,7 +77,9 @@ def with_class_weight(train: DataFrame, prep: Preparation) -> DataFrame:
 
 def _fit(prep: Preparation, estimator, train: DataFrame) -> PipelineModel:
     prepared = PipelineModel(preparation_stages(prep))
-    fitted = estimator.fit(prepared.transform(train))
+    columns = ["features", estimator.getLabelCol(), estimator.getWeightCol()]
+    # Written once: a learner that passes over the rows does not join the category index every time.
+    fitted = estimator.fit(stage(prepared.transform(train).select(*columns), "prepared"))
     return PipelineModel([*prepared.stages, fitted])
 
 
@@ -209,8 +211,8 @@ def stack(scored: dict[str, DataFrame]) -> DataFrame:
 
 
 def evaluate(scored: dict[str, DataFrame], rules: Rules = DEFAULT) -> DataFrame:
-    """Comparison table of several scored frames."""
-    return compare_models(stack(scored), rules)
+    """Comparison table of several scored frames; every model scores its rows once."""
+    return compare_models(stage(stack(scored), "scored"), rules)
 
 
 def save_model(model: PipelineModel, path: str) -> None:
