@@ -243,6 +243,30 @@ def clustered(df: DataFrame, keys: list[str], order: list[str] | None = None) ->
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *(order or []))
 
 
+FILTER_BITS = 1 << 26  # 8 MB in all, whatever the number of keys
+
+
+def possibly_in(rows: DataFrame, key, keys: DataFrame, wanted) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is no ``wanted`` value of ``keys``; none of the others is lost.
+
+    A bitmap of hashed keys, ``FILTER_BITS`` long and so bounded, is broadcast: rows that cannot find a
+    partner leave before they are shuffled. With more keys than bits it lets everything pass.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    place = keys.select(slot(wanted).alias("_slot"))
+    bits = stage(
+        place.groupBy(F.shiftright("_slot", 15).alias("_bucket")).agg(
+            F.bitmap_construct_agg(F.col("_slot") % 32768).alias("_bits")
+        ),
+        "filter",
+    )
+    at = F.col("_at") % 32768
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("_at", slot(key)).withColumn("_bucket", F.shiftright("_at", 15))
+    met = marked.join(F.broadcast(bits), "_bucket").filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1)
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def plus(schema: StructType, *fields: tuple[str, str]) -> StructType:
     """A schema with further fields; ``schema`` itself stays as it is."""
     return StructType(list(schema.fields) + [StructType.fromDDL(f"`{name}` {kind}")[0] for name, kind in fields])

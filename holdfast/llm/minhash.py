@@ -2,13 +2,17 @@
 
 Each bucket of a sketch is the smallest of one hash over a document's shingles, kept as a count of
 leading zeros and ten mantissa bits. Sketches are cut into bands; documents that agree in a band are
-candidates. Inside a band group the compressed registers (a byte each) estimate Jaccard, corrected for
-registers that collide by chance; only a maximum spanning forest of the pairs above the threshold less
-a margin is confirmed, so a group of m copies costs m pairs, not m squared. Confirmation compares the
-full sets of 64-bit shingle hashes, made from whole texts. Where a tree edge fails, documents that the
-trees had joined may still be linked by pairs outside the trees: such a cluster gets its full sets
-once, cut into chunks, and every pair of different components whose estimate fits is compared there;
-only a forest of the links found leaves a task.
+candidates. Band keys are counted first, and a bitmap of those met twice lets only rows that can find a
+partner through the next shuffle. Compressed registers (a byte each) estimate Jaccard, corrected for
+registers that collide by chance; a pair above the threshold less a margin is confirmed on the full
+sets of 64-bit shingle hashes, made from whole texts.
+
+Every member of a band group meets the group's first node, its hub: a group of m copies costs m pairs,
+not m squared. Where members stay apart from their hub, the group's registers are compared, but for
+pairs that the hub joins already, and a maximum spanning forest of the estimates is confirmed. Where
+one of its edges fails, documents that the trees had joined may still be linked by pairs outside the
+trees: such a cluster gets its full sets once, cut into chunks, and every pair of different components
+whose estimate fits is compared there; only a forest of the links found leaves a task.
 
 Documents with equal sets are one node. Band groups that repeat in other bands are compared once.
 Large groups are cut into chunks, and every pair of chunks is a task of its own.
@@ -39,6 +43,7 @@ from holdfast.llm.common import (
     lower_ascii,
     mix,
     pieces,
+    possibly_in,
     shielded,
     stage,
     words,
@@ -107,12 +112,13 @@ def compressed(sketches: np.ndarray) -> np.ndarray:
     return (mix(sketches.astype(U64)) >> U64(56)).astype(np.uint8)
 
 
-def chance(sizes: np.ndarray, size: int) -> np.ndarray:
+def chance(sizes: np.ndarray, size) -> np.ndarray:
     """Probability that registers of unrelated sets agree, for sets of these sizes."""
     edges = 0.5 ** np.arange(34)
     edges[-1] = 0
     at = lambda n: np.power(1 - edges[1:], n) - np.power(1 - edges[:-1], n)
-    same = (at(sizes[:, None].astype(float)) * at(float(size))[None, :]).sum(axis=1) / (1 << MANTISSA)
+    others = np.asarray(size, float).reshape(-1, 1)  # one size, or one for each
+    same = (at(sizes[:, None].astype(float)) * at(others)).sum(axis=1) / (1 << MANTISSA)
     return 1 / 256 + same
 
 
@@ -181,9 +187,9 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Positions of the edges, taken in order, that join different trees."""
-    parent = list(range(n))
+def _forest(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Positions of the edges, taken in order, that join different trees; nodes of a label are joined already."""
+    parent = list(range(int(label.max()) + 1))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -192,30 +198,46 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         return x
 
     keep = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+    trees = len(np.unique(label))
+    for i, (x, y) in enumerate(zip(label[a].tolist(), label[b].tolist())):
         rx, ry = root(x), root(y)
         if rx != ry:
             parent[rx] = ry
             keep.append(i)
+            if len(keep) == trees - 1:
+                break
     return np.array(keep, np.int64)
 
 
-def _estimates(sketches: np.ndarray, size: np.ndarray, i: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated Jaccard of row i and the rows after it, and whether their sizes allow the threshold."""
-    same = (sketches[i + 1 :] == sketches[i]).mean(axis=1)
-    c = chance(size[i + 1 :], size[i])
-    fits = np.minimum(size[i + 1 :], size[i]) >= threshold * np.maximum(size[i + 1 :], size[i])
-    return (same - c) / (1 - c), fits
+def _estimate(same: np.ndarray, sizes: np.ndarray, size) -> np.ndarray:
+    """Jaccard of sets of these sizes from the share of equal registers."""
+    c = chance(sizes, size)
+    return (same - c) / (1 - c)
 
 
-def _rows_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
-    """Distinct nodes of a part: where they are, ids, sizes, chunks, registers, and whether it joins two chunks."""
+def _rows_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Distinct nodes of a part: where they are, ids, sizes, chunks, registers, labels, and whether it joins two chunks."""
     node = column(group, "node").to_numpy()
     _, first = np.unique(node, return_index=True)
     data = column(group, "registers").to_pylist()
     sketches = np.frombuffer(b"".join(data[i] for i in first), np.uint8).reshape(-1, REGISTERS)
     across = column(group, "low")[0].as_py() != column(group, "high")[0].as_py()
-    return first, node[first], column(group, "n_shingles").to_numpy()[first], column(group, "chunk").to_numpy()[first], sketches, across
+    known = "component" if "component" in group.column_names else "node"  # a node is a label of its own
+    _, label = np.unique(column(group, known).to_numpy()[first], return_inverse=True)
+    size, chunk = (column(group, c).to_numpy()[first] for c in ("n_shingles", "chunk"))
+    return first, node[first], size, chunk, sketches, label, across
+
+
+def _partners(i: int, size, chunk, sketches, label, across: bool, threshold: float, least: float):
+    """Rows after row i of other labels (and chunks) whose estimated Jaccard fits, and the estimates."""
+    fits = label[i + 1 :] != label[i]
+    if across:
+        fits &= chunk[i + 1 :] != chunk[i]
+    fits &= np.minimum(size[i + 1 :], size[i]) >= threshold * np.maximum(size[i + 1 :], size[i])
+    j = np.flatnonzero(fits) + i + 1
+    estimate = _estimate((sketches[j] == sketches[i]).mean(axis=1), size[j], size[i])
+    near = estimate >= least
+    return j[near], estimate[near]
 
 
 def _trees(threshold: float, margin: float):
@@ -223,22 +245,18 @@ def _trees(threshold: float, margin: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["key", "low", "high"]):
-            _, node, size, chunk, sketches, across = _rows_of(group)
+            _, node, size, chunk, sketches, label, across = _rows_of(group)
             found = []
             for i in range(len(node) - 1):
-                estimate, fits = _estimates(sketches, size, i, threshold)
-                fits &= estimate >= threshold - margin
-                if across:
-                    fits &= chunk[i + 1 :] != chunk[i]
-                j = np.flatnonzero(fits)
+                j, estimate = _partners(i, size, chunk, sketches, label, across, threshold, threshold - margin)
                 if len(j):
-                    found.append((np.full(len(j), i), j + i + 1, estimate[j]))
+                    found.append((np.full(len(j), i), j, estimate))
             if not found:
                 continue
             a, b, estimate = (np.concatenate(x) for x in zip(*found))
             order = np.argsort(-estimate, kind="stable")
             a, b = a[order], b[order]
-            kept = _forest(a, b, len(node))
+            kept = _forest(a, b, label)
             yield pa.RecordBatch.from_arrays([pa.array(node[a[kept]]), pa.array(node[b[kept]])], names=["a", "b"])
 
     return run
@@ -249,17 +267,13 @@ def _links(threshold: float, margin: float, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["key", "low", "high"]):
-            first, node, size, chunk, sketches, across = _rows_of(group)
+            first, node, size, chunk, sketches, label, across = _rows_of(group)
             raw = column(group, "shingles")
             sets = [np.frombuffer(raw[int(i)].as_py(), U64) for i in first]
-            _, label = np.unique(column(group, "component").to_numpy()[first], return_inverse=True)
             a, b = [], []
             for i in range(len(node) - 1):
-                estimate, fits = _estimates(sketches, size, i, threshold)
-                fits &= estimate >= threshold - margin
-                if across:
-                    fits &= chunk[i + 1 :] != chunk[i]
-                for j in (np.flatnonzero(fits) + i + 1).tolist():
+                near, _ = _partners(i, size, chunk, sketches, label, across, threshold, threshold - margin)
+                for j in near.tolist():
                     if label[j] != label[i]:
                         both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                         if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
@@ -272,6 +286,27 @@ def _links(threshold: float, margin: float, percent: int):
     return run
 
 
+def _fitting(threshold: float, margin: float):
+    """The pairs whose sizes allow the threshold and whose estimate fits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2000):
+                part = batch.slice(first, 2000)
+                x, y = (
+                    np.frombuffer(b"".join(column(part, c).to_pylist()), np.uint8).reshape(-1, REGISTERS)
+                    for c in ("registers_a", "registers_b")
+                )
+                size_a, size_b = (column(part, c).to_numpy() for c in ("size_a", "size_b"))
+                fits = np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b)
+                fits &= _estimate((x == y).mean(axis=1), size_a, size_b) >= threshold - margin
+                yield pa.RecordBatch.from_arrays(
+                    [column(part, c).filter(pa.array(fits)) for c in ("a", "b")], names=["a", "b"]
+                )
+
+    return run
+
+
 def _in_chunks(rows: DataFrame, n: str, salt: str) -> DataFrame:
     """Rows with a chunk of their group and, for each pair of chunks they belong to, low and high."""
     chunks = F.ceil(F.col(n) / CHUNK).cast("int")
@@ -315,8 +350,8 @@ def _confirm(width: int, percent: int):
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
     """a, b, linked for distinct pairs, by their full sets."""
     wanted = stage(pairs.select("a", "b").distinct(), f"pairs_{name}")
-    one = wanted.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    one = wanted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    two = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     return stage(
         two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "a bigint, b bigint, linked boolean"),
         f"confirmed_{name}",
@@ -324,11 +359,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, nam
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
-    """node, text for the nodes in ``wanted``; every other text is left behind after one shuffle."""
+    """node, text for the nodes in ``wanted``; nearly every other text is left behind before the shuffle."""
     first = stage(nodes.join(wanted.distinct(), "node").select("node", "first_id", "first_key"), f"wanted_{name}")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    found = rows.join(
-        first, (F.col("text_key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    some = possibly_in(rows, F.struct("text_key", "doc_id"), first, F.struct("first_key", "first_id"))
+    found = some.join(
+        first.hint("merge"), (F.col("text_key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
     )
     return stage(found.select("node", "text"), f"texts_{name}")
 
@@ -353,33 +389,64 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         "nodes",
     )
     # One document stands for its node.
-    mine = full.join(nodes, "set_id").filter(
+    mine = full.join(nodes.hint("merge"), "set_id").filter(
         F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
     )
     node_sketches = stage(mine.select("node", "n_shingles", "sketch"), "node_sketches")
     bands = node_sketches.select("node", "sketch").mapInArrow(_bands, "key bigint, node bigint")
 
+    repeated = stage(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "repeated_keys")
+    some = possibly_in(bands, F.col("key"), repeated, F.col("key"))
+    members = stage(some.join(repeated.hint("merge"), "key").select("key", "node"), "members")
     h = F.xxhash64("node")
-    groups = bands.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"),
+    groups = members.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("node").alias("hub"), F.max("node").alias("most"),
         F.sum(F.shiftrightunsigned(h, 32)).alias("total"), F.bit_xor(h).alias("mixed"),
-    ).filter("least <> most")
+    ).filter("hub <> most")
     distinct_groups = stage(
-        groups.groupBy("n", "least", "most", "total", "mixed").agg(F.min("key").alias("key")).select("key", "n"),
+        groups.groupBy("n", "hub", "most", "total", "mixed").agg(F.min("key").alias("key")).select("key", "n", "hub"),
         "groups",
     )
-    members = stage(bands.join(distinct_groups, "key"), "members")
+    members = stage(members.join(distinct_groups, "key"), "grouped")
     folded = stage(node_sketches.mapInArrow(_fold, "node bigint, n_shingles bigint, registers binary"), "folded")
+
+    # Every member meets the hub of its group.
+    spokes = stage(members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "spokes")
+    for side in ("b", "a"):
+        of = folded.select(
+            F.col("node").alias(side), F.col("n_shingles").alias(f"size_{side}"),
+            F.col("registers").alias(f"registers_{side}"),
+        )
+        spokes = spokes.join(of.hint("merge"), side)
+    spokes = spokes.select("a", "b", "size_a", "size_b", "registers_a", "registers_b")
+    spokes = stage(spokes.mapInArrow(_fitting(threshold, MARGIN), _PAIRS).distinct(), "spokes_fitting")
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    texts = _texts_of(docs, nodes, ends(spokes), "spokes")
+    near_hub = _confirmed(spokes, texts, width, percent, "spokes").filter("linked")
+    links = near_hub.select("a", "b")
+
+    # Groups in which some members stay apart from the hub: two members that do not are joined already.
+    met = links.select(F.col("a").alias("hub"), F.col("b").alias("node")).withColumn("met", F.lit(True))
+    marked = members.filter("n > 2").join(met, ["hub", "node"], "left").withColumn(
+        "component", F.when((F.col("node") == F.col("hub")) | F.col("met"), F.col("hub")).otherwise(F.col("node"))
+    )
+    marked = stage(marked.select("key", "n", "node", "component"), "marked")
+    apart = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
     part = ["key", "low", "high"]
-    placed = _in_chunks(members, "n", "group").select("node", "chunk", *part)
+    placed = _in_chunks(marked.join(apart.select("key"), "key"), "n", "group").select("node", "component", "chunk", *part)
     trees = clustered(placed.join(folded, "node"), part).mapInArrow(_trees(threshold, MARGIN), _PAIRS)
+    # A pair that met as hub and member is known; a cluster needs it only where it is linked.
     trees = stage(trees.distinct(), "trees")
-    texts = _texts_of(docs, nodes, trees.select(F.col("a").alias("node")).union(trees.select("b")), "trees")
-    tested = _confirmed(trees, texts, width, percent, "trees")
-    links = tested.filter("linked").select("a", "b")
+    if trees.isEmpty():
+        tested = None
+    else:
+        texts = _texts_of(docs, nodes, ends(trees), "trees")
+        tested = _confirmed(trees, texts, width, percent, "trees")
+        trees = trees.union(links)
+        links = links.union(tested.filter("linked").select("a", "b"))
 
     # Clusters of the trees that the confirmed links leave in several components.
-    if not tested.filter("not linked").isEmpty():
+    if tested is not None and not tested.filter("not linked").isEmpty():
         cluster = components(trees).withColumnRenamed("component", "key")
         so_far = stage(components(links), "components_so_far")
         split = cluster.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -389,6 +456,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         )
         open_ = stage(open_.filter("least <> most").select("key", "n"), "open_clusters")
         some = stage(split.join(open_, "key"), "open_nodes")
+        texts = _texts_of(docs, nodes, some.select("node"), "open")
         sets = some.select("node").join(texts, "node").select("node", "text").mapInArrow(
             _hash_sets(width), "node bigint, shingles binary"
         )
