@@ -6,12 +6,14 @@ word, and votes with the bits of its 128-bit hash. Votes are not summed term by
 the 16 byte positions the weights of equal byte values are counted and multiplied with a table of
 signs.
 
-The radius search keeps a table per block of the 128 bits. Two fingerprints within ``radius`` bits differ
-in at most ``radius // blocks`` bits, none to two, of at least one block. A fingerprint is filed under its
-block and, unless that is none, under the block with each single bit flipped: blocks that are up to two bits
-apart meet. Every pair is counted once, under the least common key of the first such block; keys with many
-fingerprints are cut into chunks and each pair of chunks is a task of its own, so nothing but counts
-leaves a task. All pairs within the radius are found.
+The radius search keeps a table per part of the 128 bits. Two fingerprints within ``radius`` bits differ in
+at most ``radius // blocks`` bits, none to two, of at least one block, and so agree in at least one of its
+``radius // blocks + 1`` parts. A fingerprint is filed under each part; where the corpus makes a table's groups
+long, also under leading bits of the block's rest, as they are and with each one flipped. Inside a group
+fingerprints meet by the rest of their block, as it is and with each single bit flipped: rests up to two bits
+apart have a key in common. Groups that stay long are cut into chunks and each pair of chunks is a task of its own,
+so nothing but counts leaves a task. Every pair is counted once, in the first block that is close, its
+first equal part and the least common key. All pairs within the radius are found.
 
 Null text counts as empty; text without words has the fingerprint of all zeros. Rows are ordered by
 doc_id, null first, then text; repeated ids follow each other. With a single row the next document is
@@ -21,6 +23,7 @@ the row itself. An empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,7 @@ from holdfast.llm.common import (
     clustered,
     column,
     combine,
+    grouped,
     mix,
     partitions,
     pieces,
@@ -51,7 +55,7 @@ RADIUS = 3
 BLOCKS = 4
 NEAR_COPIES = 14  # bits within which a copy with some words in a hundred replaced lies
 NEAR_BLOCKS = 5
-CHUNK = 1024
+CHUNK = 4096
 
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2) - 1
 
@@ -245,19 +249,44 @@ def _flips(blocks: int, radius: int) -> int:
     return radius // blocks
 
 
-def _keys(blocks: int, radius: int):
+def _tables(blocks: int, radius: int) -> list[tuple[int, int, int, int, int]]:
+    """Block, first and end of the block, first and end of a part, for each table."""
     flips = _flips(blocks, radius)
+    out = []
+    for t, (first, end) in enumerate(_edges(blocks)):
+        at = [first + (end - first) * i // (flips + 1) for i in range(flips + 2)]
+        out += [(t, first, end, x, y) for x, y in zip(at[:-1], at[1:])]
+    return out
+
+
+def _rest(hi: np.ndarray, lo: np.ndarray, table: tuple) -> tuple[np.ndarray, int]:
+    """The bits of a block outside the table's part, and how many they are."""
+    _, first, end, x, y = table
+    rest, width = np.zeros(len(hi), U64), 0
+    for a, b in ((first, x), (y, end)):
+        if b > a:
+            rest = (rest << U64(b - a)) | _block(hi, lo, a, b)
+            width += b - a
+    return rest, width
+
+
+def _filed(blocks: int, radius: int, prefix: int):
+    """A row for each table and, with ``prefix`` leading bits of the rest, for each of them flipped."""
+    tables, flips = _tables(blocks, radius), _flips(blocks, radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hi = column(batch, "hi").to_numpy().view(np.uint64)
             lo = column(batch, "lo").to_numpy().view(np.uint64)
-            for t, (first, end) in enumerate(_edges(blocks)):
-                value = _block(hi, lo, first, end)
-                for bit in [0, *[1 << k for k in range(end - first)]] if flips else [0]:
+            for number, table in enumerate(tables):
+                rest, width = _rest(hi, lo, table)
+                p = min(prefix, width)
+                lead = rest >> U64(width - p)
+                part = (_block(hi, lo, table[3], table[4]) << U64(p)) | lead
+                for bit in [0, *[1 << k for k in range(p)]] if flips else [0]:
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(len(hi), t, np.int32)), pa.array((value ^ U64(bit)).view(np.int64)),
+                            pa.array(np.full(len(hi), number, np.int32)), pa.array((part ^ U64(bit)).view(np.int64)),
                             column(batch, "hi"), column(batch, "lo"), column(batch, "n"),
                         ],
                         names=["table", "key", "hi", "lo", "n"],
@@ -266,66 +295,94 @@ def _keys(blocks: int, radius: int):
     return run
 
 
+def _close(x: np.ndarray, y: np.ndarray, blocks: int, radius: int, tables: list, number: int) -> np.ndarray:
+    """Whether a table is the one in which pairs with these differing bits are counted."""
+    flips, mine = _flips(blocks, radius), tables[number]
+    once = np.bitwise_count(x).astype(np.int64) + np.bitwise_count(y) <= radius
+    for t, (first, end) in enumerate(_edges(blocks)[: mine[0] + 1]):
+        close = np.bitwise_count(_block(x, y, first, end)) <= flips
+        once &= close if t == mine[0] else ~close
+    for table in tables[:number]:
+        if table[0] == mine[0]:
+            once &= _block(x, y, table[3], table[4]) != 0
+    return once
+
+
+def _meetings(own: np.ndarray, rest: np.ndarray, width: int, flips: int) -> Iterator[tuple]:
+    """Positions of pairs of a group that have a key in common, and that key; or all pairs, and no key.
+
+    ``width`` bits of the rest tell rows of the group apart. Rows whose leading bits are the group's ``own`` have a
+    key for each of them flipped, others only the rest as it is.
+    """
+    n = len(rest)
+    tail = rest & U64((1 << width) - 1)
+    rows, keys = [np.arange(n)], [tail]
+    if flips:
+        own = np.flatnonzero(own)
+        for k in range(width):
+            rows.append(own)
+            keys.append(tail[own] ^ U64(1 << k))
+    row, key = np.concatenate(rows), np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    row, key = row[order], key[order]
+    run = np.diff(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])))
+    if (run * (run - 1)).sum() >= n * (n - 1):  # near copies meet under many keys: compare rows once
+        for i in range(n - 1):
+            yield np.full(n - 1 - i, i), np.arange(i + 1, n), None
+        return
+    i = np.arange(len(key))
+    for step in range(1, len(key)):
+        i = i[i + step < len(key)]
+        i = i[key[i + step] == key[i]]
+        if len(i) == 0:
+            return
+        yield row[i], row[i + step], key[i]
+
+
 _PART = ("table", "key", "low", "high")
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
-    """Columns of whole parts out of a stream that is sorted by them, and the number of each row's part."""
-    names = (*_PART, "chunk", "hi", "lo", "n")
-    held = None
-    for batch in batches:
-        rows = {c: column(batch, c).to_numpy() for c in names}
-        if held is not None:
-            rows = {c: np.concatenate([held[c], rows[c]]) for c in names}
-        if len(rows["key"]) == 0:
-            continue
-        new = np.any([rows[c][1:] != rows[c][:-1] for c in _PART], axis=0)
-        number = np.concatenate([[0], np.cumsum(new)])
-        cut = int(np.searchsorted(number, number[-1]))  # the last part may go on in the next batch
-        if cut:
-            yield {c: x[:cut] for c, x in rows.items()}, number[:cut]
-        held = {c: x[cut:] for c, x in rows.items()}
-    if held is not None:
-        yield held, np.zeros(len(held["key"]), np.int64)
-
-
-def _count_near(blocks: int, radius: int):
-    edges, flips = _edges(blocks), _flips(blocks, radius)
+def _count_near(blocks: int, radius: int, prefix: int):
+    tables, flips = _tables(blocks, radius), _flips(blocks, radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, number in _spans(batches):
-            hi, lo, key = (rows[c].view(np.uint64) for c in ("hi", "lo", "key"))
-            table, n, chunk = rows["table"], rows["n"], rows["chunk"]
-            across = rows["low"] != rows["high"]
+        for group in grouped(batches, list(_PART)):
+            if group.num_rows < 2:
+                continue
+            number, filed = column(group, "table")[0].as_py(), column(group, "key")[0].as_py()
+            across = column(group, "low")[0].as_py() != column(group, "high")[0].as_py()
+            hi, lo = (column(group, c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
+            n, chunk = column(group, "n").to_numpy(), column(group, "chunk").to_numpy()
+            rest, width = _rest(hi, lo, tables[number])
+            p = min(prefix, width)
+            lead = rest >> U64(width - p)
+            group_lead = U64(filed & ((1 << p) - 1))
             near = np.zeros(len(n), np.int64)
-            i = np.arange(len(n))
-            for step in range(1, len(n)):
-                i = i[i + step < len(n)]
-                i = i[number[i + step] == number[i]]
-                if len(i) == 0:
-                    break
-                x, y = hi[i + step] ^ hi[i], lo[i + step] ^ lo[i]
-                fits = np.bitwise_count(x).astype(np.int64) + np.bitwise_count(y) <= radius
-                fits &= ~across[i] | (chunk[i + step] != chunk[i])
-                a = i[fits]
-                x, y = x[fits], y[fits]
-                once = np.ones(len(a), bool)
-                for t, (first, end) in enumerate(edges):
-                    apart = _block(x, y, first, end)
-                    close = np.bitwise_count(apart) <= flips
-                    # Of the keys that both have in this block, the least counts.
-                    low = apart & (~apart + U64(1))
-                    own = _block(hi[a], lo[a], first, end)
-                    least = np.minimum(own ^ low, own ^ apart ^ low)
-                    here = table[a] == t
-                    # A pair is counted in the first block that is close.
-                    once &= np.where(here, close & (least == key[a]), (table[a] < t) | ~close)
-                a = a[once]
-                near[a] += n[a + step]
-                near[a + step] += n[a]
+
+            def count(a: np.ndarray, b: np.ndarray, key=None) -> None:
+                if across:
+                    other = chunk[a] != chunk[b]
+                    a, b, key = a[other], b[other], key[other] if key is not None else None
+                x, y = hi[a] ^ hi[b], lo[a] ^ lo[b]
+                fits = _close(x, y, blocks, radius, tables, number)
+                a, b = a[fits], b[fits]
+                # Of the keys that both have, with the group's lead in front, the least counts.
+                ra, apart = rest[a], rest[a] ^ rest[b]
+                low = apart & (~apart + U64(1))
+                least = np.minimum(ra ^ low, ra ^ apart ^ low)
+                if key is None:
+                    mine = least >> U64(width - p) == group_lead
+                else:
+                    mine = least == (group_lead << U64(width - p)) | key[fits]
+                a, b = a[mine], b[mine]
+                np.add.at(near, a, n[b])
+                np.add.at(near, b, n[a])
+
+            for a, b, key in _meetings(lead == group_lead, rest, width - p, flips):
+                count(a, b, key)
             some = near > 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["hi"][some]), pa.array(rows["lo"][some]), pa.array(near[some])],
+                [pa.array(hi[some].view(np.int64)), pa.array(lo[some].view(np.int64)), pa.array(near[some])],
                 names=["hi", "lo", "near"],
             )
 
@@ -344,21 +401,26 @@ def neighbours(fingerprints_: DataFrame, radius: int = RADIUS, blocks: int = BLO
         ),
         "fingerprints",
     )
-    keyed = distinct.select("hi", "lo", "n").mapInArrow(
-        _keys(blocks, radius), "table int, key bigint, hi bigint, lo bigint, n bigint"
+    tables = _tables(blocks, radius)
+    part = min(y - x for *_, x, y in tables)
+    # Leading bits for groups of about half a chunk, were fingerprints spread evenly.
+    prefix = max(0, math.ceil(math.log2(max(distinct.count(), 1) / CHUNK * 2)) - part)
+    filed = distinct.select("hi", "lo", "n").mapInArrow(
+        _filed(blocks, radius, prefix), "table int, key bigint, hi bigint, lo bigint, n bigint"
     )
-    shared = stage(
-        keyed.groupBy("table", "key").agg(F.count("*").alias("members")).filter("members > 1"), "shared_keys"
+    # Groups beyond a chunk are found on the keys alone, which are counted before they are shuffled.
+    large = stage(
+        filed.groupBy("table", "key").agg(F.count("*").alias("members")).filter(f"members > {CHUNK}"), "large_groups"
     )
-    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
-    placed = keyed.join(shared, ["table", "key"]).withColumn("chunks", chunks)
+    chunks = F.coalesce(F.ceil(F.col("members") / CHUNK).cast("int"), F.lit(1))
+    placed = filed.join(large, ["table", "key"], "left").withColumn("chunks", chunks)
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("hi", "lo"), F.col("chunks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "table", "key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
         "chunk", "hi", "lo", "n",
     )
-    counted = clustered(placed, ["table", "key", "low", "high"]).mapInArrow(
-        _count_near(blocks, radius), "hi bigint, lo bigint, near bigint"
+    counted = clustered(placed, list(_PART)).mapInArrow(
+        _count_near(blocks, radius, prefix), "hi bigint, lo bigint, near bigint"
     )
     near = stage(counted.groupBy("hi", "lo").agg(F.sum("near").alias("near")), "near")
     return distinct.join(near, ["hi", "lo"], "left").select(
