@@ -1,11 +1,13 @@
 """Histogram gradient boosting for a binary label, grown level by level in Spark.
 
-Numbers are binned by quantiles, text columns by their code in the index table. Each level of a tree is one
+Numbers are binned by quantiles, text columns by their code in the index table. Rows are written once as
+blocks, the bins of a block column by column. Each level of a tree is one
 job: tasks send every row to its node and add up gradients and second derivatives per node, column
-and bin; Spark sums these histograms, runs along the bins and returns the best split per node and
-column. The driver sees at most nodes times columns rows a level, whatever the data. Leaves are Newton
-steps with an L2 penalty. A number is split between bins, a text column one value against the rest, as
-its one-hot columns would be.
+and bin; the histograms of a node and column meet after a shuffle, many values of a text column in parts, and
+give the best split. The driver sees at most nodes times columns (and parts) rows a level, whatever the
+data. Both children of a split get their sums, and so their value, with it: the lowest level needs no job.
+Leaves are Newton steps with an L2 penalty. A number is split between bins, a text column one value against
+the rest, as its one-hot columns would be.
 
 Gradients are rounded to 2**-20 and summed as whole numbers, so a model does not depend on how the rows are
 dealt to tasks or on the order of sums. Margins are written every ``STAGE_EVERY`` trees; between, tasks
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.session import stage
@@ -34,6 +37,9 @@ STAGE_EVERY = 10
 UNIT = float(1 << 20)
 LEAST_CURVE = 1e-3
 LOSS = -1  # node number under which the held-out loss travels
+PART = 1 << 14  # values of a text column whose histograms meet in one place
+GROUPS = 64  # histograms compared at once
+DENSE = 1 << 18  # cells of a column's histogram that a task keeps as a table; larger ones as lists
 
 
 @dataclass(frozen=True)
@@ -65,17 +71,27 @@ class Tree:
 
     def nodes(self, bins: np.ndarray, is_text: np.ndarray) -> np.ndarray:
         """Leaf of every row."""
+        own, n = np.arange(len(self.feature)), len(bins)
         feature, cut, left = np.array(self.feature), np.array(self.cut), np.array(self.left)
-        at = np.zeros(len(bins), np.int64)
-        while True:
-            inner = np.flatnonzero(feature[at] >= 0)
-            if not len(inner):
-                return at
-            node = at[inner]
-            column = feature[node]
-            value = bins[inner, column]
-            goes_left = np.where(is_text[column], value == cut[node], value <= cut[node])
-            at[inner] = left[node] + ~goes_left
+        leaf = feature < 0
+        left = np.where(leaf, own, left)
+        # Rows go right if value - least, without a sign, is above span: text columns unless at the cut, leaves never.
+        least = np.where(~leaf & is_text[feature], cut, 0).astype(np.int32)
+        span = np.where(leaf, (1 << 32) - 1, cut - least).astype(np.uint32)
+        place = np.where(leaf, 0, feature) * n
+        flat, rows = bins.T.ravel(), np.arange(n)
+        at = np.zeros(n, np.int64)
+        for _ in range(self.depth()):
+            value = flat.take(place.take(at) + rows).astype(np.int32)
+            at = left.take(at) + ((value - least.take(at)).view(np.uint32) > span.take(at))
+        return at
+
+    def depth(self) -> int:
+        below = [0] * len(self.feature)
+        for node in reversed(range(len(self.feature))):
+            if self.feature[node] >= 0:
+                below[node] = 1 + max(below[self.left[node]], below[self.left[node] + 1])
+        return below[0]
 
     def margins(self, bins: np.ndarray, is_text: np.ndarray) -> np.ndarray:
         return np.array(self.value)[self.nodes(bins, is_text)]
@@ -91,15 +107,23 @@ class Bins:
     def is_text(self) -> np.ndarray:
         return np.array([False] * len(self.borders) + [True] * len(self.codes))
 
+    def inputs(self) -> Column:
+        """Numbers and codes of a row, null numbers as 0."""
+        numbers = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in self.borders]
+        return F.array(*numbers, *[F.col(f"`{c}`").cast("double") for c in self.codes])
+
+    def of(self, inputs: np.ndarray) -> np.ndarray:
+        """Bins of rows of inputs: the borders up to each number, and the codes themselves."""
+        out = inputs.astype(np.int32, order="F")
+        for k, borders in enumerate(self.borders.values()):
+            out[:, k] = np.searchsorted(borders, inputs[:, k], side="right")
+        return out
+
     def column(self) -> Column:
-        def one(name: str, borders: list[float]) -> Column:
-            value = F.coalesce(F.col(f"`{name}`").cast("double"), F.lit(0.0))
-            if not borders:
-                return F.lit(0)
-            return F.size(F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: b <= value))
+        def cut(inputs: pd.Series) -> pd.Series:
+            return pd.Series(list(self.of(np.stack(inputs.to_numpy()))) if len(inputs) else [], dtype=object)
 
-        numbers = [one(name, borders) for name, borders in self.borders.items()]
-        return F.array(*numbers, *[F.col(f"`{c}`").cast("int") for c in self.codes])
+        return F.pandas_udf(cut, "array<int>")(self.inputs())
 
 
 def fit_bins(df: DataFrame, numeric: list[str], codes: list[str]) -> Bins:
@@ -118,94 +142,204 @@ def fit_bins(df: DataFrame, numeric: list[str], codes: list[str]) -> Bins:
     return Bins(borders, codes)
 
 
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    lists = batch.column("bins")
-    return lists.flatten().to_numpy().reshape(batch.num_rows, -1)
+_BLOCK = "width int, bins binary, label binary, weight binary, margin binary, held_out binary"
+
+
+def _to_blocks(base: float):
+    """One row per batch: the bins column by column, in as few bytes as they need, and the other columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bins = batch.column("bins").flatten().to_numpy().reshape(batch.num_rows, -1)
+            width = np.min_scalar_type(bins.max(initial=0)).itemsize
+            label, weight = (batch.column(c).to_numpy().astype(np.float64) for c in ("label", "weight"))
+            held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            cells = [bins.T.astype(f"u{width}"), label, weight, np.full(batch.num_rows, base), held]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([width], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in cells]],
+                names=["width", "bins", "label", "weight", "margin", "held_out"],
+            )
+
+    return run
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """Bins (rows by columns), label, weight, margin and held-out of each block."""
+    for i in range(batch.num_rows):
+        label, weight, margin, held = (
+            np.frombuffer(batch.column(c)[i].as_py(), kind)
+            for c, kind in (("label", "f8"), ("weight", "f8"), ("margin", "f8"), ("held_out", "?"))
+        )
+        bins = np.frombuffer(batch.column("bins")[i].as_py(), f"u{batch.column('width')[i].as_py()}")
+        yield bins.reshape(-1, len(label)).T, label, weight, margin, held
+
+
+def _most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Highest bin of each column in each block."""
+    for batch in batches:
+        for bins, *_ in _blocks(batch):
+            most = bins.max(axis=0).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(most)), pa.int32()), pa.array(most)], names=["feature", "most"]
+            )
+
+
+_TOTALS = ("g", "h", "n")
+_PARTIAL = "node int, feature int, part int, bin binary, g binary, h binary, n binary, g_all bigint, h_all bigint, n_all bigint"
+_PARTIAL_NAMES = [f.split()[0] for f in _PARTIAL.split(", ")]
+
+
+class _Sums:
+    """Sums per node and bin of one column."""
+
+    def __init__(self, n_nodes: int, n_bins: int):
+        self.n_bins, self.lists = n_bins, []
+        # Whole numbers below 2**53 are exact as doubles.
+        self.table = np.zeros((3, n_nodes * n_bins)) if n_nodes * n_bins <= DENSE else None
 
+    def add(self, key: np.ndarray, g: np.ndarray, h: np.ndarray) -> None:
+        if self.table is None:
+            key, at = np.unique(key, return_inverse=True)
+            self.lists.append((key, *(np.bincount(at, x, len(key)) for x in (g, h, None))))
+            return
+        for total, values in zip(self.table, (g, h, None)):
+            total += np.bincount(key, values, len(total))
 
-_PARTIAL = "node int, feature int, bin int, g bigint, h bigint, n bigint"
+    def found(self) -> tuple[np.ndarray, ...]:
+        """Keys that occur, ascending, and their sums."""
+        if self.table is not None:
+            key = np.flatnonzero(self.table[2])
+            return key, *self.table[:, key].astype(np.int64)
+        if not self.lists:
+            return tuple(np.zeros((4, 0), np.int64))
+        keys, *parts = (np.concatenate(x) for x in zip(*self.lists))
+        key, at = np.unique(keys, return_inverse=True)
+        return key, *(np.bincount(at, x, len(key)).astype(np.int64) for x in parts)
 
 
-def _histograms(trees: list[Tree], tree: Tree, active: list[int], is_text: np.ndarray):
+def _histograms(trees: list[Tree], tree: Tree, active: list[int], is_text: np.ndarray, most: list[int]):
     """Sums per node, column and bin over the rows of a task; held-out loss with the first level."""
     with_loss = active == [0]
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(len(tree.feature), -1)
         place[active] = np.arange(len(active))
+        columns = [_Sums(len(active), m + 1) for m in most]
+        whole = _Sums(len(active), 1)
         loss, weights = 0.0, 0.0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins = _matrix(batch)
-            label, weight, margin = (batch.column(c).to_numpy() for c in ("label", "weight", "margin"))
-            margin = margin + sum(t.margins(bins, is_text) for t in trees)
-            held = batch.column("held_out").to_numpy(zero_copy_only=False)
-            if with_loss and held.any():
-                signed = np.where(label[held] == 1, -margin[held], margin[held])
-                loss += float((weight[held] * np.logaddexp(0, signed)).sum())
-                weights += float(weight[held].sum())
-            fit = ~held
-            bins, label, weight, margin = bins[fit], label[fit], weight[fit], margin[fit]
-            p = 1 / (1 + np.exp(-margin))
-            g = np.rint(weight * (p - label) * UNIT).astype(np.int64)
-            h = np.rint(weight * p * (1 - p) * UNIT).astype(np.int64)
-            node = place[tree.nodes(bins, is_text)]
-            some = node >= 0
-            node, g, h, bins = node[some], g[some], h[some], bins[some]
-            for k in range(bins.shape[1]):
-                key, at = np.unique(node * (1 << 32) + bins[:, k], return_inverse=True)
-                sums = [np.zeros(len(key), np.int64) for _ in range(3)]
-                for total, values in zip(sums, (g, h, 1)):
-                    np.add.at(total, at, values)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.array(active)[key >> 32], pa.int32()), pa.array(np.full(len(key), k), pa.int32()),
-                        pa.array(key & 0xFFFFFFFF, pa.int32()), *[pa.array(s) for s in sums],
-                    ],
-                    names=["node", "feature", "bin", "g", "h", "n"],
-                )
+            for bins, label, weight, margin, held in _blocks(batch):
+                node = place[tree.nodes(bins, is_text)]
+                use = np.flatnonzero((node >= 0) & ~held)
+                if with_loss and held.any():
+                    own = margin[held] + sum(t.margins(bins[held], is_text) for t in trees)
+                    signed = np.where(label[held] == 1, -own, own)
+                    loss += float((weight[held] * np.logaddexp(0, signed)).sum())
+                    weights += float(weight[held].sum())
+                if not len(use):
+                    continue
+                node, label, weight, bins = node[use], label[use], weight[use], bins.T[:, use].T
+                margin = margin[use] + sum(t.margins(bins, is_text) for t in trees)
+                p = 1 / (1 + np.exp(-margin))
+                g = np.rint(weight * (p - label) * UNIT)
+                h = np.rint(weight * p * (1 - p) * UNIT)
+                whole.add(node, g, h)
+                for k, sums in enumerate(columns):
+                    sums.add(node * sums.n_bins + bins[:, k], g, h)
+        rows = []
+        some, *totals = whole.found()
+        totals = dict(zip(some.tolist(), zip(*(t.tolist() for t in totals))))
+        for k, sums in enumerate(columns):
+            key, *values = sums.found()
+            at, bin_ = key // sums.n_bins, key % sums.n_bins
+            # Every part of a column learns the sums of the whole node.
+            for part in range(most[k] // PART + 1):
+                inside = bin_ // PART == part
+                for i in totals:
+                    own = np.flatnonzero(inside & (at == i)) if len(totals) > 1 or most[k] >= PART else slice(None)
+                    cells = [x[own].tobytes() for x in (bin_, *values)]
+                    rows.append((active[i], k, part, *cells, *totals[i]))
         if weights:
+            rows.append((LOSS, 0, 0, b"", b"", b"", b"", round(loss * UNIT), round(weights * UNIT), 1))
+        if rows:
+            kinds = [pa.int32()] * 3 + [pa.binary()] * 4 + [pa.int64()] * 3
             yield pa.RecordBatch.from_arrays(
-                [
-                    *[pa.array([v], pa.int32()) for v in (LOSS, 0, 0)],
-                    *[pa.array([v], pa.int64()) for v in (round(loss * UNIT), round(weights * UNIT), 1)],
-                ],
-                names=["node", "feature", "bin", "g", "h", "n"],
+                [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=_PARTIAL_NAMES
             )
 
     return add_up
 
 
-def _best_splits(histograms: DataFrame, settings: Settings, is_text: np.ndarray) -> DataFrame:
-    """Best cut per node and column, and the sums of the node."""
-    sums = (
-        histograms.repartition("node", "feature")
-        .groupBy("node", "feature", "bin")
-        .agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
-    )
-    whole = Window.partitionBy("node", "feature")
-    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    text = F.element_at(F.array(*[F.lit(bool(t)) for t in is_text]), F.col("feature") + 1)
-    sums = sums.withColumns(
-        {f"{c}_left": F.when(text, F.col(c)).otherwise(F.sum(c).over(upto)) for c in ("g", "h", "n")}
-        | {f"{c}_all": F.sum(c).over(whole) for c in ("g", "h", "n")}
-    )
-
-    def strength(g: Column, h: Column) -> Column:
+_BEST = (
+    "node int, feature int, g bigint, h bigint, n bigint, "
+    "gain double, bin bigint, g_left bigint, h_left bigint, n_left bigint"
+)
+
+
+def _best(settings: Settings, is_text: np.ndarray):
+    """Sums of the node and best cut of each node, column and part, from the histograms of all tasks, sorted."""
+
+    def strength(g, h):
         return g * g / (h + settings.penalty)
 
-    g, h, gl, hl = (F.col(c) / UNIT for c in ("g_all", "h_all", "g_left", "h_left"))
-    gain = strength(gl, hl) + strength(g - gl, h - hl) - strength(g, h)
-    n_right = F.col("n_all") - F.col("n_left")
-    good = (
-        (F.col("n_left") >= settings.least_rows) & (n_right >= settings.least_rows)
-        & (hl >= LEAST_CURVE) & (h - hl >= LEAST_CURVE) & (gain > 0)
-    )
-    best = F.max(F.when(good, F.struct(gain.alias("gain"), (-F.col("bin")).alias("minus_bin"))))
-    return sums.groupBy("node", "feature").agg(
-        best.alias("best"), *[F.max(f"{c}_all").alias(c) for c in ("g", "h", "n")]
-    )
+    def best_of(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        """One row for each group of rows."""
+        group = np.repeat(np.arange(len(starts)), np.diff([*starts, len(rows)]))
+        node, feature, part = (rows.column(c).to_numpy()[starts] for c in ("node", "feature", "part"))
+        raw = [rows.column(c).to_pylist() for c in ("bin", *_TOTALS)]
+        bin_, *sums = (np.frombuffer(b"".join(cells), np.int64) for cells in raw)
+        at = np.repeat(group, [len(cell) // 8 for cell in raw[0]])
+        bin_ = bin_ - part[at] * PART
+        n_bins = int(bin_.max(initial=0)) + 1
+        tables = [
+            np.bincount(at * n_bins + bin_, s, len(starts) * n_bins).astype(np.int64).reshape(-1, n_bins) for s in sums
+        ]
+        totals = [np.add.reduceat(rows.column(f"{c}_all").to_numpy(), starts) for c in _TOTALS]
+        text = (is_text[feature] & (node != LOSS))[:, None]
+        left = [np.where(text, t, np.cumsum(t, axis=1)) for t in tables]
+        g, h, gl, hl = (x / UNIT for x in (totals[0][:, None], totals[1][:, None], *left[:2]))
+        gain = strength(gl, hl) + strength(g - gl, h - hl) - strength(g, h)
+        good = (
+            (left[2] >= settings.least_rows) & (totals[2][:, None] - left[2] >= settings.least_rows)
+            & (hl >= LEAST_CURVE) & (h - hl >= LEAST_CURVE) & (gain > 0)
+        )
+        # Of equal gains the lowest bin.
+        first = np.argmax(np.where(good, gain, -1.0), axis=1)
+        i = np.arange(len(starts)), first
+        none = ~good[i]
+        found = [pa.array(x, mask=none) for x in (gain[i], first + part.astype(np.int64) * PART, *(x[i] for x in left))]
+        names = [f.split()[0] for f in _BEST.split(", ")]
+        return pa.RecordBatch.from_arrays([*map(pa.array, (node, feature, *totals)), *found], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                more = pa.Table.from_batches([batch])
+                rest = more if rest is None else pa.concat_tables([rest, more])
+            if rest is None or not len(rest):
+                continue
+            key = np.stack([rest.column(c).to_numpy() for c in ("node", "feature", "part")])
+            starts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+            # The last group may go on in the next batch.
+            whole = starts if batch is None else starts[:-1]
+            ends = np.append(starts[1:], len(rest))
+            for first in range(0, len(whole), GROUPS):
+                some = whole[first : first + GROUPS]
+                end = ends[first + len(some) - 1]
+                yield best_of(rest.slice(some[0], end - some[0]), some - some[0])
+            rest = rest.slice(starts[-1])
+
+    return run
+
+
+def _best_splits(histograms: DataFrame, settings: Settings, is_text: np.ndarray) -> DataFrame:
+    """Best cut per node, column and part, and the sums of the node and of its left child."""
+    key = ["node", "feature", "part"]
+    met = histograms.repartition(*key).sortWithinPartitions(*key)
+    return met.mapInArrow(_best(settings, is_text), _BEST)
 
 
 def _leaf(g: int, h: int, settings: Settings) -> float:
@@ -215,15 +349,19 @@ def _leaf(g: int, h: int, settings: Settings) -> float:
 def grow(rows: DataFrame, bins: Bins, base: float, settings: Settings) -> tuple[list[Tree], list[float]]:
     """Trees, and the mean held-out loss before each and after the last but one.
 
-    ``rows`` has bins, label, weight and held_out; it is read once a level.
+    ``rows`` has bins, label, weight and held_out; it is written as blocks, which are read once a level.
     """
     is_text = bins.is_text()
-    staged = stage(rows.withColumn("margin", F.lit(base)), "margins")
+    # As many parts as cores, equal ones: every level waits for the longest task.
+    dealt = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    staged = stage(dealt.mapInArrow(_to_blocks(base), _BLOCK), "margins")
+    highest = staged.mapInArrow(_most, "feature int, most bigint").groupBy("feature").agg(F.max("most").alias("most"))
+    most = [r["most"] for r in sorted(highest.collect())]
     trees, fresh, losses = [], [], []
     while len(trees) < settings.rounds:
         tree, active = Tree(), [0]
-        for _ in range(settings.depth + 1):
-            found = staged.mapInArrow(_histograms(fresh, tree, active, is_text), _PARTIAL)
+        for depth in range(max(settings.depth, 1)):
+            found = staged.mapInArrow(_histograms(fresh, tree, active, is_text, most), _PARTIAL)
             table = _best_splits(found, settings, is_text).collect()
             for r in table:
                 if r["node"] == LOSS:
@@ -231,17 +369,23 @@ def grow(rows: DataFrame, bins: Bins, base: float, settings: Settings) -> tuple[
             if active == [0] and stopped(losses, settings.patience):
                 return trees, losses
             following = []
-            depth_left = len(tree.feature) < 1 << settings.depth
             for node in active:
                 own = [r for r in table if r["node"] == node]
                 if not own:
                     continue
-                tree.value[node] = _leaf(own[0]["g"], own[0]["h"], settings)
-                able = [r for r in own if r["best"] is not None]
-                if able and depth_left:
+                sums = [own[0][c] for c in _TOTALS]
+                tree.value[node] = _leaf(sums[0], sums[1], settings)
+                able = [r for r in own if r["gain"] is not None]
+                if able and depth < settings.depth:
                     # Of equal gains the first column, then the lowest bin.
-                    r = max(able, key=lambda r: (r["best"]["gain"], -r["feature"]))
-                    following += tree.split(node, r["feature"], -r["best"]["minus_bin"])
+                    r = max(able, key=lambda r: (r["gain"], -r["feature"], -r["bin"]))
+                    children = tree.split(node, r["feature"], r["bin"])
+                    left = [r[f"{c}_left"] for c in _TOTALS]
+                    for child, part in zip(children, (left, [s - x for s, x in zip(sums, left)])):
+                        tree.value[child] = _leaf(part[0], part[1], settings)
+                        # Fewer rows than two children need are not counted again.
+                        if part[2] >= 2 * settings.least_rows:
+                            following.append(child)
             active = following
             if not active:
                 break
@@ -260,15 +404,17 @@ def stopped(losses: list[float], patience: int) -> bool:
     return len(losses) > patience and min(losses[-patience:]) >= min(losses[:-patience])
 
 
-def _with_margins(rows: DataFrame, trees: list[Tree], is_text: np.ndarray) -> DataFrame:
+def _with_margins(blocks: DataFrame, trees: list[Tree], is_text: np.ndarray) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = _matrix(batch)
-            margin = batch.column("margin").to_numpy() + sum(t.margins(bins, is_text) for t in trees)
             at = batch.schema.get_field_index("margin")
-            yield batch.set_column(at, "margin", pa.array(margin))
+            margins = [
+                (margin + sum(t.margins(bins, is_text) for t in trees)).tobytes()
+                for bins, _, _, margin, _ in _blocks(batch)
+            ]
+            yield batch.set_column(at, "margin", pa.array(margins, pa.binary()))
 
-    return rows.mapInArrow(add, rows.schema)
+    return blocks.mapInArrow(add, _BLOCK)
 
 
 class BoostedTrees(Transformer, MLWritable, MLReadable):
@@ -283,16 +429,16 @@ class BoostedTrees(Transformer, MLWritable, MLReadable):
         return len(self.trees)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        trees, base, is_text = self.trees, self.base, self.bins.is_text()
+        trees, base, bins, is_text = self.trees, self.base, self.bins, self.bins.is_text()
 
-        def score(bins: pd.Series) -> pd.Series:
-            if not len(bins):
+        def score(inputs: pd.Series) -> pd.Series:
+            if not len(inputs):
                 return pd.Series([], dtype=float)
-            matrix = np.stack(bins.to_numpy())
+            matrix = bins.of(np.stack(inputs.to_numpy()))
             margin = base + sum(t.margins(matrix, is_text) for t in trees)
             return pd.Series(1 / (1 + np.exp(-margin)) + np.zeros(len(matrix)))
 
-        p = F.pandas_udf(score, "double")(self.bins.column())
+        p = F.pandas_udf(score, "double")(bins.inputs())
         both = F.transform(F.array(p), lambda x: F.array(1 - x, x))
         return dataset.withColumn("probability", array_to_vector(both[0]))
 

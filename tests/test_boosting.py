@@ -116,3 +116,43 @@ def test_bins_and_a_saved_model(spark, tmp_path):
     assert {(x, round(q, 9)) for x, q in p(model)} == {
         (float(k), round(1 / (1 + np.exp(-(0.5 + 2 * (-1.0 if k <= 3 else 2.0)))), 9)) for k in range(7)
     }
+
+
+def test_a_level_sends_one_row_per_node_and_column(monkeypatch):
+    """However many blocks a task reads (before: a row per bin and batch)."""
+    bins, label, weight, held = data(400)
+    rows = [
+        boosting.pa.RecordBatch.from_pydict(
+            {"bins": bins[i : i + 50].tolist(), "label": label[i : i + 50], "weight": weight[i : i + 50], "held_out": held[i : i + 50]}
+        )
+        for i in range(0, 400, 50)
+    ]
+    blocks = list(boosting._to_blocks(0.0)(iter(rows)))
+    assert len(blocks) == 8
+    run = lambda: list(boosting._histograms([], boosting.Tree(), [0], IS_TEXT, [11, 1, 4])(iter(blocks)))
+    table = lambda: boosting.pa.Table.from_batches(run()).sort_by([("node", "ascending"), ("feature", "ascending"), ("part", "ascending")])
+    found = table()
+    assert found.column("node").to_pylist() == [boosting.LOSS, 0, 0, 0]
+    best = boosting._best(SETTINGS, IS_TEXT)
+    split = lambda t: boosting.pa.Table.from_batches(best(iter(t.to_batches(max_chunksize=1)))).to_pylist()
+    want = split(found)
+    # Lists in place of tables, and a text column in parts: the same best cut.
+    monkeypatch.setattr(boosting, "DENSE", 0)
+    assert split(table()) == want
+    monkeypatch.setattr(boosting, "PART", 2)
+    parts = [r for r in split(table()) if r["feature"] == 2]
+    assert len(parts) == 3 and len({(r["g"], r["h"], r["n"]) for r in parts}) == 1
+    assert max(r["gain"] or 0 for r in parts) == next(r["gain"] or 0 for r in want if r["feature"] == 2)
+
+
+def test_an_uneven_tree_stops_at_its_depth(spark):
+    """Its leaves on the lowest level have values (before: split once more, the children left at 0)."""
+    x = np.repeat(np.arange(6), 100)
+    label = np.concatenate([np.arange(100) < n for n in (100, 30, 10, 3, 1, 0)]).astype(float)
+    bins = np.stack([x, np.zeros(600, int), np.zeros(600, int)], axis=1)
+    s = Settings(rounds=1, depth=3, rate=0.3, least_rows=10, penalty=0.0)
+    df = frame(spark, bins, label, np.ones(600), np.zeros(600, bool))
+    trees, _ = boosting.grow(df, Bins({"a": [], "b": []}, ["c"]), 0.0, s)
+    # One value is cut off a level; the last leaf holds the values 3, 4 and 5.
+    assert trees[0].feature.count(0) == 3 and len(trees[0].feature) == 7
+    assert len(set(trees[0].margins(bins, IS_TEXT))) == 4 and (trees[0].margins(bins, IS_TEXT) != 0).all()
