@@ -8,7 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+PARTITION_BYTES = 4 << 20  # of compressed files; some 20 times as much in a sort or hash table
 _local_scratch: dict[str, str] = {}
+_dealt: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", app: str = "holdfast") -> SparkSession:
@@ -24,6 +26,24 @@ def local_session(cores: int | str = "*", app: str = "holdfast") -> SparkSession
     )
 
 
+def deal_by_size(spark: SparkSession, n_bytes: int) -> None:
+    """Shuffles start with a partition per ``PARTITION_BYTES`` of the input files, where that is more than the session's.
+
+    A task's memory then stays the same as the input grows: adaptive execution puts small partitions together
+    only up to its advisory size. A number that the caller has set for the start stays.
+    """
+    name, app = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", spark.sparkContext.applicationId
+    now = spark.conf.get(name, None)
+    if now is not None and now != _dealt.get(app):
+        return
+    n = -(-n_bytes // PARTITION_BYTES)
+    if n > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        _dealt[app] = str(n)
+        spark.conf.set(name, _dealt[app])
+    else:
+        spark.conf.unset(name)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``.
 

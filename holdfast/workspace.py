@@ -23,11 +23,12 @@ from holdfast.operators.warehouse import (
     prediction_rows,
     seed_dimensions,
 )
-from holdfast.session import stage
+from holdfast.session import deal_by_size, stage
 from holdfast.sources.accounts import MARKET_SEGMENTS, derive_accounts
 
 PREDICTED_AT = "2024-12-31 00:00:00"
 HEURISTIC, SIMPLE = "heuristic", "simple_risk"
+SOURCES = ("customer", "orders", "lineitem")
 
 
 class Workspace:
@@ -117,4 +118,6 @@ def open_workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir))
     if key not in _open:
         _open[key] = Workspace(spark, sf_dir)
+    # What the accounts are derived from; every table of the warehouse grows with it.
+    deal_by_size(spark, sum(size for name, size, _ in key[2] if name.split(".")[0] in SOURCES))
     return _open[key]
