@@ -352,7 +352,7 @@ def grow(rows: DataFrame, bins: Bins, base: float, settings: Settings) -> tuple[
     ``rows`` has bins, label, weight and held_out; it is written as blocks, which are read once a level.
     """
     is_text = bins.is_text()
-    # As many parts as cores, equal ones: every level waits for the longest task.
+    # Dealt equally before: every level waits for the longest task.
     dealt = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
     staged = stage(dealt.mapInArrow(_to_blocks(base), _BLOCK), "margins")
     highest = staged.mapInArrow(_most, "feature int, most bigint").groupBy("feature").agg(F.max("most").alias("most"))

@@ -19,7 +19,7 @@ from holdfast.operators.features import LABEL, Preparation, fit_preparation
 from holdfast.operators.metrics import compare_models, ranking_metrics
 from holdfast.operators.splits import BUCKETS, salted, stratified_folds
 from holdfast.plans import boosting, neural
-from holdfast.session import stage
+from holdfast.session import stage, stage_evenly
 
 KEY = "subscriber_id"
 
@@ -79,7 +79,7 @@ def _fit(prep: Preparation, estimator, train: DataFrame) -> PipelineModel:
     prepared = PipelineModel(preparation_stages(prep))
     columns = ["features", estimator.getLabelCol(), estimator.getWeightCol()]
     # Written once: a learner that passes over the rows does not join the category index every time.
-    fitted = estimator.fit(stage(prepared.transform(train).select(*columns), "prepared"))
+    fitted = estimator.fit(stage_evenly(prepared.transform(train).select(*columns), "prepared"))
     return PipelineModel([*prepared.stages, fitted])
 
 
@@ -94,9 +94,10 @@ def train_logistic(train: DataFrame, rules: Rules = DEFAULT) -> PipelineModel:
 
 
 def train_forest(train: DataFrame, rules: Rules = DEFAULT, trees: int = 300) -> PipelineModel:
+    # Rows keep their node of every tree, instead of walking all trees from the root on every level.
     estimator = RandomForestClassifier(
         labelCol=LABEL, weightCol="weight", numTrees=trees, maxDepth=10,
-        minInstancesPerNode=4, seed=rules.seed,
+        minInstancesPerNode=4, seed=rules.seed, cacheNodeIds=True,
     )
     prep = fit_preparation(train)
     return _fit(prep, estimator, with_class_weight(train, prep))

@@ -78,3 +78,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_evenly(df: DataFrame, name: str) -> DataFrame:
+    """``stage`` in equal parts, one per core: a learner's every pass waits for the longest task."""
+    return stage(df.repartition(df.sparkSession.sparkContext.defaultParallelism), name)
