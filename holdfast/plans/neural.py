@@ -26,7 +26,7 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.session import stage
+from holdfast.session import stage_evenly
 
 HIDDEN = (128, 64, 32)
 WIDEST_EMBEDDING = 8
@@ -168,7 +168,7 @@ def train(rows: DataFrame, n_numbers: int, sizes: list[int], settings: Settings)
 
     ``rows`` has numbers, codes, label, weight and held_out.
     """
-    staged = stage(rows, "training_rows")
+    staged = stage_evenly(rows, "training_rows")
     weights = start_weights(n_numbers, sizes, settings)
     is_matrix = flat([np.full(w.shape, float(w.ndim == 2)) for w in weights])
     first, second = np.zeros(len(is_matrix)), np.zeros(len(is_matrix))
