@@ -246,11 +246,10 @@ def clustered(df: DataFrame, keys: list[str], order: list[str] | None = None) ->
 FILTER_BITS = 1 << 26  # 8 MB in all, whatever the number of keys
 
 
-def possibly_in(rows: DataFrame, key, keys: DataFrame, wanted) -> DataFrame:
-    """``rows`` without most of those whose ``key`` is no ``wanted`` value of ``keys``; none of the others is lost.
+def possibly_met(rows: DataFrame, key, keys: DataFrame, wanted) -> DataFrame:
+    """``rows`` with ``_met``, false for most of those whose ``key`` is no ``wanted`` value of ``keys``, and for none of the others.
 
-    A bitmap of hashed keys, ``FILTER_BITS`` long and so bounded, is broadcast: rows that cannot find a
-    partner leave before they are shuffled. With more keys than bits it lets everything pass.
+    A bitmap of hashed keys, ``FILTER_BITS`` long and so bounded, is broadcast. With more keys than bits all are true.
     """
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     place = keys.select(slot(wanted).alias("_slot"))
@@ -263,8 +262,16 @@ def possibly_in(rows: DataFrame, key, keys: DataFrame, wanted) -> DataFrame:
     at = F.col("_at") % 32768
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     marked = rows.withColumn("_at", slot(key)).withColumn("_bucket", F.shiftright("_at", 15))
-    met = marked.join(F.broadcast(bits), "_bucket").filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1)
-    return met.select(*[F.col(f"`{c}`") for c in rows.columns])
+    met = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))
+    return marked.join(F.broadcast(bits), "_bucket", "left").select(*[F.col(f"`{c}`") for c in rows.columns], met.alias("_met"))
+
+
+def possibly_in(rows: DataFrame, key, keys: DataFrame, wanted) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is no ``wanted`` value of ``keys``; none of the others is lost.
+
+    Rows that cannot find a partner leave before they are shuffled.
+    """
+    return possibly_met(rows, key, keys, wanted).filter("_met").drop("_met")
 
 
 def plus(schema: StructType, *fields: tuple[str, str]) -> StructType:

@@ -25,7 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import Piece, byte_set, code_points_before, column, pieces, plus, shielded, stage, words
+from holdfast.llm.common import (
+    Piece,
+    byte_set,
+    code_points_before,
+    column,
+    pieces,
+    plus,
+    possibly_met,
+    shielded,
+    stage,
+    words,
+)
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "context"
@@ -320,19 +331,25 @@ def _name_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; n_chars, where there, follows."""
+    """``docs`` with every span replaced by its kind in brackets; n_chars, where there, follows.
+
+    Texts without spans pass unshuffled: only rows whose id may have some meet the spans.
+    """
     docs, back = shielded(docs, "doc_id", "text", "n_chars")
     spans = stage(
         personal_data(docs, **options)
-        .select(F.col("row_id").alias("_row_id"), all_spans().alias("_spans"))
+        .select("doc_id", F.col("row_id").alias("_row_id"), all_spans().alias("_spans"))
         .filter("_spans <> ''")
         .distinct(),
         "spans",
     )
-    named = docs.mapInArrow(_name_rows, plus(docs.schema, ("_row_id", "string")))
-    joined = named.join(spans, "_row_id", "left").drop("_row_id")
+    # Ids of seed rows are whole numbers, as personal_data reads them.
+    marked = possibly_met(docs, F.col("doc_id").cast("bigint"), spans, F.col("doc_id"))
+    named = marked.filter("_met").drop("_met").mapInArrow(_name_rows, plus(docs.schema, ("_row_id", "string")))
+    joined = named.join(spans.drop("doc_id"), "_row_id", "left").drop("_row_id")
     fields = [f for f in joined.schema if f.name not in ("text", "_spans")] + [docs.schema["text"]]
-    out = joined.mapInArrow(_redactor, type(docs.schema)(fields))
+    out = joined.mapInArrow(_redactor, type(docs.schema)(fields)).select(*docs.columns)
+    out = out.union(marked.filter("not _met").drop("_met"))
     if "n_chars" in docs.columns:
         length = F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
         out = out.withColumn("n_chars", F.coalesce(length, F.col("n_chars")))
