@@ -2,7 +2,9 @@
 
 Each round is two aggregates and two joins over edges; every table of a round is written to the
 shared folder, so lineage stays short and a hot vertex meets its neighbours in a join that Spark can
-split. The number of rounds grows with the logarithm of the longest chain.
+split. Only the aggregates are shuffled: a round never makes more edges than it reads, so that
+repeated ones may stay until an aggregate folds them. The number of rounds grows with the logarithm
+of the longest chain; a round that leaves every node one edge, to a node without one, is the last.
 """
 
 from __future__ import annotations
@@ -13,26 +15,26 @@ from pyspark.sql import functions as F
 from holdfast.llm.common import stage
 
 
-def _mark(edges: DataFrame):
-    return edges.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y")), F.bit_xor(F.xxhash64("y", "x"))).first()
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component (its smallest node) for every node of an edge; ids are numbers."""
-    e = edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).filter("x <> y").distinct()
+def stars(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, component for the nodes of edges that are not the smallest of their component; ids are numbers."""
+    e = edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).filter("x <> y")
     e = stage(e, "edges")
-    mark = _mark(e)
     while True:
         both = e.select(F.col("x").alias("u"), F.col("y").alias("v")).union(e.select("y", "x"))
         least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("x"), F.col("m").alias("y"))
-        large = stage(large.distinct(), "large")
+        large = stage(large, "large")
         smallest = stage(large.groupBy("x").agg(F.min("y").alias("m")), "smallest")
         moved = large.join(smallest, "x").filter("y > m").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        e = stage(moved.union(smallest.select("x", "m")).distinct(), "edges")
-        now = _mark(e)
-        if now == mark:
-            break
-        mark = now
-    hubs = e.select(F.col("y").alias("node"), F.col("y").alias("component")).distinct()
-    return e.select(F.col("x").alias("node"), F.col("y").alias("component")).union(hubs)
+        moved = stage(moved, "moved")
+        done = smallest.select(F.col("x").alias("node"), F.col("m").alias("component"))
+        if moved.isEmpty() and smallest.join(done, F.col("m") == F.col("node"), "left_semi").isEmpty():
+            return done
+        e = moved.union(smallest.select("x", F.col("m").alias("y")))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, component (its smallest node) for every node of an edge; ids are numbers."""
+    found = stars(edges, a, b)
+    hubs = found.select(F.col("component").alias("node"), "component").distinct()
+    return found.union(hubs)

@@ -48,7 +48,7 @@ from holdfast.llm.common import (
     stage,
     words,
 )
-from holdfast.llm.components import components
+from holdfast.llm.components import components, stars
 
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
@@ -263,11 +263,12 @@ def _trees(threshold: float, margin: float):
 
 
 def _links(threshold: float, margin: float, percent: int):
-    """For each part of a cluster a forest of the links between different components, by full sets."""
+    """For each part of a cluster a forest of the links between different components, by full sets; a, b are components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["key", "low", "high"]):
             first, node, size, chunk, sketches, label, across = _rows_of(group)
+            component = column(group, "component").to_numpy()[first]
             raw = column(group, "shingles")
             sets = [np.frombuffer(raw[int(i)].as_py(), U64) for i in first]
             a, b = [], []
@@ -277,8 +278,8 @@ def _links(threshold: float, margin: float, percent: int):
                     if label[j] != label[i]:
                         both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                         if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                            a.append(node[i])
-                            b.append(node[j])
+                            a.append(component[i])
+                            b.append(component[j])
                             label[label == label[j]] = label[i]
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -348,9 +349,8 @@ def _confirm(width: int, percent: int):
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """a, b, linked for distinct pairs, by their full sets."""
-    wanted = stage(pairs.select("a", "b").distinct(), f"pairs_{name}")
-    one = wanted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    """a, b, linked for distinct staged pairs, by their full sets."""
+    one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     two = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     return stage(
         two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "a bigint, b bigint, linked boolean"),
@@ -369,6 +369,13 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, name: str) -
     return stage(found.select("node", "text"), f"texts_{name}")
 
 
+def _renamed(rows: DataFrame, name: str, labels: DataFrame) -> DataFrame:
+    """``rows`` with the node in column ``name`` replaced by its component, where it has another."""
+    of = labels.select(F.col("node").alias(name), F.col("component").alias("_component"))
+    new = F.coalesce("_component", name).alias(name)
+    return rows.join(of, name, "left").select(*[new if c == name else c for c in rows.columns])
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, kept for every document.
 
@@ -437,39 +444,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     trees = clustered(placed.join(folded, "node"), part).mapInArrow(_trees(threshold, MARGIN), _PAIRS)
     # A pair that met as hub and member is known; a cluster needs it only where it is linked.
     trees = stage(trees.distinct(), "trees")
-    if trees.isEmpty():
-        tested = None
-    else:
+    tested = None
+    if not trees.isEmpty():
         texts = _texts_of(docs, nodes, ends(trees), "trees")
         tested = _confirmed(trees, texts, width, percent, "trees")
-        trees = trees.union(links)
         links = links.union(tested.filter("linked").select("a", "b"))
+    labels = stars(links)
 
     # Clusters of the trees that the confirmed links leave in several components.
+    more = None
     if tested is not None and not tested.filter("not linked").isEmpty():
-        cluster = components(trees).withColumnRenamed("component", "key")
-        so_far = stage(components(links), "components_so_far")
-        split = cluster.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = stage(split, "clusters")
-        open_ = split.groupBy("key").agg(
-            F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")
-        )
-        open_ = stage(open_.filter("least <> most").select("key", "n"), "open_clusters")
-        some = stage(split.join(open_, "key"), "open_nodes")
+        between = tested.filter("not linked").select("a", "b")
+        for side in ("a", "b"):
+            between = _renamed(between, side, labels)
+        cluster = stage(components(between).select("node", F.col("component").alias("key")), "clusters")
+        inside = labels.join(cluster, labels["component"] == cluster["node"]).select(labels["node"], "component", "key")
+        some = stage(cluster.select("node", F.col("node").alias("component"), "key").union(inside), "open_nodes")
+        open_ = some.groupBy("key").agg(F.count("*").alias("n"))
         texts = _texts_of(docs, nodes, some.select("node"), "open")
         sets = some.select("node").join(texts, "node").select("node", "text").mapInArrow(
             _hash_sets(width), "node bigint, shingles binary"
         )
-        full_rows = some.join(folded, "node").join(stage(sets.dropDuplicates(["node"]), "open_sets"), "node")
+        full_rows = some.join(open_, "key").join(folded, "node").join(
+            stage(sets.dropDuplicates(["node"]), "open_sets"), "node"
+        )
         more = clustered(_in_chunks(full_rows, "n", "cluster").drop("other", "n"), part).mapInArrow(
             _links(threshold, MARGIN, percent), _PAIRS
         )
-        links = links.union(stage(more, "more_links"))
 
-    label = stage(components(links), "labels")
-    named = nodes.join(label, "node", "left").select(
-        "set_id", "first_id", F.coalesce("component", "node").alias("component")
-    )
+    named = nodes.select("set_id", "first_id", F.col("node").alias("component"))
+    for found in [labels] if more is None else [labels, stars(more)]:
+        named = _renamed(named, "component", found)
     named = stage(named, "named")
     smallest = stage(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "smallest")
     by_set = stage(named.join(smallest, "component").select("set_id", "component_id"), "by_set")

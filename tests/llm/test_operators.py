@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdfast.llm import bpe, minhash, mixing, pii, search, secrets, simhash, suffixes, toxicity, warc
+from holdfast.llm import components as parts
 from holdfast.llm.common import pieces
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -290,6 +291,28 @@ def test_bpe_as_tiktoken(docs, empty):
     assert bpe.token_digests(empty, VOCABULARY).count() == 0
 
 
+@pytest.mark.parametrize("case", ["stars", "chain", "random", "none"])
+def test_components(spark, monkeypatch, case):
+    rng = np.random.default_rng(3)
+    edges = {
+        "stars": [(h, h + i) for h in (10, 500) for i in range(1, 40)] * 2,
+        "chain": [(i, i + 1) if i % 3 else (i + 1, i) for i in range(60)],
+        "random": [tuple(map(int, rng.integers(0, 300, 2))) for _ in range(200)],
+        "none": [],
+    }[case]
+    staged = []
+    monkeypatch.setattr(parts, "stage", lambda df, name, put=parts.stage: (staged.append(name), put(df, name))[1])
+    got = parts.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    label = {x: x for a, b in edges if a != b for x in (a, b)}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    assert sorted(map(tuple, got)) == sorted(label.items())
+    if case == "stars":  # one round sees that nothing is left to do
+        assert len(staged) <= 5
+
+
 def brute_components(texts, width, percent):
     sets = []
     for t in texts:
