@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.common import Piece, RangeHash, column, pieces, plus, ragged
 
-CACHE_SLICES = 400_000
+CACHE_SLICES = 100_000
 BLOCK = 96
 
 # Symbols: letter, digit, other, apostrophe of a contraction of one or two letters, last white space

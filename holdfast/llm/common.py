@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from holdfast.session import stage as stage  # staged tables go to the shared folder
 
 PIECE = 1 << 18
-ARROW_ROWS = 2_000
+ARROW_ROWS = 500
 U64 = np.uint64
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from holdfast.llm import bpe, minhash, mixing, pii, search, secrets, simhash, suffixes, toxicity, warc
 from holdfast.llm import components as parts
-from holdfast.llm.common import pieces
+from holdfast.llm.common import pieces, short_batches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fingerprint int, size int"
@@ -213,6 +213,18 @@ def test_only_texts_with_spans_are_shuffled(spark, monkeypatch):
     assert Counter(map(tuple, got.collect())) == want + Counter([(200, "write to [email]"), (None, "or [email]")])
 
 
+def test_pipeline_batches_stay_short(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for at, want in ((10_000, 500), (20, 20)):
+            spark.conf.set(name, at)
+            short_batches(spark)
+            assert int(spark.conf.get(name)) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
