@@ -307,7 +307,7 @@ def test_bpe_as_tiktoken(docs, empty):
 def test_components(spark, monkeypatch, case):
     rng = np.random.default_rng(3)
     edges = {
-        "stars": [(h, h + i) for h in (10, 500) for i in range(1, 40)] * 2,
+        "stars": [(h, h + i) for h in (10, 500) for i in [-5, *range(1, 40)]] * 2,
         "chain": [(i, i + 1) if i % 3 else (i + 1, i) for i in range(60)],
         "random": [tuple(map(int, rng.integers(0, 300, 2))) for _ in range(200)],
         "none": [],
