@@ -156,3 +156,51 @@ def test_an_uneven_tree_stops_at_its_depth(spark):
     # One value is cut off a level; the last leaf holds the values 3, 4 and 5.
     assert trees[0].feature.count(0) == 3 and len(trees[0].feature) == 7
     assert len(set(trees[0].margins(bins, IS_TEXT))) == 4 and (trees[0].margins(bins, IS_TEXT) != 0).all()
+
+
+@pytest.mark.parametrize("most_sums, move, restart", [(boosting.MOST_SUMS, 1, 4), (boosting.MOST_SUMS, 2, 100), (0, 1, 1)])
+def test_trees_by_sums_or_by_shuffles_equal_the_plain_ones(spark, monkeypatch, most_sums, move, restart):
+    """Also with a column that repeats another one, and with chunks of few rows."""
+    for name, value in {"MOST_SUMS": most_sums, "MOVE_EVERY": move, "RESTART_EVERY": restart, "CHUNK": 50}.items():
+        monkeypatch.setattr(boosting, name, value)
+    bins, label, weight, held = data(500, 5)
+    want, n_trees, losses = plain(bins, label, weight, held, SETTINGS)
+    twice = np.stack([bins[:, 0], bins[:, 0], bins[:, 1], bins[:, 2]], axis=1)
+    df = frame(spark, twice, label, weight, held)
+    trees, got_losses = boosting.grow(df, Bins({"a": [], "b": [], "c": []}, ["d"]), 0.0, SETTINGS)
+    assert len(trees) == n_trees and not any(1 in t.feature for t in trees)
+    assert sum(t.margins(twice, np.array([False, False, False, True])) for t in trees) == pytest.approx(want, abs=1e-6)
+    assert got_losses == pytest.approx(losses[: len(got_losses)], abs=1e-5)
+
+
+def test_a_level_is_one_job_of_one_stage(spark):
+    """However many trees (before: two jobs with a shuffle between them)."""
+    bins, label, weight, held = data(400)
+    df = frame(spark, bins, label, weight, held)
+    track, found = spark.sparkContext.statusTracker(), []
+    for rounds in (1, 3):
+        group = f"grow-{rounds}"
+        spark.sparkContext.setJobGroup(group, group)
+        boosting.grow(df, Bins({"a": [], "b": []}, ["c"]), 0.0, Settings(rounds=rounds, depth=3, least_rows=5))
+        found.append([len(track.getJobInfo(j).stageIds) for j in track.getJobIdsForGroup(group)])
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    one, three = found
+    assert len(three) == len(one) + 2 * 3
+    assert sorted(three) == sorted([*one, *[1] * 6])
+
+
+def test_columns_of_few_bins_share_a_key():
+    rng = np.random.default_rng(3)
+    most = [1, 254, 4, 9, 2, 300]
+    bins = np.stack([rng.integers(0, m + 1, 400) for m in most])
+    text = np.array([False, False, False, False, True, True])
+    keys = boosting._Keys.of(list(range(6)), most, text)
+    assert [sorted(g) for g in keys.groups] == [[0, 2, 4], [3], [1], [5]]
+    made = keys.of_bins(bins)
+    assert all(int(m.max()) < keys.width(g) for m, g in zip(made, keys.groups))
+    goes = keys.goes_left(made)
+    some = np.array([3, 77, 399])
+    for k in range(6):
+        for cut in (0, 1, 2):
+            want = bins[k] == cut if text[k] else bins[k] <= cut
+            assert (goes(k, cut, None) == want).all() and (goes(k, cut, some) == want[some]).all()
