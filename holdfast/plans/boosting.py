@@ -31,10 +31,11 @@ from pyspark import StorageLevel
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from holdfast.session import stage
+from holdfast.functions.exact import int_div
+from holdfast.session import ensure_checkpoint_dir, stage
 
 MOST_BINS = 255
 STAGE_EVERY = 10
@@ -48,7 +49,7 @@ MOST_SUMS = 128 << 20  # bytes of sums that all tasks together send the driver i
 CHUNK = 1 << 16  # rows that a task handles at once
 KEY = 1 << 8  # values of a key that stands for several columns
 MOVE_EVERY = 3  # trees after which margins move; between, tasks add the last trees to them
-RESTART_EVERY = 60  # trees after which margins start from the written rows again, so that lineages stay short
+CUT_EVERY = 20  # moves after which the rows are checkpointed, so that lineages stay short
 
 
 @dataclass(frozen=True)
@@ -151,19 +152,42 @@ class Bins:
 
 
 def fit_bins(df: DataFrame, numeric: list[str], codes: list[str]) -> Bins:
-    """Quantile borders, at most ``MOST_BINS`` - 1 a column."""
-    shares = F.array(*[F.lit(i / MOST_BINS) for i in range(1, MOST_BINS)])
+    """Quantile borders, at most ``MOST_BINS`` - 1 a column: the values at every ``MOST_BINS``-th part of its rows.
+
+    Values are counted before they are ordered. Ranges of values are blocks: a block is summed up on its own, and
+    the totals of the blocks before it - one row per block - are added.
+    """
+    borders: dict[str, list[float]] = {c: [] for c in numeric}
+    if not numeric:
+        return Bins(borders, codes)
     filled = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in numeric]
-    row = df.agg(
-        F.count("*").alias("n"),
-        *[F.percentile_approx(c, shares, 100_000).alias(f"q{k}") for k, c in enumerate(filled)],
-        *[F.min(c).alias(f"m{k}") for k, c in enumerate(filled)],
-    ).first()
-    borders = {}
-    for k, name in enumerate(numeric):
-        # Nothing lies below the least value.
-        borders[name] = sorted(b for b in set(row[f"q{k}"] or []) if b > row[f"m{k}"])
-    return Bins(borders, codes)
+    cells = F.array(*[F.struct(F.lit(k).alias("column"), c.alias("value")) for k, c in enumerate(filled)])
+    counts = df.select(F.inline(cells)).groupBy("column", "value").agg(F.count("*").alias("n"))
+    # Written with their block, so that the borders cannot move between the two readings.
+    ranged = counts.repartitionByRange("column", "value").withColumn("block", F.spark_partition_id())
+    counts = stage(ranged, "value_counts")
+    whole = Window.partitionBy("column")
+    earlier = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = (
+        counts.groupBy("column", "block")
+        .agg(F.sum("n").alias("n"), F.min("value").alias("value"))
+        .select(
+            "column", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+            F.sum("n").over(whole).alias("total"), F.min("value").over(whole).alias("least"),
+        )
+    )
+    inside = Window.partitionBy("column", "block").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    met = counts.join(totals, ["column", "block"]).withColumn("upto", F.col("before") + F.sum("n").over(inside))
+
+    def parts(n: Column) -> Column:
+        return int_div(n * MOST_BINS, F.col("total"))
+
+    # Nothing lies below the least value, nothing above the greatest.
+    last = (F.col("upto") < F.col("total")) | (parts(F.col("upto") - F.col("n")) < MOST_BINS - 1)
+    found = met.filter((parts(F.col("upto")) > parts(F.col("upto") - F.col("n"))) & last & (F.col("value") > F.col("least")))
+    for r in found.select("column", "value").collect():
+        borders[numeric[r["column"]]].append(r["value"])
+    return Bins({c: sorted(values) for c, values in borders.items()}, codes)
 
 
 _CELLS = {"label": "f8", "weight": "f8", "margin": "f8", "held_out": "?"}
@@ -653,19 +677,20 @@ def _grow_by_sums(staged: DataFrame, keys: _Keys, settings: Settings) -> tuple[l
         to_left = n[cut] if keys.is_text[tree.feature[node]] else n[: cut + 1].sum()
         return tree.left[node] + int(2 * to_left > n.sum())
 
-    trees, fresh, losses, rows = [], [], [], None
+    ensure_checkpoint_dir(staged.sparkSession)
+    rows = staged.rdd.mapPartitions(_chunks(keys)).persist(StorageLevel.MEMORY_AND_DISK_DESER)
+    trees, fresh, losses, moves = [], [], [], 0
     try:
         while len(trees) < settings.rounds:
             before = rows
-            if len(trees) % RESTART_EVERY == 0:
-                rows, fresh = staged.rdd.mapPartitions(_chunks(keys)).mapPartitions(_moved(keys, trees)), []
-            elif len(fresh) == MOVE_EVERY:
-                rows, fresh = before.mapPartitions(_moved(keys, fresh)), []
-            if rows is not before:
-                rows.persist(StorageLevel.MEMORY_AND_DISK_DESER)
+            if len(fresh) == MOVE_EVERY:
+                rows = before.mapPartitions(_moved(keys, fresh)).persist(StorageLevel.MEMORY_AND_DISK_DESER)
+                fresh, moves = [], moves + 1
+                if moves % CUT_EVERY == 0:
+                    rows.checkpoint()
             tree, active = Tree(), [0]
             loss, sums = level(active)
-            if before is not None and rows is not before:
+            if rows is not before:
                 before.unpersist()
             losses += [] if loss is None else [loss]
             if stopped(losses, settings.patience):
@@ -686,8 +711,7 @@ def _grow_by_sums(staged: DataFrame, keys: _Keys, settings: Settings) -> tuple[l
             if len(tree.feature) == 1:
                 break  # nothing left to split
     finally:
-        if rows is not None:
-            rows.unpersist()
+        rows.unpersist()
     return trees, losses
 
 

@@ -158,10 +158,10 @@ def test_an_uneven_tree_stops_at_its_depth(spark):
     assert len(set(trees[0].margins(bins, IS_TEXT))) == 4 and (trees[0].margins(bins, IS_TEXT) != 0).all()
 
 
-@pytest.mark.parametrize("most_sums, move, restart", [(boosting.MOST_SUMS, 1, 4), (boosting.MOST_SUMS, 2, 100), (0, 1, 1)])
-def test_trees_by_sums_or_by_shuffles_equal_the_plain_ones(spark, monkeypatch, most_sums, move, restart):
+@pytest.mark.parametrize("most_sums, move, cut", [(boosting.MOST_SUMS, 1, 2), (boosting.MOST_SUMS, 2, 100), (0, 1, 1)])
+def test_trees_by_sums_or_by_shuffles_equal_the_plain_ones(spark, monkeypatch, most_sums, move, cut):
     """Also with a column that repeats another one, and with chunks of few rows."""
-    for name, value in {"MOST_SUMS": most_sums, "MOVE_EVERY": move, "RESTART_EVERY": restart, "CHUNK": 50}.items():
+    for name, value in {"MOST_SUMS": most_sums, "MOVE_EVERY": move, "CUT_EVERY": cut, "CHUNK": 50}.items():
         monkeypatch.setattr(boosting, name, value)
     bins, label, weight, held = data(500, 5)
     want, n_trees, losses = plain(bins, label, weight, held, SETTINGS)
@@ -204,3 +204,16 @@ def test_columns_of_few_bins_share_a_key():
         for cut in (0, 1, 2):
             want = bins[k] == cut if text[k] else bins[k] <= cut
             assert (goes(k, cut, None) == want).all() and (goes(k, cut, some) == want[some]).all()
+
+
+def test_borders_are_the_exact_values_at_the_parts(spark):
+    rng = np.random.default_rng(6)
+    table = {"wide": rng.normal(size=3000), "few": rng.integers(0, 4, 3000) * 1.5, "same": np.full(3000, 2.0)}
+    df = spark.createDataFrame(list(zip(*(v.tolist() for v in table.values()))), list(table)).repartition(5)
+    got = boosting.fit_bins(df, list(table), [])
+    for name, values in table.items():
+        ranked = np.sort(values)
+        at = [-(-3000 * i // boosting.MOST_BINS) - 1 for i in range(1, boosting.MOST_BINS)]
+        assert got.borders[name] == sorted({ranked[i] for i in at} - {ranked[0]})
+    assert len(got.borders["wide"]) == 254 and got.borders["same"] == []
+    assert boosting.fit_bins(df.limit(0), list(table), []).borders == {"wide": [], "few": [], "same": []}
